@@ -1,8 +1,48 @@
-"""Corpus preparation: quality, near-duplicates, contamination, packing."""
+"""Corpus preparation: good documents, one of each group of near copies, without benchmark passages, packed."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideglass.llm import decontaminate, jaccard, packing, quality
+from tideglass.llm.queries import SEQUENCE, vocabulary
+from tideglass.llm.scratch import Scratch
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of the n-gram Jaccard join reach, the one with the smallest id; one row of those that repeat an id and a text."""
+    groups = jaccard.ngram_jaccard(docs)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    distinct = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return rows if distinct else rows.dropDuplicates(["doc_id", "text"])
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by benchmark items."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in training sequences."""
+    return packing.pack_documents(docs, vocabulary(), SEQUENCE)
+
+
+STAGES = [("quality", good_quality), ("jaccard", one_of_each_group), ("decontamination", without_benchmarks), ("packing", packed)]
+#: SQL can't express the classifier and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs
