@@ -37,9 +37,10 @@ def licenses() -> str:
 def near_dups(threshold: float = 0.95) -> str:
     return f"""
     WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    ok AS (SELECT vec_id, CASE WHEN len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN list_transform(e, lambda x: coalesce(x, 0)) END AS e FROM v),
-    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
-              WHERE CASE WHEN a.e IS NOT NULL AND b.e IS NOT NULL AND len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= {threshold}),
+    ok AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: coalesce(x, 0)) AS e FROM v
+                        WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= {threshold}),
     reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
     least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
     SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
