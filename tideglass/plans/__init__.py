@@ -1,5 +1,7 @@
 """Queries over the test tables, each with equivalent SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import windows_q
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "regime_months"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "windows_q"]
