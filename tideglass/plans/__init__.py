@@ -1,7 +1,7 @@
 """Queries over the test tables, each with equivalent SQL."""
 
-from . import windows_q
+from . import statistics_q, windows_q
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "regime_months"
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "windows_q"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "statistics_q", "windows_q"]
