@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +89,8 @@ def tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of two to four bits a member, as 64-bit words."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    """A hashed bitmap of eight to sixteen bits a member, as 64-bit words: few members hide behind others, so the bound is tight."""
+    bits = 1 << max(6, (8 * len(s) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -159,8 +158,7 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
     wanted = live.select("node").distinct()
     owners = rows.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id")).join(wanted, "node", "left_semi")
     owners = scratch.save(owners, "owners")
-    sets = scratch.save(_sets(docs, owners, words), "sets")
-    slim = sets.select("node", "n", "bits")
+    slim = scratch.save(_sets(docs, owners, words, ("n", "bits")), "bitmaps")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,13 +181,15 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        full = sets.select("node", "hashes")
+        # Whole sets are fetched for the pairs that are left only.
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        full = _sets(docs, owners.join(nodes, "node", "left_semi"), words, ("hashes",))
         both = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(exact, "a long, b long")
 
     sized = tested.join(slim.toDF("a", "n_a", "bits_a"), "a").join(slim.toDF("b", "n_b", "bits_b"), "b")
     sized = sized.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    links = scratch.save(linked(sized.mapInArrow(bounded, "a long, b long")), "links")
+    links = scratch.save(linked(scratch.save(sized.mapInArrow(bounded, "a long, b long"), "near")), "links")
     found = connected_components(links, scratch, "first")
 
     # Tiles of three or more whose members are still apart: every pair that is, block against block.
@@ -198,14 +198,19 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
     apart = scratch.save(apart.where("members > 2 and low <> high").groupBy("members", "who").agg(F.min("tile").alias("tile")), "apart")
     if not apart.isEmpty():
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        dealt = placed.join(apart.select("tile", blocks.alias("blocks")), "tile").join(slim, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        placed = placed.join(apart.select("tile", blocks.alias("blocks")), "tile")
+        # With each member go its tiles (no more than it has segments), so that a pair is compared in the first it shares.
+        shared = placed.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))
+        dealt = placed.join(slim.join(shared, "node"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits")
+        dealt = dealt.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "tiles")
+        dealt = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "node")
 
-        def compared(group: pd.DataFrame) -> pd.DataFrame:
-            return _pairs_apart(group, num, den)
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for run in _runs(batches, ["tile", "i", "j"]):
+                yield _pairs_apart(run, num, den)
 
-        more = scratch.save(dealt.groupBy("tile", "i", "j").applyInPandas(compared, "a long, b long").distinct(), "more")
+        more = scratch.save(dealt.mapInArrow(compared, "a long, b long").distinct(), "more")
         links = scratch.save(links.union(linked(more)), "all-links")
         found = connected_components(links, scratch, "all")
     named = rows.join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
@@ -249,8 +254,8 @@ def shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (tile, leader, leader)], ["tile", "node", "leader"])
 
 
-def _sets(docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
-    """``(node, n, bits, hashes)`` of the owners' texts. A bitmap of their ids, of a fixed size, keeps most other texts from the shuffle."""
+def _sets(docs: DataFrame, owners: DataFrame, words: int, columns: tuple[str, ...]) -> DataFrame:
+    """``node`` and ``columns`` (of ``n, bits, hashes``) of the owners' texts. A bitmap of their ids, of a fixed size, keeps most other texts from the shuffle."""
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bits = owners.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
@@ -264,41 +269,69 @@ def _sets(docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
             slots = np.array(batch.column("slot"))
             batch = batch.filter(pa.array((kept.value[slots >> 6] >> (slots & 63)) & 1 == 1))
             sets = [s for _, s in shingle_sets(batch, words)]
-            maps = [bitmap(s) if len(s) else s for s in sets]
-            ends = [np.cumsum([0, *map(len, x)]) for x in (maps, sets)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array(list(map(len, sets)), pa.int64()),
-                    *(binaries(np.concatenate([np.zeros(0, np.uint64), *x]), e) for x, e in zip((maps, sets), ends, strict=True)),
-                ],
-                ["doc_id", "node", "n", "bits", "hashes"],
-            )
-
-    rows = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(whole, "doc_id long, node long, n long, bits binary, hashes binary")
-    return rows.where("node is not null").join(owners.hint("shuffle_hash"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "n", "bits", "hashes")
-
-
-def _pairs_apart(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Pairs of different components, across the two blocks of the group, that sizes and bitmaps leave possible."""
-    group = group.sort_values("n", kind="stable")
-    n, own, part, node = (group[c].to_numpy() for c in ("n", "own", "component", "node"))
-    maps = [np.frombuffer(b, np.uint64) for b in group["bits"]]
-    cross = group["i"].iloc[0] != group["j"].iloc[0]
-    widths: dict[int, np.ndarray] = {}
-    out: list[np.ndarray] = []
-    for x in range(len(n)):
-        past = int(np.searchsorted(n, n[x] * den // num, side="right"))
-        others = np.arange(x + 1, past)
-        others = others[(part[others] != part[x]) & ((own[others] != own[x]) if cross else True)]
-        if not len(others):
+            out = {"doc_id": batch.column("doc_id"), "node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())}
+            for name in columns:
+                if name == "n":
+                    out[name] = pa.array(list(map(len, sets)), pa.int64())
+                else:
+                    values = [bitmap(s) if len(s) else s for s in sets] if name == "bits" else sets
+                    out[name] = binaries(np.concatenate([np.zeros(0, np.uint64), *values]), np.cumsum([0, *map(len, values)]))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    kinds = ", ".join(f"{c} {'long' if c == 'n' else 'binary'}" for c in columns)
+    rows = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(whole, f"doc_id long, node long, {kinds}")
+    # Only the node is a key of the join, so that its shuffle also serves to leave one row a node.
+    both = rows.join(owners.withColumnRenamed("doc_id", "owner"), "node").where(F.col("doc_id").between(F.col("owner"), F.col("owner")))
+    return both.dropDuplicates(["node"]).select("node", *columns)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal ``keys`` in sorted rows, one at a time; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        width = len(maps[x])
-        if width not in widths:
-            widths[width] = np.stack([folded(m, width) if len(m) >= width else np.zeros(width, np.uint64) for m in maps])
-        common = most_common(n[x], maps[x], n[others], widths[width][others])
-        others = others[(den + num) * common >= num * (n[x] + n[others])]
-        out.append(np.stack([np.minimum(node[x], node[others]), np.maximum(node[x], node[others])], axis=1))
-    pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        own = np.stack([np.array(batch.column(k)) for k in keys])
+        edges = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(own[:, low].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_apart(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """Pairs of different components, across the two blocks of the run, that sizes and bitmaps leave possible."""
+    n, own, part, node = (np.array(run[c]) for c in ("n", "own", "component", "node"))
+    maps = [np.frombuffer(b, np.uint64) for b in run["bits"].to_pylist()]
+    cross = run["i"][0] != run["j"][0]
+    # Which pairs share a lower tile, and so have been compared there: a product of member-by-tile matrices.
+    tiles = run["tiles"].combine_chunks()
+    flat, sizes = np.array(tiles.flatten()), np.diff(np.array(tiles.offsets))
+    member = np.repeat(np.arange(len(n)), sizes)
+    lower = flat < run["tile"][0].as_py()
+    _, column = np.unique(flat[lower], return_inverse=True)
+    earlier = np.zeros((len(n), int(column.max()) + 1 if len(column) else 1), dtype=np.float32)
+    earlier[member[lower], column] = 1
+    fresh = earlier @ earlier.T == 0
+    x, y = np.nonzero(np.triu(den * n[:, None] >= num * n[None, :], 1) & fresh & (part[:, None] != part[None, :]) & (not cross or own[:, None] != own[None, :]))
+    if len(x):
+        # Coarse maps first, for all pairs at once: folding a map keeps the bound, and shared bits are a product of matrices.
+        width = max(1, min(map(len, maps)) // 4)
+        bits = np.unpackbits(np.stack([folded(m, width) for m in maps]).view(np.uint8), axis=1).astype(np.float32)
+        set_bits, shared = bits.sum(1), bits @ bits.T
+        common = np.minimum(n[x] - set_bits[x] + shared[x, y], n[y] - set_bits[y] + shared[x, y])
+        near = (den + num) * common >= num * (n[x] + n[y])
+        x, y = x[near], y[near]
+        fine = np.zeros(len(x), dtype=bool)
+        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            width = min(len(maps[a]), len(maps[b]))
+            fine[i] = (den + num) * most_common(n[a], folded(maps[a], width), n[b], folded(maps[b], width)) >= num * (n[a] + n[b])
+        x, y = x[fine], y[fine]
+    a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -8,6 +8,7 @@ ever shuffled. Both tiers only save work: counts are those of the library whatev
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -20,66 +21,159 @@ from pyspark.sql import functions as F
 
 #: Rows of which the frequent pre-tokens are counted, and how many of them the table keeps: about 16 bytes each.
 SAMPLE_ROWS, TABLE_SIZE = 2000, 32_768
-#: A worker's cache starts anew beyond so many pre-tokens; longer ones are never kept.
-CACHE_SIZE, CACHED_CHARS = 300_000, 64
+#: Entries of each generation of a worker's cache; longer keys are never kept.
+CACHE_SIZE, CACHED_CHARS = 400_000, 64
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in both libraries' Unicode tables; a text with any other goes to the tokenizer as a whole.
 _KNOWN = regex.compile(r"[\x00-\u024F\u0370-\u03FF\u0400-\u052F\u1E00-\u1EFF\u2000-\u206F\u20A0-\u20BF\u2100-\u22FF\u3040-\u30FE\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E]*+")
+#: Letters up to here are letters in any Unicode version; marks that are a pre-token after a word.
+_LATIN, _MARKS = "\u024f", frozenset(",.;:!?")
+#: Byte-level vocabularies write a byte that isn't printable as the next character from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_CHARACTERS = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512), strict=False))
+_BLANK = _CHARACTERS[32] = chr(_CHARACTERS[32])
 _WORKER: dict[str, "PreTokens"] = {}
 
 
 class PreTokens:
-    """The tokenizer of one file with a worker's cache; ``ids`` and ``count`` equal ``encode(text, add_special_tokens=False)``."""
+    """The tokenizer of one file with a worker's cache; ``ids`` and ``count`` equal ``encode(text, add_special_tokens=False)``.
+
+    Where white space is single blanks and line feeds inside a text, a pre-token ends at each of them, so
+    the text is looked up word by word, with its blank. Other texts are split by the pattern.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
         self.split = regex.compile(PATTERN).findall
-        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = added
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.cached: dict[str, bytes] = {}
-        self.table: dict[str, int] = {}
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.line_feed = self.encode("\n")
+        self.tokens = Cache()
+        # Words without and with a blank before them: their ids, and the frequent lengths of the broadcast table.
+        self.words = (Cache(), Cache())
+        self.table: tuple[dict[str, int], dict[str, int]] = ({}, {})
+
+    def use_table(self, blob: bytes, lengths: np.ndarray) -> None:
+        for token, n in zip(blob.decode().split("\0"), lengths.tolist(), strict=True) if len(lengths) else ():
+            self.table[token[0] == " "][token.removeprefix(" ")] = n
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _miss(self, token: str) -> bytes:
-        ids = self.encode(token)
-        if len(token) <= CACHED_CHARS:
-            if len(self.cached) >= CACHE_SIZE:
-                self.cached.clear()
-            self.cached[token] = ids
+        return _packed([*self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _token(self, token: str, keep: bool = True) -> bytes:
+        """A pre-token's ids, from the cache or else from the tokenizer's model, which takes bytes as characters."""
+        ids = self.tokens.get(token) if keep else None
+        if ids is None:
+            # Of plain letters only the blank is written otherwise.
+            plain = token.isascii() and token[1:].isalpha() and (token[0] == " " or token[0].isalpha())
+            written = token.replace(" ", _BLANK) if plain else token.encode().decode("latin-1").translate(_CHARACTERS)
+            ids = _packed([t.id for t in self.model(written)])
+            if keep:
+                self.tokens.put(token, ids)
         return ids
 
+    def _text(self, text: str) -> bytes:
+        return b"".join(map(self._token, self.split(text))) if _KNOWN.fullmatch(text) else self.encode(text)
+
     def _parts(self, text: str) -> list[tuple[str, bytes | None]]:
-        if self.special is None:
+        if not any(x in text for x in self.added):
             return [(text, None)]
         return [(x, np.array([self.added[x]], dtype="<u4").tobytes() if x in self.added else None) for x in self.special.split(text) if x]
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if not _KNOWN.fullmatch(text):
-            return self.encode(text)
-        have, miss = self.cached.get, self._miss
-        return b"".join(fixed if fixed is not None else b"".join([have(t) or miss(t) for t in self.split(part)]) for part, fixed in self._parts(text))
+        out: list[bytes] = []
+        for part, fixed in self._parts(text):
+            if fixed is not None:
+                out.append(fixed)
+            elif not _single_spaced(part):
+                out.append(self._text(part))
+            else:
+                for i, line in enumerate(part.split("\n")):
+                    if i:
+                        out.append(self.line_feed)
+                    first, *rest = line.split(" ")
+                    out += self._found([first], 0)
+                    out += self._found(rest, 1)
+        return b"".join(out)
+
+    def _found(self, words: list[str], blank: int) -> list[bytes]:
+        found = list(map(self.words[blank].young.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._word(words[i], blank)
+        return found
+
+    def _word(self, word: str, blank: int) -> bytes:
+        """The ids of a word between white space; letters alone are one pre-token, and a mark after them another."""
+        ids = self.words[blank].get(word)
+        if ids is not None:
+            return ids
+        if word.isalpha() and max(word) <= _LATIN:
+            return self.words[blank].put(word, self._token(" " * blank + word, keep=False))
+        if word[:-1].isalpha() and word[-1] in _MARKS and max(word) <= _LATIN:
+            return self.words[blank].put(word, self._word(word[:-1], blank) + self._token(word[-1]))
+        return self.words[blank].put(word, self._text(" " * blank + word))
 
     def count(self, text: str) -> int:
-        if not _KNOWN.fullmatch(text):
-            return len(self.encode(text)) // 4
-        table, have, miss, n = self.table.get, self.cached.get, self._miss, 0
+        n = 0
         for part, fixed in self._parts(text):
             if fixed is not None:
                 n += 1
-                continue
-            found = self.split(part)
-            sizes = list(map(table, found))
-            missed = [t for t, k in zip(found, sizes, strict=True) if k is None] if None in sizes else []
-            n += sum(filter(None, sizes)) + sum(len(have(t) or miss(t)) // 4 for t in missed)
+            elif not _single_spaced(part):
+                n += len(self._text(part)) // 4
+            else:
+                lines = part.split("\n")
+                n += (len(lines) - 1) * (len(self.line_feed) // 4)
+                for line in lines:
+                    first, *rest = line.split(" ")
+                    n += self._measured([first], 0) + self._measured(rest, 1)
         return n
 
+    def _measured(self, words: list[str], blank: int) -> int:
+        """Tokens of words: the table first, then the worker's cache, then the tokenizer."""
+        found = list(map(self.table[blank].get, words))
+        if None in found:
+            for i, n in enumerate(found):
+                if n is None:
+                    found[i] = len(self._word(words[i], blank)) // 4
+        return sum(found)
+
+
+class Cache:
+    """Keys of two generations: when the young one is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value):
+        if len(key) <= CACHED_CHARS:
+            if len(self.young) >= CACHE_SIZE:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _single_spaced(text: str) -> bool:
+    """Whether all white space is single blanks and line feeds between other characters."""
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+
 
 def worker(path: str) -> PreTokens:
     if path not in _WORKER:
@@ -123,8 +217,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker(path)
-        blob, lengths = table.value
-        own.table = dict(zip(blob.decode().split("\0"), lengths.tolist(), strict=True)) if len(lengths) else {}
+        own.use_table(*table.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = pa.array([own.count(t) if t else 0 for t in texts], pa.int64())
