@@ -184,17 +184,19 @@ def worker(path: str) -> PreTokens:
 def frequent_pre_tokens(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, size: int = TABLE_SIZE) -> tuple[bytes, np.ndarray]:
     """The table: at most ``size`` frequent pre-tokens joined by NUL, and their lengths in tokens.
 
-    Counted over the ``rows`` texts whose hash is lowest. Each task counts its own rows and sends at
-    most ``size`` pre-tokens, so what reaches the driver is bounded by the sample, not by the corpus.
+    Counted over a random sample of about ``rows`` texts, drawn where they lie. Each task counts its own
+    and sends at most ``size`` pre-tokens, so what reaches the driver is bounded by the sample, not by
+    the corpus. The sample decides how much work the table saves, never a count.
     """
-    sample = docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(rows)
+    docs = docs.select("text")
+    sample = docs.sample(min(1.0, rows / max(1, docs.count())), seed=1)
     split = regex.compile(PATTERN).findall
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(t for t in split(text) if len(t) <= CACHED_CHARS and "\0" not in t and _KNOWN.fullmatch(t))
+                seen.update(t for t in split(text or "") if len(t) <= CACHED_CHARS and "\0" not in t and _KNOWN.fullmatch(t))
         top = seen.most_common(size)
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["token", "n"])
 
