@@ -89,8 +89,8 @@ def tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of eight to sixteen bits a member, as 64-bit words: few members hide behind others, so the bound is tight."""
-    bits = 1 << max(6, (8 * len(s) - 1).bit_length())
+    """A hashed bitmap of four to eight bits a member, as 64-bit words: few members hide behind others, so the bound is tight."""
+    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -192,22 +192,22 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
     links = scratch.save(linked(scratch.save(sized.mapInArrow(bounded, "a long, b long"), "near")), "links")
     found = connected_components(links, scratch, "first")
 
-    # Tiles of three or more whose members are still apart: every pair that is, block against block.
+    # Tiles of three or more whose members are still apart: every pair that is, block against block. The
+    # tiles of one first member go together, so that a member travels with its bitmap once for all of them.
     placed = live.select("tile", "node").distinct().join(found, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    apart = scratch.save(apart.where("members > 2 and low <> high").groupBy("members", "who").agg(F.min("tile").alias("tile")), "apart")
+    apart = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader"))
+    apart = scratch.save(apart.where("members > 2 and low <> high").select("tile", "leader"), "apart")
     if not apart.isEmpty():
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        placed = placed.join(apart.select("tile", blocks.alias("blocks")), "tile")
-        # With each member go its tiles (no more than it has segments), so that a pair is compared in the first it shares.
-        shared = placed.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("tiles"))
-        dealt = placed.join(slim.join(shared, "node"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        gathered = placed.join(apart, "tile").groupBy("leader", "node").agg(F.min("component").alias("component"), F.collect_list("tile").alias("tiles"))
+        gathered = scratch.save(gathered, "gathered")
+        blocks = gathered.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        dealt = gathered.join(blocks, "leader").join(slim, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "tiles")
-        dealt = dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "node")
+        dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "tiles")
+        dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "n", "node")
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for run in _runs(batches, ["tile", "i", "j"]):
+            for run in _runs(batches, ["leader", "i", "j"]):
                 yield _pairs_apart(run, num, den)
 
         more = scratch.save(dealt.mapInArrow(compared, "a long, b long").distinct(), "more")
@@ -306,23 +306,20 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 
 def _pairs_apart(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
-    """Pairs of different components, across the two blocks of the run, that sizes and bitmaps leave possible."""
+    """Pairs of different components in one tile, across the two blocks of the run, that sizes and bitmaps leave possible."""
     n, own, part, node = (np.array(run[c]) for c in ("n", "own", "component", "node"))
     maps = [np.frombuffer(b, np.uint64) for b in run["bits"].to_pylist()]
     cross = run["i"][0] != run["j"][0]
-    # Which pairs share a lower tile, and so have been compared there: a product of member-by-tile matrices.
+    # Which members meet in a tile: a product of the member-by-tile matrix with itself.
     tiles = run["tiles"].combine_chunks()
-    flat, sizes = np.array(tiles.flatten()), np.diff(np.array(tiles.offsets))
-    member = np.repeat(np.arange(len(n)), sizes)
-    lower = flat < run["tile"][0].as_py()
-    _, column = np.unique(flat[lower], return_inverse=True)
-    earlier = np.zeros((len(n), int(column.max()) + 1 if len(column) else 1), dtype=np.float32)
-    earlier[member[lower], column] = 1
-    fresh = earlier @ earlier.T == 0
-    x, y = np.nonzero(np.triu(den * n[:, None] >= num * n[None, :], 1) & fresh & (part[:, None] != part[None, :]) & (not cross or own[:, None] != own[None, :]))
+    found, column = np.unique(np.array(tiles.flatten()), return_inverse=True)
+    inside = np.zeros((len(n), len(found)), dtype=np.float32)
+    inside[np.repeat(np.arange(len(n)), np.diff(np.array(tiles.offsets))), column] = 1
+    meet = inside @ inside.T > 0
+    x, y = np.nonzero(np.triu(den * n[:, None] >= num * n[None, :], 1) & meet & (part[:, None] != part[None, :]) & (not cross or own[:, None] != own[None, :]))
     if len(x):
         # Coarse maps first, for all pairs at once: folding a map keeps the bound, and shared bits are a product of matrices.
-        width = max(1, min(map(len, maps)) // 4)
+        width = max(1, min(map(len, maps)) // 2)
         bits = np.unpackbits(np.stack([folded(m, width) for m in maps]).view(np.uint8), axis=1).astype(np.float32)
         set_bits, shared = bits.sum(1), bits @ bits.T
         common = np.minimum(n[x] - set_bits[x] + shared[x, y], n[y] - set_bits[y] + shared[x, y])
