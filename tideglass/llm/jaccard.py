@@ -26,6 +26,8 @@ from .words import SPACED, binaries, grams, hashed_words, mix, text_slices
 
 #: Ratio of a size band's edges; members of a tile that are compared at once; sets a task remembers so as to send a copy once.
 BAND, BLOCK, REMEMBERED = 1.5, 512, 200_000
+#: Sets whose tiles are sent at once.
+SENT = 1000
 #: Bits of the filter that keeps most sets without a candidate from being shuffled; a full filter costs time, never results.
 FILTER_BITS = 1 << 27
 #: Stands for a null id where sets are fetched again.
@@ -136,6 +138,10 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
         bands, seen = Bands(threshold), set()
         for batch in batches:
             keys, nodes, sizes = [], [], []
+
+            def gathered() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["tile", "node"])
+
             for _, s in shingle_sets(batch, words):
                 node = set_key(s) if len(s) else None
                 if node is None or node in seen:
@@ -145,8 +151,11 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
                 keys.append(tiles(s, bands))
                 nodes.append(node)
                 sizes.append(len(keys[-1]))
+                if len(sizes) >= SENT:
+                    yield gathered()
+                    keys, nodes, sizes = [], [], []
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["tile", "node"])
+                yield gathered()
 
     rows = scratch.save(docs.mapInArrow(digest, "doc_id long, n_shingles long, node long"), "rows")
     # Range partitions by tile and member: a tile that many sets share spreads over partitions.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Rows of which the frequent pre-tokens are counted, and how many of them the table keeps: about 16 bytes each.
 SAMPLE_ROWS, TABLE_SIZE = 2000, 32_768
 #: Entries of each generation of a worker's cache; longer keys are never kept.
-CACHE_SIZE, CACHED_CHARS = 400_000, 64
+CACHE_SIZE, CACHED_CHARS = 100_000, 64
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in both libraries' Unicode tables; a text with any other goes to the tokenizer as a whole.

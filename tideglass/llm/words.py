@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _lower() -> np.ndarray:
