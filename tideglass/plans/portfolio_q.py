@@ -35,11 +35,11 @@ def closed_end_fund(spark, d):
     f"""WITH RECURSIVE {_QUARTERS}, f AS (SELECT path, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS q, CAST(0.1 AS DOUBLE) AS cash, CAST(0.2 AS DOUBLE) AS liquid, CAST(0.3 AS DOUBLE) AS private, CAST(0.0 AS DOUBLE) AS sold, CAST(0.0 AS DOUBLE) AS forced FROM (SELECT DISTINCT path FROM n)
     UNION ALL SELECT path, i, q, lft + sold + nav * 0.8, liquid - sold, private - nav, sold, nav * 0.8 FROM (SELECT *, least(private, (greatest(0.0, -lft) - sold) / 0.8) AS nav FROM (SELECT *, least(greatest(0.0, -lft), liquid) AS sold FROM (
         SELECT n.path, n.i, n.q, f.liquid, f.private, f.cash + n.a - 0.03 - greatest(n.g, 0.0) AS lft FROM f JOIN n ON n.path = f.path AND n.i = f.i + 1))))
-    SELECT path, q, round(cash, 6) + 0.0 AS cash, round(liquid, 6) + 0.0 AS liquid, round(private, 6) + 0.0 AS private, round(sold, 6) + 0.0 AS sold, round(forced, 6) + 0.0 AS forced FROM f WHERE i > 0"""
+    SELECT path, q, round(cash, 10) + 0.0 AS cash, round(liquid, 10) + 0.0 AS liquid, round(private, 10) + 0.0 AS private, round(sold, 10) + 0.0 AS sold, round(forced, 10) + 0.0 AS forced FROM f WHERE i > 0"""
 )
 def cash_waterfall(spark, d):
     q = quarters(spark, d).select("path", "q", F.col("a").alias("income"), F.lit(0.03).alias("calls"), F.greatest(F.col("g"), F.lit(0.0)).alias("spending"))
-    return pf.waterfall(q, ["path"], "q", ("income", "calls", "spending"), 0.1, 0.2, 0.3, 0.2).select("path", "q", *r6("cash", "liquid", "private", "sold", "forced"))
+    return pf.waterfall(q, ["path"], "q", ("income", "calls", "spending"), 0.1, 0.2, 0.3, 0.2).select("path", "q", *(F.round(c, 10).alias(c) for c in ("cash", "liquid", "private", "sold", "forced")))
 
 
 @query(
