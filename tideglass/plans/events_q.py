@@ -56,10 +56,10 @@ def recoveries(spark, d):
 
 @query(
     """WITH l AS (SELECT sid, dt, v, lag(v, 1) OVER o AS a, lag(v, 2) OVER o AS b FROM series_d WINDOW o AS (PARTITION BY sid ORDER BY dt))
-    SELECT sid, dt, round(a + 0.5 * (a - b), 6) + 0.0 AS consensus, round((v - a - 0.5 * (a - b)) / 10, 6) + 0.0 AS severity FROM l WHERE b IS NOT NULL"""
+    SELECT sid, dt, round(a + 0.5 * (a - b), 10) + 0.0 AS consensus, round((v - a - 0.5 * (a - b)) / 10, 10) + 0.0 AS severity FROM l WHERE b IS NOT NULL"""
 )
 def release_surprises(spark, d):
-    return ev.surprises(t.series_d(spark, d), 0.5, 10.0).select("sid", "dt", *r6("consensus", "severity"))
+    return ev.surprises(t.series_d(spark, d), 0.5, 10.0).select("sid", "dt", *(F.round(c, 10).alias(c) for c in ("consensus", "severity")))
 
 
 @query(
