@@ -83,3 +83,19 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted(map(tuple, ngram_jaccard(df).collect()), key=str)
     assert got == sorted([(7, 2, 7), (7, 2, 7), (None, 2, 7), (None, 1, None)], key=str)
     assert ngram_jaccard(df.limit(0)).collect() == []
+
+
+def test_tiles_of_two_that_a_bound_cuts(spark):
+    """With more partitions than rows, every row of the tiles is alone in one."""
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"]))]
+    own = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows) and {r[2] for r in got} == {1}

@@ -201,11 +201,14 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
     links = scratch.save(linked(scratch.save(sized.mapInArrow(bounded, "a long, b long"), "near")), "links")
     found = connected_components(links, scratch, "first")
 
-    # Tiles of three or more whose members are still apart: every pair that is, block against block. The
-    # tiles of one first member go together, so that a member travels with its bitmap once for all of them.
-    placed = live.select("tile", "node").distinct().join(found, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader"))
-    apart = scratch.save(apart.where("members > 2 and low <> high").select("tile", "leader"), "apart")
+    # Tiles of three or more, or that a partition's bound cut, whose members are still apart: every pair that is, block
+    # against block. The tiles of one first member go together, so that a member travels with its bitmap once for all of them.
+    placed = live.distinct().join(found, "node", "left").select("tile", "node", "leader", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("leader").alias("leader"), F.max("leader").alias("last_leader")
+    )
+    apart = scratch.save(apart.where("(members > 2 or leader <> last_leader) and low <> high").select("tile", "leader"), "apart")
+    placed = placed.drop("leader")
     if not apart.isEmpty():
         gathered = placed.join(apart, "tile").groupBy("leader", "node").agg(F.min("component").alias("component"), F.collect_list("tile").alias("tiles"))
         gathered = scratch.save(gathered, "gathered")
