@@ -23,6 +23,15 @@ def test_without_article():
     assert main_text(page) == "\n".join(["Head", long.strip(), long + "x", "End."]).replace("  ", " ")
 
 
+def test_siblings_without_article():
+    long = "Some words, and more words."
+    for n, m in ((6, 4), (5, 5), (4, 6)):
+        page = f"<body><div class=menu><a>a</a></div><div><section><h2>One</h2>{f'<p>{long}</p>' * n}</section><section><h2>Two</h2>{f'<p>{long}</p>' * m}</section></div></body>"
+        assert main_text(page) == "\n".join(["One", *[long] * n, "Two", *[long] * m])
+        page = f"<body><div id=lead>{f'<p>{long}</p>' * n}</div><div id=text>{f'<p>{long}</p>' * m}</div></body>"
+        assert main_text(page) == "\n".join([long] * (n + m))
+
+
 def test_broken_and_empty(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a<p>b</div></body>"), (4, "u", "<script>never closed <p>x"), (5, "u", "a < b & c &am"), (6, "u", "<div" * 3000), (6, "u", "<p>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))

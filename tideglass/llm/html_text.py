@@ -1,8 +1,8 @@
 """HTML extraction by tag-path ratios (operator 5).
 
 Text length and punctuation are summed for each path of tags from the root to a block, put over the
-number of blocks on that path, smoothed along the page, fused and held against a threshold. The node
-that holds the blocks of content paths is the main one; what lies in it is kept, except for regions
+number of blocks on that path, smoothed along the page, fused and held against a threshold. The article
+around most of the text on content paths, or else the node around all of it, is the main one; what lies in it is kept, except for regions
 that are marked as menus, notices, adverts, forms, comments and the like.
 """
 
@@ -144,13 +144,14 @@ def main_text(page: str | None) -> str:
             for node in b.nodes:
                 weight[node] = weight.get(node, 0) + len(b.text)
     total = sum(len(b.text) for b in found if b.path in paths)
-    main = -1
+    most = all_of = -1
     for node, w in sorted(weight.items()):  # nodes are numbered in page order, so a node follows its parent
-        if 2 * w >= total and tags[node] not in ("p", "li", "blockquote", "td", "pre", "h1", "h2", "h3"):
-            main = node
-    # The article around it, where there is one, holds its heading too.
-    above = next((b.nodes for b in found if main in b.nodes), ())
-    main = next((x for x in above if tags[x] in ("article", "main") and x <= main), main)
+        if tags[node] not in ("p", "li", "blockquote", "td", "pre", "h1", "h2", "h3"):
+            most = node if 2 * w >= total else most
+            all_of = node if w == total else all_of
+    # The article around most of the text, where there is one, holds its heading too; without one, the node around all content blocks.
+    above = next((b.nodes for b in found if most in b.nodes), ())
+    main = next((x for x in above if tags[x] in ("article", "main") and x <= most), all_of)
     return "\n".join(b.text for b in found if main < 0 or main in b.nodes)
 
 
