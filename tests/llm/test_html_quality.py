@@ -32,6 +32,23 @@ def test_siblings_without_article():
         assert main_text(page) == "\n".join([long] * (n + m))
 
 
+def test_wrappers_are_no_regions():
+    long = "Some words, and more words."
+    body, rest = f"<h2>Head</h2>{f'<p>{long}</p>' * 5}", "<div class=sidebar><p>Side, side.</p></div><div class='share-bar'>s</div>"
+    want = "\n".join(["Head", *[long] * 5])
+    opens = [f"<div class='{c}'>" for c in ("page has-sidebar", "no-sidebar", "comments-open", "menu-closed", "page sidebar", "site-banner x")]
+    for tag in [*opens, "<form id=aspnet>", "<form><div class='menu'>"]:
+        for text in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div id=c>{body}</div>"):
+            assert main_text(f"<body><nav>n</nav>{tag}{text}{rest}</body>") == want, (tag, text)
+
+
+def test_marked_regions_stay_out():
+    long = "Some words, and more words."
+    text, more = f"<p>{long}</p>" * 3, f"<p>{long}</p>" * 6
+    for page in (f"<article>{text}</article><div class=comments>{more}</div>", f"<div id=c>{text}</div><div class=comments>{more}</div>", f"<div id=c>{text}</div><form>{more}</form>"):
+        assert main_text(f"<body>{page}</body>") == "\n".join([long] * 3)
+
+
 def test_broken_and_empty(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a<p>b</div></body>"), (4, "u", "<script>never closed <p>x"), (5, "u", "a < b & c &am"), (6, "u", "<div" * 3000), (6, "u", "<p>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))

@@ -33,6 +33,10 @@ MARKS = {
     "disqus", "footer", "gdpr", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related",
     "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar",
 }
+#: The share of content text, with that outside all marks, from which a marked region without an article is a wrapper.
+WRAPPER = 0.8
+#: Beside a mark in one class, as in has-sidebar or menu-closed: the class tells of a state, not of what the element is.
+STATES = {"has", "no", "with", "without", "open", "opened", "closed"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -40,29 +44,30 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
 
 class Block:
-    __slots__ = ("text", "nodes", "path", "out")
+    __slots__ = ("text", "nodes", "path", "out", "named")
 
-    def __init__(self, text: str, nodes: tuple[int, ...], path: str, out: bool):
-        self.text, self.nodes, self.path, self.out = text, nodes, path, out
+    def __init__(self, text: str, nodes: tuple[int, ...], path: str, out: bool, named: tuple[int, ...]):
+        self.text, self.nodes, self.path, self.out, self.named = text, nodes, path, out, named
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element opens a region that is never main text; ``inside``: it stands in an article."""
-    if tag in OUTSIDE or tag == "header" and not inside:
-        return True
+def _marked(tag: str, attributes: str, inside: bool) -> str:
+    """Whether an element opens a region that is never main text (``out``) or only by its name, or as a form (``named``); ``inside``: it stands in an article."""
+    if tag in OUTSIDE - {"form"} or tag == "header" and not inside:
+        return "out"
+    named = "named" if tag == "form" else ""
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return named
     values = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
-    names = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}".lower()))
-    return bool(names & MARKS) or values.get("role", "").lower() in ROLES
+        return "out"
+    names = [set(re.split(r"[^a-z0-9]+", x)) for x in f"{values.get('class', '')} {values.get('id', '')}".lower().split()]
+    return "named" if any(x & MARKS and not x & STATES for x in names) or values.get("role", "").lower() in ROLES else named
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
     """The page's blocks of text in order, and the tag of every node. A block's ``nodes`` lead from the root to it."""
     tags: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # open block elements: tag, node, marked
+    stack: list[tuple[str, int, str]] = []  # open block elements: tag, node, mark
     found: list[Block] = []
     words: list[str] = []
 
@@ -70,7 +75,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         text = " ".join(html.unescape("".join(words)).split()) if words else ""
         words.clear()
         if text:
-            found.append(Block(text, tuple(n for _, n, _ in stack), "/".join(t for t, _, _ in stack), any(m for _, _, m in stack)))
+            found.append(Block(text, tuple(n for _, n, _ in stack), "/".join(t for t, _, _ in stack), any(m == "out" for _, _, m in stack), tuple(n for _, n, m in stack if m == "named")))
 
     def close(names: set[str], scope: set[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -132,9 +137,33 @@ def content_paths(found: list[Block]) -> set[str]:
     return {p for p, s in zip(paths, fused, strict=True) if s >= min(fused.max(), fused.std())}
 
 
+def unmarked(found: list[Block], tags: list[str]) -> list[Block]:
+    """The blocks outside regions that are marked by name. Where these hold the bulk of the content text, they are wrappers and not regions.
+
+    Comments may outweigh a short text: they are no wrapper unless they hold an article or nearly all of the page.
+    """
+    free = [b for b in found if not b.named]
+    article = lambda b: any(tags[x] in ("article", "main") for x in b.nodes)
+    if len(free) == len(found) or any(map(article, free)):
+        return free
+    paths = content_paths(found)
+    weight: dict[tuple[int, ...], int] = {(): 0}
+    for b in found:
+        if b.path in paths:
+            weight[b.named] = weight.get(b.named, 0) + len(b.text)
+    most = max(weight, key=lambda x: (weight[x], not x))
+    # An article or main in the wrapper: its text is not to be lost, whatever else the page has.
+    held = {b.named: len(b.text) for b in found if b.path in paths and article(b)}
+    if most not in held and held and weight[()] < max(weight[x] for x in held):
+        most = max(held, key=lambda x: weight[x])
+    if most and (most in held and weight[most] > weight[()] or weight[most] >= WRAPPER * (weight[most] + weight[()])):
+        return [b for b in found if set(b.named) <= set(most)]
+    return free
+
+
 def main_text(page: str | None) -> str:
     found, tags = blocks(page or "")
-    found = [b for b in found if not b.out]
+    found = unmarked([b for b in found if not b.out], tags)
     if not found:
         return ""
     paths = content_paths(found)
