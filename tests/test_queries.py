@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass import plans
-from tideglass.operators import joins, resample, transforms
+from tideglass.operators import joins, resample, statistics, transforms
 from tideglass.operators import windows as w
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +110,19 @@ def test_windows_plan_has_one_shuffle(spark):
     df = spark.createDataFrame([("a", i, 0.01) for i in range(30)], "sid string, dt int, r double")
     plan = w.realized_vol(w.drawdown_state(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_auc_over_ranges_equals_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(bool(p), float(v)) for p, v in zip(rng.integers(0, 2, 300), rng.integers(0, 60, 300))] + [(True, None), (False, None)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = statistics.rank_auc(spark.createDataFrame(rows, "p boolean, v double"), F.col("p"), "v")
+        got = df.first()
+        assert "rangepartitioning" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    of = lambda k: [-1 if v is None else v for p, v in rows if p == k]
+    want = np.mean([(a > b) + (a == b) / 2 for a in of(True) for b in of(False)])
+    assert (got.positives, got.negatives) == (len(of(True)), len(of(False))) and abs(got.auc - want) < 1e-12

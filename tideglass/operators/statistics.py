@@ -196,11 +196,19 @@ def ks_uniform(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def rank_auc(df: DataFrame, positive: Column, value: str) -> DataFrame:
-    """Chance that a positive row's value exceeds a negative one's, ties counting half, from average ranks."""
-    r = average_rank(df.withColumn("_p", positive), value, (), "_r")
-    n1, n0 = F.sum(F.when(F.col("_p"), 1).otherwise(0)), F.sum(F.when(F.col("_p"), 0).otherwise(1))
-    top = F.sum(F.when(F.col("_p"), F.col("_r")).otherwise(0.0)) - n1 * (n1 + 1) / 2
-    return r.agg(n1.alias("positives"), n0.alias("negatives"), F.try_divide(top, n1 * n0).alias("auc"))
+    """Chance that a positive row's value exceeds a negative one's, ties counting half; nulls are the lowest.
+
+    Rows are counted by value and the values dealt by ranges, so that no task has them all; each range adds the negatives of those below it.
+    """
+    p = F.coalesce(positive, F.lit(False))
+    counts = df.select(F.col(value).alias("_v"), p.alias("_p")).groupBy("_v").agg(F.count_if("_p").alias("_1"), F.count_if(~F.col("_p")).alias("_0"))
+    dealt = counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
+    below = F.sum("_0").over(Window.partitionBy("_part").orderBy("_v")) - F.col("_0") / 2
+    parts = dealt.withColumn("_u", F.col("_1") * below).groupBy("_part").agg(*[F.sum(c).alias(c) for c in ("_1", "_0", "_u")])
+    before = F.sum("_0").over(Window.orderBy("_part")) - F.col("_0")  # one row a range
+    n1, n0 = F.sum("_1"), F.sum("_0")
+    top = F.sum(F.col("_u") + F.col("_1") * F.col("_b"))
+    return parts.withColumn("_b", before).agg(n1.alias("positives"), n0.alias("negatives"), F.try_divide(top, n1 * n0).alias("auc"))
 
 
 def signed_rank(df: DataFrame, difference: Column) -> DataFrame:
