@@ -68,7 +68,10 @@ def test_sinks(spark, tmp_path):
 
 def _run(spark, out, name, mode="append"):
     q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        assert q.awaitTermination(90), "the stream didn't end"
+    finally:
+        q.stop()
     return spark.table(name)
 
 
@@ -89,7 +92,16 @@ def test_windows_and_sessions_equal_batch(spark):
 
 
 def test_stateful_crossings(spark):
-    got = _run(spark, live.crossings(live.timed(_stream(spark)), 50.0, "user_id", "value"), "crossed")
+    got = _run(spark, live.crossings(live.timed(_stream(spark)), 50.0, "user_id", "value", tie="event_id"), "crossed")
     w = "lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)"
     want = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "value", f"{w} AS p").where("p IS NOT NULL AND (p < 50) <> (value < 50)")
     assert got.count() == want.count()
+
+
+def test_crossings_ties_and_nulls(spark, tmp_path):
+    rows = [(1, 1, 60.0), (1, 0, 40.0), (2, 2, None), (3, 3, 40.0), (None, 4, 90.0)]
+    df = spark.createDataFrame([("k", e, None if d is None else f"2024-01-0{d} 00:00:00", v) for d, e, v in rows], "k string, e long, t string, v double")
+    df.select("k", "e", F.col("t").cast("timestamp_ntz").alias("ts"), "v").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, e long, ts timestamp_ntz, v double").parquet(str(tmp_path / "in"))
+    got = _run(spark, live.crossings(live.timed(stream), 50.0, "k", "v", tie="e"), "tied").orderBy("ts").collect()
+    assert [(r.ts.day, r.crossing) for r in got] == [(1, "up"), (3, "down")]

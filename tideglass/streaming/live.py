@@ -30,24 +30,32 @@ def deduplicated(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def crossings(events: DataFrame, level: float, by: str, value: str, ts: str = "ts") -> DataFrame:
-    """Each key's moves over a level, told from the last value seen: one number of state a key, dropped when the key falls silent."""
+def crossings(events: DataFrame, level: float, by: str, value: str, ts: str = "ts", tie: str | None = None, quiet: str = "1 day") -> DataFrame:
+    """Each key's moves over a level, told from the last value seen: one number of state a key.
+
+    A key's state goes when the watermark has passed its last event by ``quiet``, so replayed data are judged
+    by their own times. Rows of one time go by ``tie`` (else as they come); a null value or time says nothing.
+    Within a trigger rows are sorted; one that comes in a later trigger than its successors counts when it comes.
+    """
+    pause = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    order = [ts] if tie is None else [ts, tie]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out = []
         for at, x in zip(rows[ts], rows[value], strict=True):
             if last is not None and (last < level) != (x < level):
                 out.append((key[0], at, "up" if x >= level else "down"))
             last = float(x)
-        if last is not None:
-            state.update((last,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.update((last,))
+        until = int(rows[ts].max().timestamp() * 1000) + pause
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[by, ts, "crossing"])
 
     kind = dict(events.dtypes)[by]
-    return events.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, {ts} timestamp, crossing string", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = events.where(F.col(ts).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    return known.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, {ts} timestamp, crossing string", "last double", "append", GroupStateTimeout.EventTimeTimeout)
