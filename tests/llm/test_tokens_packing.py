@@ -3,6 +3,9 @@ import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -11,6 +14,8 @@ from tideglass.llm.packing import best_fit, lower_bound, pack_documents
 from tideglass.llm.queries import vocabulary
 from tideglass.llm.tokens import PreTokens, token_counts
 
+_TOKENIZER, _OWN = Tokenizer.from_file(vocabulary()), PreTokens(vocabulary())
+
 
 @pytest.fixture(scope="module")
 def rows():
@@ -32,11 +37,43 @@ def test_counts_equal_the_library(spark, rows):
     assert token_counts(df.limit(0), vocabulary(), 100).collect() == []
 
 
+def _joined(texts):
+    data = [(x or "").encode() for x in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
 def test_cache_overflow_changes_nothing(monkeypatch, rows):
     monkeypatch.setattr("tideglass.llm.tokens.CACHE_SIZE", 3)
     t, own = Tokenizer.from_file(vocabulary()), PreTokens(vocabulary())
-    for _, x in rows[:80]:
-        assert np.frombuffer(own.ids(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+    texts = [x for _, x in rows[:80]]
+    for low in range(0, 80, 7):
+        ids, bounds = own.ids(*_joined(texts[low : low + 7]), 0)
+        for i, x in enumerate(texts[low : low + 7]):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 0]
+
+
+_CHARACTERS = "ab \n\t\r'sétÀ×÷1!.,\x1c\x85\xa0\u2003\u3000\u0301漢½ة\u200b\x00<|"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from(_CHARACTERS) | st.characters(exclude_categories=["Cs"])), min_size=1, max_size=6))
+def test_cuts_are_those_of_the_library(texts):
+    want = [_TOKENIZER.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, bounds = _OWN.ids(*_joined(texts), 0)
+    assert [ids[a : b - 1].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    assert _OWN.count(*_joined(texts)).tolist() == list(map(len, want))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies(name, rows):
+    own = PreTokens(vocabulary(name))
+    texts = [x for _, x in rows[:40]]
+    if name.endswith(".model"):
+        encode = sentencepiece.SentencePieceProcessor(model_file=vocabulary(name)).encode
+    else:
+        other = Tokenizer.from_file(vocabulary(name))
+        encode = lambda x: other.encode(x, add_special_tokens=False).ids
+    assert own.count(*_joined(texts)).tolist() == [len(encode(x or "")) for x in texts]
 
 
 def test_best_fit_and_bound():

@@ -58,8 +58,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, past last row, bytes, offsets)`` of slices of about ``SLICE_BYTES``; a longer text stands alone; null is empty."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, past last row, bytes, offsets)`` of slices of about ``size`` bytes; a longer text stands alone; null is empty."""
     col = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     n = len(col)
     if not n:
@@ -69,7 +69,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     low = 0
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, side="right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1)
         high = min(high, n)
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
