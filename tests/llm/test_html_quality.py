@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideglass.llm import quality
+from tideglass.llm import html_text, quality
 from tideglass.llm.html_text import extract_text, main_text
 
 
@@ -49,6 +49,84 @@ def test_marked_regions_stay_out():
         assert main_text(f"<body>{page}</body>") == "\n".join([long] * 3)
 
 
+def test_scores_select_the_blocks(monkeypatch):
+    """Without an article or any telling name, only the scores keep lists of links out."""
+    long = "Some words, and more words, that go on for a while. They end here."
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
+    body = f"<h2>Head</h2>{f'<p>{long}</p>' * 6}<ul><li>one</li><li>two</li></ul>"
+    page = f"<body><div class=u><ul>{links}</ul></div><div class=v><div><p><a>Log in</a> now</p></div></div><div class=w>{body}</div><div class=x><p><a>Next</a></p></div></body>"
+    want = "\n".join(["Head", *[long] * 6, "one", "two"])
+    assert main_text(page) == want
+    monkeypatch.setattr(html_text, "path_scores", lambda found, tags: [1.0] * len(found))
+    assert main_text(page) != want and "Log in" in main_text(page)
+
+
+def test_pages_without_article_as_with_one(spark):
+    """The sample pages with their articles turned into plain divisions give the same texts by ratios alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    for r in rows:
+        bare = r.html.replace("<article>", "<div class=z>").replace("</article>", "</div>")
+        assert main_text(bare) == main_text(r.html)
+
+
+def plain_scores(found, tags):
+    """The scores of ``path_scores``, path by path and without arrays."""
+    forgiven = html_text.wrappers(found, tags)
+    keys = [(b.path, b.out or any(n not in forgiven for n in b.named)) for b in found]
+    order = sorted(set(keys), key=keys.index)
+    own_blocks = {k: [b for b, x in zip(found, keys, strict=True) if x == k] for k in order}
+    free = {k: sum(len(b.text) - 0.9 * b.linked for b in v) for k, v in own_blocks.items()}
+    points = {k: sum(c in ".,;:!?…、。，！？" for b in v for c in b.text) for k, v in own_blocks.items()}
+    first = lambda k: next((i for i, e in enumerate(k[0]) if e.split(".")[0] in ("article", "main")), None)
+    article = {k: k[0][: first(k) + 1] if first(k) is not None else None for k in order}
+    held = {}
+    for k in order:
+        held[article[k]] = held.get(article[k], 0) + (0 if k[1] else free[k])
+    main = max((a for a in held if a), key=lambda a: held[a], default=None)
+    main = main if main and 2 * held[main] >= sum(held.values()) else None
+    evidence, own = {}, {}
+    for i, k in enumerate(order):
+        near = [order[max(i - 1, 0)], k, order[min(i + 1, len(order) - 1)]]
+        text, marks = (sum(w * total[x] / len(own_blocks[x]) for w, x in zip(html_text.KERNEL, near, strict=True)) for total in (free, points))
+        evidence[k] = html_text.MARKED if k[1] else 1
+        if main and article[k] != main:
+            evidence[k] *= html_text.BESIDE
+        elif not article[k] and sum(b.linked for b in own_blocks[k]) * 2 > sum(len(b.text) for b in own_blocks[k]):
+            evidence[k] *= html_text.LINKED
+        own[k] = (text * (marks + 0.1)) ** 0.5 * evidence[k]
+    around = lambda k: [k[0][:i] for i in range(len(k[0]), 0, -1) if k[0][i - 1].split(".")[0] in html_text.CONTAINERS - {"html", "body"}] + [()]
+    top = max((own[k] for k in order if not k[1]), default=0)
+    out = {}
+    for k in order:
+        share, score = 1.0, own[k]
+        for c in around(k):
+            score = max(score, evidence[k] * share * max(own[x] for x in order if c == () or c in around(x)))
+            if main is None or article[k] != main or c == main:
+                share *= html_text.FURTHER
+        out[k] = score / top if top else 0.0
+    return [out[k] for k in keys]
+
+
+def test_scores_as_brute_force():
+    rng = random.Random(9)
+    said = ["Some words, and more. ", "menu", "x", "A long line of words without any point at all ", "One. Two. Three! "]
+
+    def made_of(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = rng.choice(said) * rng.choice([1, 2, 9])
+            return f"<p>{f'<a>{text}</a>' if rng.random() < 0.3 else text}</p>"
+        tag = rng.choice(["div", "div class=c1", "div class='menu'", "section", "article", "main", "ul", "nav", "form", "div id=sidebar", "td"])
+        return f"<{tag}>{''.join(made_of(depth - 1) for _ in range(rng.randrange(1, 4)))}</{tag.split()[0]}>"
+
+    seen = set()
+    for _ in range(300):
+        found, tags = html_text.blocks(f"<body>{''.join(made_of(3) for _ in range(3))}</body>")
+        got = html_text.path_scores(found, tags)
+        assert np.allclose(got, plain_scores(found, tags), atol=1e-12)
+        seen.update(x >= html_text.THRESHOLD for x in got)
+    assert seen == {True, False}
+
+
 def test_broken_and_empty(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a<p>b</div></body>"), (4, "u", "<script>never closed <p>x"), (5, "u", "a < b & c &am"), (6, "u", "<div" * 3000), (6, "u", "<p>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))

@@ -1,9 +1,10 @@
 """HTML extraction by tag-path ratios (operator 5).
 
-Text length and punctuation are summed for each path of tags from the root to a block, put over the
-number of blocks on that path, smoothed along the page, fused and held against a threshold. The article
-around most of the text on content paths, or else the node around all of it, is the main one; what lies in it is kept, except for regions
-that are marked as menus, notices, adverts, forms, comments and the like.
+Text length and punctuation are summed for each path of tags and class names from the root to a block, put
+over the number of blocks on that path, smoothed along the page and fused. Evidence scales the ratio: names
+of menus, notices, adverts, forms and comments, text that is mostly links, an article elsewhere. A path also takes
+the best ratio of the containers around it, less with each one further out. Blocks on paths
+whose score reaches a share of the page's best are the text; nothing else selects them.
 """
 
 from __future__ import annotations
@@ -31,10 +32,18 @@ OUTSIDE = {"nav", "footer", "aside", "form", "button", "dialog", "head"}
 MARKS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
     "disqus", "footer", "gdpr", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related",
-    "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar",
+    "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
-#: The share of content text, with that outside all marks, from which a marked region without an article is a wrapper.
+#: The share of text, with that outside all marks, from which a marked region without an article is a wrapper.
 WRAPPER = 0.8
+#: What evidence leaves of a ratio: a name or an element of no main text, mostly links, an article elsewhere that holds half of the text.
+MARKED, LINKED, BESIDE = 1e-3, 1e-2, 2e-2
+#: What a path takes of the best ratio in its second container, and so on; the share of the page's best score that selects a path.
+FURTHER, THRESHOLD = 0.25, 0.04
+#: Weights of the path before, of a path and of the next one.
+KERNEL = (0.1, 0.8, 0.1)
+#: Elements that hold a part of a page; lists, tables and quotations belong to the part around them.
+CONTAINERS = {"html", "body", "main", "article", "section", "div", "nav", "aside", "header", "footer", "form", "fieldset", "center", "details", "dialog"}
 #: Beside a mark in one class, as in has-sidebar or menu-closed: the class tells of a state, not of what the element is.
 STATES = {"has", "no", "with", "without", "open", "opened", "closed"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
@@ -44,20 +53,34 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
 
 class Block:
-    __slots__ = ("text", "nodes", "path", "out", "named")
+    """A text with the number of its characters in links, its path, its nodes from the root on, those marked by name, and whether it is marked for good."""
 
-    def __init__(self, text: str, nodes: tuple[int, ...], path: str, out: bool, named: tuple[int, ...]):
-        self.text, self.nodes, self.path, self.out, self.named = text, nodes, path, out, named
+    __slots__ = ("text", "linked", "path", "nodes", "named", "out")
 
+    def __init__(self, text: str, linked: int, stack: list[tuple[str, int, str, str]]):
+        self.text, self.linked = text, min(linked, len(text))
+        self.path, self.nodes = tuple(e for _, _, _, e in stack), tuple(n for _, n, _, _ in stack)
+        self.named, self.out = tuple(n for _, n, m, _ in stack if m == "named"), any(m == "out" for _, _, m, _ in stack)
 
-def _marked(tag: str, attributes: str, inside: bool) -> str:
-    """Whether an element opens a region that is never main text (``out``) or only by its name, or as a form (``named``); ``inside``: it stands in an article."""
+
+def _element(tag: str, attributes: str, inside: bool) -> tuple[str, str]:
+    """An element's mark and its step in a path: the tag and the class names without digits.
+
+    ``out``: a region that is never main text; ``named``: one by its name only, or a form; ``inside``: it stands in an article.
+    """
+    if not attributes:
+        return _mark(tag, {}, inside), tag
+    values = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attributes)}
+    names = re.sub("[0-9]+", "", values.get("class", "").lower()).split()
+    return _mark(tag, values, inside), ".".join([tag, *sorted(names)])
+
+
+def _mark(tag: str, values: dict[str, str], inside: bool) -> str:
     if tag in OUTSIDE - {"form"} or tag == "header" and not inside:
         return "out"
     named = "named" if tag == "form" else ""
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not values or tag in ("html", "body", "article", "main"):
         return named
-    values = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
         return "out"
     names = [set(re.split(r"[^a-z0-9]+", x)) for x in f"{values.get('class', '')} {values.get('id', '')}".lower().split()]
@@ -65,17 +88,20 @@ def _marked(tag: str, attributes: str, inside: bool) -> str:
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The page's blocks of text in order, and the tag of every node. A block's ``nodes`` lead from the root to it."""
+    """The page's blocks of text in order, and the tag of every node."""
     tags: list[str] = []
-    stack: list[tuple[str, int, str]] = []  # open block elements: tag, node, mark
+    stack: list[tuple[str, int, str, str]] = []  # open block elements: tag, node, mark, step of the path
     found: list[Block] = []
     words: list[str] = []
+    links: list[str] = []
+    linked = False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split()) if words else ""
-        words.clear()
         if text:
-            found.append(Block(text, tuple(n for _, n, _ in stack), "/".join(t for t, _, _ in stack), any(m == "out" for _, _, m in stack), tuple(n for _, n, m in stack if m == "named")))
+            found.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), stack))
+        words.clear()
+        links.clear()
 
     def close(names: set[str], scope: set[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -88,10 +114,12 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
+        said = page[at : m.start()] if m else page[at:]
+        words.append(said)
+        if linked:
+            links.append(said)
         if m is None:
-            words.append(page[at:])
             break
-        words.append(page[at : m.start()])
         at, ends, tag = m.end(), m[1], (m[2] or "").lower()
         if tag in RAW and not ends:
             if not m[3].endswith("/"):
@@ -100,9 +128,12 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             continue
         if tag == "br":
             words.append(" ")
+        if tag == "a":
+            linked = not ends
         if tag not in BLOCK and tag != "button":
             continue
         flush()
+        linked = False
         if ends:
             close({tag}, set())
         else:
@@ -114,74 +145,97 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                 close(CLOSED_BY[tag], SCOPES - {"td", "th"} if tag in ("tr", "td", "th") else SCOPES)
             if tag in VOID:
                 continue
-            inside = any(t in ("article", "main") for t, _, _ in stack)
-            stack.append((tag, len(tags), _marked(tag, m[3], inside)))
+            inside = any(t in ("article", "main") for t, _, _, _ in stack)
+            stack.append((tag, len(tags), *_element(tag, m[3], inside)))
             tags.append(tag)
     flush()
     return found, tags
 
 
-def content_paths(found: list[Block]) -> set[str]:
-    """Paths whose smoothed and fused ratios of text and of punctuation to blocks reach the threshold."""
-    paths = list(dict.fromkeys(b.path for b in found))
-    place = {p: i for i, p in enumerate(paths)}
-    length, marks, count = (np.zeros(len(paths)) for _ in range(3))
-    for b in found:
-        i = place[b.path]
-        length[i] += len(b.text)
-        marks[i] += len(_PUNCTUATION.findall(b.text))
-        count[i] += 1
-    kernel = np.array([0.1, 0.8, 0.1])
-    smooth = [np.convolve(np.pad(x / count, 1, mode="edge"), kernel, mode="valid") for x in (length, marks)]
-    fused = np.sqrt(smooth[0] * (smooth[1] + 0.1) * np.sqrt(length))
-    return {p for p, s in zip(paths, fused, strict=True) if s >= min(fused.max(), fused.std())}
-
-
-def unmarked(found: list[Block], tags: list[str]) -> list[Block]:
-    """The blocks outside regions that are marked by name. Where these hold the bulk of the content text, they are wrappers and not regions.
+def wrappers(found: list[Block], tags: list[str]) -> set[int]:
+    """Nodes marked by name that hold the bulk of the text, so that the name tells nothing.
 
     Comments may outweigh a short text: they are no wrapper unless they hold an article or nearly all of the page.
     """
-    free = [b for b in found if not b.named]
     article = lambda b: any(tags[x] in ("article", "main") for x in b.nodes)
-    if len(free) == len(found) or any(map(article, free)):
-        return free
-    paths = content_paths(found)
+    found = [b for b in found if not b.out]
+    if all(b.named for b in found) is False and any(article(b) for b in found if not b.named):
+        return set()
     weight: dict[tuple[int, ...], int] = {(): 0}
+    held: dict[tuple[int, ...], int] = {}
     for b in found:
-        if b.path in paths:
-            weight[b.named] = weight.get(b.named, 0) + len(b.text)
-    most = max(weight, key=lambda x: (weight[x], not x))
-    # An article or main in the wrapper: its text is not to be lost, whatever else the page has.
-    held = {b.named: len(b.text) for b in found if b.path in paths and article(b)}
-    if most not in held and held and weight[()] < max(weight[x] for x in held):
-        most = max(held, key=lambda x: weight[x])
-    if most and (most in held and weight[most] > weight[()] or weight[most] >= WRAPPER * (weight[most] + weight[()])):
-        return [b for b in found if set(b.named) <= set(most)]
-    return free
+        weight[b.named] = weight.get(b.named, 0) + len(b.text) - b.linked
+        if article(b):
+            held[b.named] = held.get(b.named, 0) + len(b.text)
+    # An article or main in a wrapper: its text is not to be lost, whatever else the page has.
+    most = max(held, key=lambda x: held[x]) if held else max(weight, key=lambda x: (weight[x], not x))
+    if most and (most in held or weight[most] >= WRAPPER * (weight[most] + weight[()])):
+        return set(most)
+    return set()
+
+
+def path_scores(found: list[Block], tags: list[str]) -> list[float]:
+    """The score of each block's path, as a share of the page's best; every block of a path has the same one.
+
+    A path is that of its tags and class names, and whether it is marked. Where nothing is unmarked, all scores are 0.
+    """
+    forgiven = wrappers(found, tags)
+    keys = [(b.path, b.out or not forgiven.issuperset(b.named)) for b in found]
+    paths = list(dict.fromkeys(keys))
+    place = {p: i for i, p in enumerate(paths)}
+    length, linked, marks, count = (np.zeros(len(paths)) for _ in range(4))
+    for b, key in zip(found, keys, strict=True):
+        i = place[key]
+        length[i] += len(b.text)
+        linked[i] += b.linked
+        marks[i] += len(_PUNCTUATION.findall(b.text))
+        count[i] += 1
+    free = length - 0.9 * linked  # text in links tells little
+    smooth = [np.convolve(np.pad(x / count, 1, mode="edge"), KERNEL, mode="valid") for x in (free, marks)]
+    ratio = np.sqrt(smooth[0] * (smooth[1] + 0.1))
+    parts = [_parts(path) for path, _ in paths]
+    out = np.array([o for _, o in paths])
+    # Text by the outermost article or main around it: one that holds half of all makes the rest doubtful.
+    around = [next((c for c in reversed(p) if c[-1].split(".")[0] in ("article", "main")), None) for p in parts]
+    weight: dict[tuple[str, ...] | None, float] = {}
+    for a, x, o in zip(around, free, out, strict=True):
+        weight[a] = weight.get(a, 0.0) + x * (not o)
+    main = max((a for a in weight if a), key=lambda a: weight[a], default=None)
+    if main and 2 * weight[main] < sum(weight.values()):
+        main = None
+    evidence = np.where(out, MARKED, 1.0)
+    for i, a in enumerate(around):
+        if main and a != main:
+            evidence[i] *= BESIDE
+        elif not a and linked[i] > length[i] / 2:
+            evidence[i] *= LINKED
+    own = ratio * evidence
+    if out.all():
+        return [0.0] * len(found)
+    best: dict[tuple[str, ...], float] = {}
+    for p, x in zip(parts, own, strict=True):
+        for c in p:
+            best[c] = max(best.get(c, 0.0), x)
+    score = own.copy()
+    for i, p in enumerate(parts):
+        share = 1.0
+        for c in p:
+            score[i] = max(score[i], evidence[i] * share * best[c])
+            if not main or around[i] != main or c == main:
+                share *= FURTHER
+    top = own[~out].max()
+    return [float(score[place[key]] / top) if top else 0.0 for key in keys]
+
+
+def _parts(path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The containers of a path, the nearest first; the page itself is one."""
+    own = [path[: i + 1] for i, e in enumerate(path) if e.split(".")[0] in CONTAINERS - {"html", "body"}]
+    return [*reversed(own), ("",)]
 
 
 def main_text(page: str | None) -> str:
     found, tags = blocks(page or "")
-    found = unmarked([b for b in found if not b.out], tags)
-    if not found:
-        return ""
-    paths = content_paths(found)
-    weight: dict[int, int] = {}
-    for b in found:
-        if b.path in paths:
-            for node in b.nodes:
-                weight[node] = weight.get(node, 0) + len(b.text)
-    total = sum(len(b.text) for b in found if b.path in paths)
-    most = all_of = -1
-    for node, w in sorted(weight.items()):  # nodes are numbered in page order, so a node follows its parent
-        if tags[node] not in ("p", "li", "blockquote", "td", "pre", "h1", "h2", "h3"):
-            most = node if 2 * w >= total else most
-            all_of = node if w == total else all_of
-    # The article around most of the text, where there is one, holds its heading too; without one, the node around all content blocks.
-    above = next((b.nodes for b in found if most in b.nodes), ())
-    main = next((x for x in above if tags[x] in ("article", "main") and x <= most), all_of)
-    return "\n".join(b.text for b in found if main < 0 or main in b.nodes)
+    return "\n".join(b.text for b, score in zip(found, path_scores(found, tags), strict=True) if score >= THRESHOLD) if found else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
