@@ -1,8 +1,9 @@
 """Words of whole texts as 64-bit hashes, found on Arrow's own bytes without making Python strings.
 
-Word classes hold every byte of 0x80 and above, so they can be told byte by byte. Hashes are
-polynomials modulo 2**64 of the word's bytes, finished by a bijective mixer; two different words
-of a corpus get one hash with a chance of about n**2 / 2**65.
+Word classes hold every byte of 0x80 and above, so they can be told byte by byte. A hash sums one
+pseudo-random 64-bit value for each byte and its place in the word, finished by a bijective mixer. No
+value is a multiple of another, so words of a regular build don't meet; of n different words, two get
+one hash with a chance of about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -13,18 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Places of a word whose values are tabled; those of later ones are computed.
+_PLACES = 64
 SLICE_BYTES = 1 << 18
 
 
-def _lower() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint64) + np.uint64(1)
-    table[65:91] += np.uint64(32)
-    return table
-
-
 def _members(ranges: list[tuple[int, int]]) -> np.ndarray:
     inside = np.ones(256, dtype=bool)
     for low, high in ranges:
@@ -32,23 +27,11 @@ def _members(ranges: list[tuple[int, int]]) -> np.ndarray:
     return inside
 
 
-LOWER = _lower()
 #: The byte ranges that end a word of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (after lower-casing) and of `[^\x20\x09-\x0D]+`.
 ALPHANUMERIC = _members([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 SPACED = _members([(0x20, 0x20), (0x09, 0x0D)])
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if len(have) <= 1 << 23:
-            _POWERS[base] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -58,6 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_VALUES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _BASE)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, past last row, bytes, offsets)`` of slices of about ``size`` bytes; a longer text stands alone; null is empty."""
     col = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
@@ -86,10 +74,22 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> t
     first[edges] |= w[edges]
     last[edges - 1] |= w[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(LOWER[data] * _powers(_BASE, n + 1)[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _powers(_INVERSE, n + 1)[starts])
-    return hashes, np.searchsorted(starts, offsets), starts, ends
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts, ends
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    kind = np.int32 if n < 1 << 23 else np.int64
+    at = np.arange(begin[-1] + size[-1], dtype=kind) - np.repeat(begin.astype(kind), size)
+    long = np.flatnonzero(at >= _PLACES) if size.max() > _PLACES else at[:0]
+    at <<= 8
+    at |= _LOWER[data[w]]
+    if len(long):
+        late = mix((at[long].astype(np.uint64) + np.uint64(1)) * _BASE)
+        at[long] = 0
+    values = _VALUES[at]
+    if len(long):
+        values[long] = late
+    return mix(np.add.reduceat(values, begin)), np.searchsorted(starts, offsets), starts, ends
 
 
 def hash_word(word: bytes) -> int:
@@ -104,7 +104,9 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = np.full(m, n, dtype=np.uint64)
     for i in range(n):
-        out = out * np.uint64(_BASE) + hashes[i : i + m]
+        out *= _BASE
+        out ^= out >> np.uint64(32)
+        out += hashes[i : i + m]
     return mix(out)
 
 
