@@ -1,13 +1,16 @@
 """Operators against their SQL, on rows made to be awkward."""
 
 import random
+import re
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideglass.llm import chat, decontaminate, licenses, neardup, sql, urls
+from tideglass.llm import chat, decontaminate, jaccard, licenses, neardup, sql, urls
+from tideglass.llm.license_texts import TEMPLATES
+from tideglass.llm.words import hash_word
 
 
 def plain(x):
@@ -39,7 +42,8 @@ def frame(spark, df, schema):
 def texts(seed, n):
     rng = random.Random(seed)
     bits = ["under the MIT License", "Apache License, Version 2.0", "CC BY-NC 4.0", "under the mit", "license", "Licensed under the GNU General Public License, version 3",
-            "licensed under the terms of the gnu general public license either version 3", "copyright 2020 someone all rights reserved", "Copyright", "é", "word", "\n", "under\x00the mit license", "apache license version 2"]
+            "licensed under the terms of the gnu general public license either version 3", "copyright 2020 someone all rights reserved", "Copyright", "é", "word", "\n", "under\x00the mit license", "apache license version 2",
+            "This is free and unencumbered software released into the public domain.", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"]
     out = [" ".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 3, 12, 60]))) for _ in range(n)]
     return pd.DataFrame({"doc_id": range(n + 3), "text": [*out, None, "", "x " * 3000 + "under the mit license"]}).astype({"text": object})
 
@@ -54,12 +58,51 @@ def test_licenses(spark):
 
 def test_automaton():
     a = licenses.Automaton("we [[all]] like {{2}} trees")
-    from tideglass.llm.words import hash_word
-
     for text, fits in (("we like trees", True), ("we all like tall green trees now", True), ("we like very tall green trees", False), ("we all trees", False), ("we like", False)):
         assert a.matches([hash_word(w.encode()) for w in text.split()]) is fits
 
 
+def test_templates_through_the_scan(spark):
+    """Any template against its regular expression: regions at both ends, nested ones, and none but optional words before the first run."""
+    rng = random.Random(12)
+    words = ["we", "all", "like", "tall", "trees", "and", "rivers"]
+    templates = {"t": "we [[all]] like {{2}} trees", "u": "{{2}} like [[tall [[and {{1}}]] trees]] rivers", "v": "[[we]] [[all]] trees {{3}}", "w": "like like [[like]] trees"}
+    docs = ["we like trees", "we all like tall and trees", "like rivers", "trees"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), templates).collect()
+    for r in got:
+        line = "".join(f" {w} " for w in docs[r.doc_id].split())
+        assert r.labels == ",".join(sorted(k for k, t in templates.items() if re.search(licenses.pattern(t), line))), docs[r.doc_id]
+    assert {x for r in got for x in r.labels.split(",")} == {"", *templates}
+    with pytest.raises(ValueError):
+        licenses.Automaton("[[only]] {{2}}")
+
+
+def test_whole_licenses(spark):
+    holder = "the copyright holders and contributors"
+    docs = []
+    for label, t in TEMPLATES.items():
+        said = re.sub(r"\[\[|\]\]", " ", t)
+        said = re.sub(r"\{\{(\d+)\}\}", lambda m: holder if int(m[1]) > 4 else "", said)
+        docs += [(label, f"Copyright 2020 A. Person\n\n{said}\n end"), (label, f"x {said.upper()}"), ("", said.replace("the ", "thee "))]
+    df = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(docs)], "doc_id long, text string")
+    for r in licenses.license_scan(df).collect():
+        assert not docs[r.doc_id][0] or docs[r.doc_id][0] in r.labels.split(","), docs[r.doc_id]
+
+
+def test_words_of_a_regular_build_do_not_meet(spark):
+    """A word of 1,024 letters and its complement, which any polynomial modulo a power of two takes for one."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    assert hash_word(word.encode()) != hash_word(other.encode())
+    docs = spark.createDataFrame([(1, " ".join([word] * 20)), (2, " ".join([other] * 20))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.ngram_jaccard(docs).collect()) == [(1, 1), (2, 2)]
+    items = spark.createDataFrame([(5, " ".join([word] * 13))], "item_id long, text string")
+    assert sorted((r.doc_id, r.n_hit) for r in decontaminate.contamination(docs, items).collect()) == [(1, 20), (2, 0)]
+    assert sorted((r.doc_id, r.labels) for r in licenses.license_scan(docs, {"x": f"{word} {word}"}).collect()) == [(1, "x"), (2, "")]
+
+
 def test_contamination(spark, monkeypatch):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(30)] + ["é", "ß"]

@@ -1,8 +1,9 @@
 """License scan by template markup (operator 2).
 
-A template is mandatory wording with optional regions ``[[...]]`` and replaceable ones ``{{n}}`` of up
-to n words. It compiles to a token automaton, which runs over hashed words from each place where the
-template's first two words stand. Bare license phrases are found besides.
+A template is mandatory wording with optional regions ``[[...]]``, which may hold others, and replaceable ones
+``{{n}}`` of up to n words. It compiles to a token automaton. A run of mandatory words tells where a
+template may stand: the automaton runs over hashed words from each place that is as far before such a
+run as the template allows. Bare license phrases are found besides.
 """
 
 from __future__ import annotations
@@ -15,55 +16,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .words import ALPHANUMERIC, hash_word, hashed_words, text_slices
 
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Well-known wordings of public licenses and notices, as templates.
-TEMPLATES = {
-    "mit": "permission is hereby granted [[free of charge]] to any person obtaining a copy of this {{3}} and associated documentation files {{3}} to deal in the {{3}} without restriction",
-    "apache-2": "licensed under the apache license version 2 [[0]] the license {{2}} you may not use this file except in compliance with the license",
-    "gpl-3": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3",
-    "gpl-2": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2",
-    "lgpl": "licensed under the [[terms of the]] gnu lesser general public license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and [[or]] distribute this software [[and its documentation]] for any purpose with or without fee is hereby granted",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by": "licensed under [[a]] [[the]] creative commons attribution {{2}} license",
-    "public-domain": "this is free and unencumbered software released into the public domain",
-    "all-rights-reserved": "copyright {{6}} all rights reserved",
-}
 _ANY = 0
+#: Words of a run that is looked for at most.
+RUN = 4
+_MARKUP = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def markup(template: str) -> list[str]:
+    """A template's parts: ``[[``, ``]]``, ``{{n}}`` and words, in lower case from A to Z as those of texts."""
+    return _MARKUP.findall(re.sub("[A-Z]", lambda m: m[0].lower(), template))
 
 
 class Automaton:
-    """States are numbered along the template; ``steps[s]`` has the word's hash (or ``_ANY``) that leads on, ``skips[s]`` states entered for nothing."""
+    """States are numbered along the template; ``steps[s]`` has the word's hash (or ``_ANY``) that leads on, ``skips[s]`` states entered for nothing.
+
+    ``run``: consecutive mandatory words; ``least`` and ``most``: how many words a match has before them.
+    """
 
     def __init__(self, template: str):
         self.steps: list[int] = []
-        self.skips: dict[int, int] = {}
-        opened = 0
-        for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        self.skips: dict[int, list[int]] = {}
+        opened: list[int] = []
+        runs: list[tuple[list[int], int, int]] = []  # hashes, words before: at least, at most
+        least, fresh = 0, True
+        for part in markup(template):
+            here = len(self.steps)
             if part == "[[":
-                opened = len(self.steps)
+                opened.append(here)
+                fresh = True
             elif part == "]]":
-                self.skips[opened] = len(self.steps)
+                self.skips.setdefault(opened.pop(), []).append(here)
+                fresh = True
             elif part.startswith("{{"):
-                end = len(self.steps) + int(part[2:-2])
-                for s in range(len(self.steps), end):
-                    self.skips[s] = end
-                self.steps += [_ANY] * int(part[2:-2])
+                end = here + int(part[2:-2])
+                for s in range(here, end):
+                    self.skips.setdefault(s, []).append(end)
+                self.steps += [_ANY] * (end - here)
+                fresh = True
             else:
                 self.steps.append(hash_word(part.encode()))
-        self.first = tuple(x for x in self.steps[:2])
+                if opened:
+                    continue
+                if fresh or len(runs[-1][0]) == RUN:
+                    runs.append(([], least, here))
+                    fresh = False
+                runs[-1][0].append(self.steps[-1])
+                least += 1
+        if opened or not runs:
+            raise ValueError("a template needs mandatory words and closed regions: " + template[:60])
+        self.run, self.least, self.most = max(runs, key=lambda r: (len(r[0]), r[1] - r[2], -r[2]))
+
+    def starts(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """``(text, place)`` from which the automaton has to be run, each once."""
+        past = -1
+        for at in _places(words, self.run):
+            text = int(np.searchsorted(bounds, at, side="right")) - 1
+            if at + len(self.run) <= bounds[text + 1]:
+                for place in range(max(past + 1, int(bounds[text]), at - self.most), at - self.least + 1):
+                    yield text, place
+                    past = place
 
     def _entered(self, states: set[int]) -> set[int]:
         todo, out = list(states), set(states)
         while todo:
-            s = self.skips.get(todo.pop())
-            if s is not None and s not in out:
-                out.add(s)
-                todo.append(s)
+            for s in self.skips.get(todo.pop(), ()):
+                if s not in out:
+                    out.add(s)
+                    todo.append(s)
         return out
 
     def matches(self, words: list[int]) -> bool:
@@ -81,7 +105,7 @@ class Automaton:
 def pattern(template: str) -> str:
     """The template as a regular expression over words that each stand between two spaces."""
     out = []
-    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+    for part in markup(template):
         out.append({"[[": "(?:", "]]": ")?"}.get(part) or (f"(?: [^ ]+ ){{0,{part[2:-2]}}}" if part.startswith("{{") else f" {part} "))
     return "".join(out)
 
@@ -91,7 +115,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
 
     ``n_base`` counts the places of bare phrases, ``first_word`` and ``last_word`` are the smallest and the
     largest of them (null if none). ``labels`` adds those of templates whose mandatory wording stands in the
-    text exactly. ``score`` is 1 with a full template, 0.6 with phrases only, else 0. Null and empty texts
+    text exactly; a template without mandatory words is refused. ``score`` is 1 with a full template, 0.6 with phrases only, else 0. Null and empty texts
     have no words. Repeated rows are scanned each. Columns other than ``id_col`` and ``text`` are not read.
     """
     templates = TEMPLATES if templates is None else templates
@@ -111,8 +135,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
                         if at + len(p) <= bounds[text + 1]:
                             base.setdefault(text, []).append((at - int(bounds[text]), label))
                 for label, a in automata:
-                    for at in _places(words, list(a.first)):
-                        text = int(np.searchsorted(bounds, at, side="right")) - 1
+                    for text, at in a.starts(words, bounds):
                         if label not in full.get(text, ()) and a.matches(words[at : min(int(bounds[text + 1]), at + len(a.steps))].tolist()):
                             full.setdefault(text, set()).add(label)
                 for i in range(high - low):
@@ -140,10 +163,9 @@ _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 
 def _places(words: np.ndarray, run: list[int]) -> list[int]:
-    """Where the hashes of ``run`` stand consecutively; ``_ANY`` fits every word."""
+    """Where the hashes of ``run`` stand consecutively."""
     at = np.flatnonzero(words == np.uint64(run[0]))
     for i, w in enumerate(run[1:], 1):
         at = at[at + i < len(words)]
-        if w != _ANY:
-            at = at[words[at + i] == np.uint64(w)]
+        at = at[words[at + i] == np.uint64(w)]
     return at.tolist()

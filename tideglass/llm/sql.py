@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, pattern
+from .license_texts import TEMPLATES
+from .licenses import PHRASES, pattern
 from .urls import PATTERNS, PLACES
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
