@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .license_texts import TEMPLATES
 from .licenses import PHRASES, pattern
-from .urls import PATTERNS, PLACES
+from .urls import PATTERNS, PLACES, expression
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -81,7 +81,8 @@ def urls() -> str:
     fits = [(f"(host = {_quoted(h)} OR ends_with(host, {_quoted('.' + h)})) AND starts_with(path, {_quoted(p)})", h + p, v) for v, h, p in ranked]
     rule = " ".join(f"WHEN {test} THEN {_quoted(name)}" for test, name, _ in fits)
     verdict = " ".join(f"WHEN {test} THEN {_quoted(v)}" for test, _, v in fits)
-    own = " OR ".join(f"regexp_matches(url, {_quoted(r.pattern)})" for r in PATTERNS)
+    any_own = _quoted("|".join(f"(?:{expression(p, '$')})" for p in PATTERNS))
+    own = f"regexp_matches({_LOWER.format('url')}, {any_own})"
     return f"""
     WITH r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
     h AS (SELECT page_id, url, {_LOWER.format("split_part(rest, '/', 1)")} AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM r)
