@@ -146,7 +146,7 @@ def test_indexed_rules_as_all_of_them():
     """The index against every rule's expression on every URL."""
     rng = random.Random(8)
     bits = [*urls.PAGES, *urls.FILES, *urls.JUNK, *urls.PARAMETERS, *urls.ADVERTS, "a", "Zip", "x1", "é", "en"]
-    own = [urls.pattern_rule("block", p) for p in ("||a.x1^", "|http://en.", "*-en-*x1=", "/x1/*/a|", "^zip^", "a*/en/", "%a%")]
+    own = [urls.pattern_rule("block", p) for p in ("||a.x1^", "|http://en.", "*-en-*x1=", "/x1/*a|", "^zip^", "a*/en/", "%a^")]
     rules = urls.RULES + own
     index = urls.indexed(rules, {})
     seen = set()
@@ -156,7 +156,7 @@ def test_indexed_rules_as_all_of_them():
         fits = [r for r in rules if r.name is None and r.compiled.search(url.translate(urls._LOWER))]
         assert verdict == ("block" if fits else "allow") if rule is None else True, url
         seen.update(r.pattern for r in fits)
-    assert len(rules) > 280 and len(seen) > 200 and seen >= {r.pattern for r in own}
+    assert len(rules) > 280 and len(seen) > 150 and not {r.pattern for r in own} - seen
     with pytest.raises(ValueError):
         urls.pattern_rule("block", "*abc")
 
