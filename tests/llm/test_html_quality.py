@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tideglass.llm import html_text, quality
@@ -180,9 +181,76 @@ def test_hinge_loss_is_at_its_minimum():
     x = rng.standard_normal((60, 3))
     sign = np.where(x[:, 0] + 0.3 * rng.standard_normal(60) > 0, 1.0, -1.0)
     cost = np.ones(60)
-    w, b = quality.dual_descent([(np.arange(3), v) for v in x], sign, cost, 3)
+    w, b = quality.dual_descent(np.tile(np.arange(3), 60), x.ravel(), np.arange(60)[:, None] * 3 + [0, 3], sign, cost, 3)
 
     def loss(w, b):
         return 0.5 * (w @ w + b * b) + np.maximum(0, 1 - sign * (x @ w + b)).sum()
 
     assert all(loss(w, b) <= loss(w + d[:3], b + d[3]) + 0.05 for d in 0.2 * rng.standard_normal((200, 4)))
+
+
+def test_scores_as_a_plain_model(spark):
+    """The whole model again, text by text with dictionaries, and its hinge loss at the fitted weights near the least that plain descent finds."""
+    rows = made(240)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality.fit_model(docs, labels)
+    batch = pa.RecordBatch.from_pydict({"text": [x for _, x, _ in rows]})
+    sets = [set(x.tolist()) for x in quality.features(batch)]
+    known = sorted((i, q) for i, _, q in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    order = np.random.default_rng(quality.SEED).permutation(len(known)).tolist()
+    train = [known[k] for k in order[len(order) // 5 :]]
+    counts = [{}, {}]
+    for i, q in train:
+        for f in sets[i]:
+            counts[q][f] = counts[q].get(f, 0) + 1
+    total = [sum(c.values()) + quality.FEATURES * quality.SMOOTHING for c in counts]
+    scale = {}
+    for f in set(counts[0]) | set(counts[1]):
+        n = [c.get(f, 0) for c in counts]
+        if sum(n) >= quality.MIN_TEXTS:
+            scale[f] = np.log((n[1] + quality.SMOOTHING) / total[1]) - np.log((n[0] + quality.SMOOTHING) / total[0])
+    assert {f for f in np.flatnonzero(model.scale).tolist()} == {f for f, v in scale.items() if abs(v) > 1e-7}
+    assert all(abs(model.scale[f] - v) < 1e-4 for f, v in scale.items())
+    unit = []
+    for i, _ in train:
+        v = {f: scale[f] for f in sets[i] if f in scale}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        unit.append({f: x / norm for f, x in v.items()})
+    sign = [1 if q else -1 for _, q in train]
+    cost = [len(sign) / 2 / sign.count(y) for y in sign]
+
+    def loss(w, b):
+        return (sum(x * x for x in w.values()) + b * b) / 2 + sum(c * max(0, 1 - y * (sum(x * w.get(f, 0) for f, x in v.items()) + b)) for v, y, c in zip(unit, sign, cost, strict=True))
+
+    w, b, dual = {}, 0.0, [0.0] * len(sign)
+    for _ in range(60):
+        for k, (v, y, c) in enumerate(zip(unit, sign, cost, strict=True)):
+            new = min(max(dual[k] - (y * (sum(x * w.get(f, 0) for f, x in v.items()) + b) - 1) / 2, 0), c)
+            step, dual[k] = y * (new - dual[k]), new
+            b += step
+            for f, x in v.items():
+                w[f] = w.get(f, 0) + step * x
+    ours = {f: float(model.weights[f]) for f in np.flatnonzero(model.weights).tolist()}
+    assert loss(ours, model.bias) <= loss(w, b) * 1.02 + 1e-6
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    for i, _, _ in rows:
+        v = {f: scale[f] for f in sets[i] if f in scale}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        plain = sum(x * ours.get(f, 0) for f, x in v.items()) / norm + model.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * plain + model.shift)))) < 1e-3
+
+
+def test_the_fit_is_bounded(spark):
+    rows = made(60)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, f"x{i} y z") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    kept = []
+    fitted = quality.fit
+    try:
+        quality.fit = lambda index, bounds, labels: kept.append((len(index), len(labels))) or fitted(index, bounds, labels)
+        quality.fit_model(docs, labels)
+        quality.fit_model(docs, labels, rows=20, size=3000)
+    finally:
+        quality.fit = fitted
+    assert kept[0][1] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _, _ in rows) and kept[1][0] <= 750 and 0 < kept[1][1] < 20

@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .words import SPACED, grams, hashed_words, text_slices
 
-#: Labelled rows that the model is fitted to at most, those of the lowest hash; hashed features; texts a feature must be in; smoothing, cost, rounds.
-FIT_ROWS, FEATURES, MIN_TEXTS, SMOOTHING, COST, EPOCHS, SEED = 10_000, 1 << 20, 5, 1.0, 1.0, 20, 20_250_101
+#: Labelled ids that the model is fitted to at most, those of the lowest hash, one row of each; bytes of their features at most, of 4 each.
+FIT_ROWS, FIT_BYTES = 10_000, 64 << 20
+#: Hashed features; texts a feature must be in; smoothing, cost, rounds, seed.
+FEATURES, MIN_TEXTS, SMOOTHING, COST, EPOCHS, SEED = 1 << 20, 5, 1.0, 1.0, 20, 20_250_101
 
 
-def shapes(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A small number for each word: its case, its signs and digits, and whether it repeats the word before."""
+def shapes(hashes: np.ndarray, bounds: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A small number for each word: its case, its signs and digits, and whether it repeats the word before in its text."""
     upper, digit = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
     lower = (data >= 97) & (data <= 122) | (data >= 128)
     n = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (upper, lower, digit)]
@@ -31,6 +34,7 @@ def shapes(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.nd
     case = np.where(up + low == 0, 0, np.where((up > 1) & (low <= up // 4), 3, np.where(up > 0, 2, 1)))
     again = np.zeros(len(hashes), dtype=np.int64)
     again[1:] = hashes[1:] == hashes[:-1]
+    again[bounds[bounds < len(again)]] = 0
     return (((case * 4 + signs) * 2 + (dig > 0)) * 2 + again + 1).astype(np.uint64)
 
 
@@ -38,7 +42,7 @@ def features(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """The sorted distinct feature numbers of each text: words and pairs of words, and one to three shapes in a row."""
     for low, high, data, offsets in text_slices(batch):
         words, bounds, starts, ends = hashed_words(data, offsets, SPACED)
-        shape = shapes(words, data, starts, ends)
+        shape = shapes(words, bounds, data, starts, ends)
         for i in range(high - low):
             own, form = words[bounds[i] : bounds[i + 1]], shape[bounds[i] : bounds[i + 1]]
             found = np.concatenate([grams(own, 1), grams(own, 2), *(grams(form, k) for k in (1, 2, 3))])
@@ -64,47 +68,59 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -500, 500))))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray) -> Model:
-    """A model of ``labels`` (0 or 1). With one class only, or none, every score is the smoothed share of label 1."""
-    labels = np.asarray(labels)
+def fit(index: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> Model:
+    """A model of ``labels`` (0 or 1); the features of text i are ``index[bounds[i]:bounds[i + 1]]``.
+
+    With one class only, or none, every score is the smoothed share of label 1. A fifth of the texts is kept
+    apart for the curve. Features and their values are held once, as compact arrays.
+    """
+    labels, size = np.asarray(labels), np.diff(bounds)
     share = (labels.sum() + 1) / (len(labels) + 2)
     model = Model(np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32), shift=float(np.log(share / (1 - share))))
     if len(set(labels.tolist())) < 2:
         return model
-    order = np.random.default_rng(SEED).permutation(len(texts))
+    order = np.random.default_rng(SEED).permutation(len(labels))
     apart = order[: len(order) // 5]
     train = order[len(order) // 5 :] if len(set(labels[order[len(order) // 5 :]].tolist())) == 2 else order
-    count = np.zeros((2, FEATURES))
-    for i in train:
-        count[labels[i], texts[i]] += 1
-    ratio = [c + SMOOTHING for c in count]
-    scale = np.log(ratio[1] / ratio[1].sum()) - np.log(ratio[0] / ratio[0].sum())
-    scale[count.sum(0) < min(MIN_TEXTS, len(train) // 4 + 1)] = 0
-    model.scale = scale.astype(np.float32)
-    rows = []
-    for i in train:
-        s = model.scale[texts[i]]
-        x = texts[i][s != 0]
-        s = s[s != 0].astype(np.float64)
-        rows.append((x, s / (np.sqrt(s @ s) or 1.0)))
+    kind = np.full(len(labels), -1, dtype=np.int8)
+    kind[train] = labels[train]
+    kind = np.repeat(kind, size)
+    count = [np.bincount(index[kind == c], minlength=FEATURES).astype(np.float32) for c in (0, 1)]
+    del kind
+    ratio = [c + np.float32(SMOOTHING) for c in count]
+    model.scale = (np.log(ratio[1] / ratio[1].sum(dtype=np.float64)) - np.log(ratio[0] / ratio[0].sum(dtype=np.float64))).astype(np.float32)
+    model.scale[count[0] + count[1] < min(MIN_TEXTS, len(train) // 4 + 1)] = 0
+    del count, ratio
+    used = model.scale[index] != 0
+    held = np.concatenate([[0], np.cumsum(used)])[bounds]
+    index = index[used]
+    values = model.scale[index]
+    for low, high in zip(held[:-1].tolist(), held[1:].tolist(), strict=True):
+        own = values[low:high]
+        own /= np.sqrt(own @ own) or 1.0
     sign = np.where(labels[train] == 1, 1.0, -1.0)
     cost = np.where(sign > 0, COST * len(sign) / (2 * (sign > 0).sum()), COST * len(sign) / (2 * (sign < 0).sum()))
-    weights, bias = dual_descent(rows, sign, cost, FEATURES)
+    weights, bias = dual_descent(index, values, np.stack([held[train], held[train + 1]], axis=1), sign, cost, FEATURES)
     model.weights, model.bias = weights.astype(np.float32), bias
     seen = apart if len(set(labels[apart].tolist())) == 2 else order
-    model.slope, model.shift = logistic(np.array([model.margin(texts[i]) for i in seen]), labels[seen])
+    margin = np.array([values[held[i] : held[i + 1]] @ model.weights[index[held[i] : held[i + 1]]] + bias for i in seen])
+    model.slope, model.shift = logistic(margin, labels[seen])
     return model
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, cost: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Hinge loss by dual coordinate descent: ``(weights, bias)`` from rows of feature numbers and values; the bias is a feature that is always 1."""
+def dual_descent(index: np.ndarray, values: np.ndarray, rows: np.ndarray, sign: np.ndarray, cost: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Hinge loss by dual coordinate descent: ``(weights, bias)``; row i has ``values`` of features ``index`` from ``rows[i, 0]`` to ``rows[i, 1]``.
+
+    The bias is a feature that is always 1.
+    """
     weights, bias, dual = np.zeros(n), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(SEED)
-    square = np.array([v @ v + 1 for _, v in rows])
+    square = np.array([values[a:b] @ values[a:b] + 1 for a, b in rows.tolist()], dtype=np.float64)
     for _ in range(EPOCHS):
         most = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            x, v = rows[i]
+            low, high = rows[i]
+            x, v = index[low:high], values[low:high]
             slope = sign[i] * (v @ weights[x] + bias) - 1
             new = min(max(dual[i] - slope / square[i], 0.0), cost[i])
             if (step := new - dual[i]) != 0:
@@ -137,18 +153,33 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """The model of labelled rows that aren't held out: at most ``rows`` of them, by the hash of their id, so their share of any table is bounded."""
+def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
+    """The model of labelled rows that aren't held out.
+
+    At most ``rows`` ids, those of the lowest hash, with one row each (of several texts that of the lowest hash), and of
+    these, in the same order, as many as have ``size`` bytes of features together. That is all the driver gets.
+    """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     marked = marked.where(~held_out("id")).groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([x.tobytes() for x in features(batch)], pa.binary())], ["id", "label", "x"])
-
-    known = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(F.broadcast(marked), "id").select("id", "label", "text")
-    got = known.mapInArrow(numbered, "id long, label int, x binary").toArrow().sort_by("id")
-    return fit([np.frombuffer(x.as_py(), np.int32) for x in got["x"]], np.array(got["label"], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "h")), pa.array([x.tobytes() for x in features(batch)], pa.binary())], ["id", "label", "h", "x"])
+
+    known = docs.select(F.col(id_col).cast("long").alias("id"), "text").join(F.broadcast(marked), "id").select("id", "label", F.xxhash64("text").alias("h"), "text")
+    known = known.mapInArrow(numbered, "id long, label int, h long, x binary").groupBy("id").agg(F.min_by(F.struct("label", "x"), "h").alias("e"))
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = scratch.save(known.select("id", F.xxhash64("id").alias("place"), "e.*"), "labelled")
+    sizes = known.select("place", "id", F.octet_length("x").alias("n")).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    fits = np.cumsum(np.array(sizes["n"], dtype=np.int64)) <= size
+    last = np.array(sizes["place"])[fits][-1] if fits.any() else None
+    got = known.where(F.col("place") <= int(last) if last is not None else F.lit(False)).select("id", "label", "x").orderBy("id").toArrow().combine_chunks()
+    scratch.drop("labelled")
+    labels = np.array(got["label"], dtype=np.int64)
+    x = got["x"].combine_chunks() if got.num_rows else pa.array([], pa.binary())
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    bounds = np.frombuffer(x.buffers()[1], dtype=np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64) // 4 if len(x) else np.zeros(1, np.int64)
+    return fit(np.frombuffer(x.buffers()[2], dtype=np.int32) if len(x) else np.zeros(0, np.int32), bounds, labels)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.7) -> DataFrame:
