@@ -153,7 +153,7 @@ def is_contaminated(hit: np.ndarray, share: int) -> bool:
 
 
 #: Columns that carry hits from one block of items to the next.
-_HITS, _NAMES = "__hits", "__items"
+_HITS, _NAMES = "hits of earlier blocks of items", "earlier items that were hit"
 
 
 def _marked(rows: DataFrame, items: DataFrame, window: int, item_col: str, finish: Callable, schema) -> DataFrame:

@@ -24,12 +24,14 @@ from .components import connected_components
 from .scratch import Scratch
 from .words import SPACED, binaries, grams, hashed_words, mix, text_slices
 
-#: Ratio of a size band's edges; members of a tile that are compared at once; sets a task remembers so as to send a copy once.
-BAND, BLOCK, REMEMBERED = 1.5, 512, 200_000
-#: Sets whose tiles are sent at once.
+#: Ratio of a size band's edges; members of a tile, and bytes of their bitmaps, that are compared at once; sets a task remembers so as to send a copy once.
+BAND, BLOCK, BLOCK_BYTES, REMEMBERED = 1.5, 512, 8 << 20, 200_000
+#: Sets that are sent at once.
 SENT = 1000
-#: Bits of the filter that keeps most sets without a candidate from being shuffled; a full filter costs time, never results.
-FILTER_BITS = 1 << 27
+#: Bits of a bitmap that are compared at once for all pairs of a block.
+WIDTH = 4096
+#: Bits of the filter for each text that is read again, and at most; it keeps most others from being shuffled. A full one costs time, never results.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 27
 #: Stands for a null id where sets are fetched again.
 NO_ID = -(1 << 63)
 
@@ -121,53 +123,77 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
     A null id takes part, but is no component's smallest unless no other is there. Columns other than
     ``id_col`` and ``text`` are not read.
     """
+    named = _components(docs, threshold, words, id_col)
+    least = named.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, threshold: Fraction = Fraction(85, 100), words: int = 4, id_col: str = "doc_id") -> DataFrame:
+    """Of the rows of each component of ``ngram_jaccard``, with all their columns, the one of the smallest id.
+
+    Where rows of that id have several texts, the text of the smallest hash stays; rows with one id and one text are one.
+    A null id comes after all others. Texts without words are no copies of each other: each id keeps one of a kind.
+    """
+    named = _components(docs, threshold, words, id_col)
+    first = named.where("node is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("e"))
+    kept = first.select("e.doc_id", "e.key").union(named.where("node is null").select("doc_id", "key").distinct())
+    kept = Scratch(docs.sparkSession, "kept").save(kept.toDF("__id", "__key"), "rows")
+    own = F.col(id_col).cast("long")
+    out = docs.join(kept, own.eqNullSafe(F.col("__id")) & _key("text").eqNullSafe(F.col("__key")), "left_semi")
+    once = named.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    return out if once else out.dropDuplicates([id_col, "text"])
+
+
+def _key(text: str) -> F.Column:
+    """With the id, tells rows apart."""
+    return F.xxhash64(F.col(text))
+
+
+def _components(docs: DataFrame, threshold: Fraction, words: int, id_col: str) -> DataFrame:
+    """``(doc_id, key, n_shingles, node, component)`` for each row; ``node`` stands for its set and is null where that is empty."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key("text").alias("key"), "text")
     scratch = Scratch(spark, "jaccard")
     num, den = threshold.numerator, threshold.denominator
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, keys = [], []
-            for _, s in shingle_sets(batch, words):
-                n.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One pass over the texts. Equal sets of a task send their bitmap and tiles once.
         bands, seen = Bands(threshold), set()
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            ids, texts, n, keys, maps, found = batch.column("doc_id"), batch.column("key"), [], [], [], []
 
             def gathered() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["tile", "node"])
+                low = done[0]
+                done[0] += len(n)
+                columns = [ids.slice(low, len(n)), texts.slice(low, len(n)), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), _lists(found)]
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node", "bits", "tiles"])
 
+            done = [0]
             for _, s in shingle_sets(batch, words):
                 node = set_key(s) if len(s) else None
-                if node is None or node in seen:
-                    continue
-                if len(seen) < REMEMBERED:
+                fresh = node is not None and node not in seen
+                if fresh and len(seen) < REMEMBERED:
                     seen.add(node)
-                keys.append(tiles(s, bands))
-                nodes.append(node)
-                sizes.append(len(keys[-1]))
-                if len(sizes) >= SENT:
+                n.append(len(s))
+                keys.append(node)
+                maps.append(bitmap(s).tobytes() if fresh else None)
+                found.append(tiles(s, bands) if fresh else None)
+                if len(n) >= SENT:
                     yield gathered()
-                    keys, nodes, sizes = [], [], []
-            if keys:
+                    n, keys, maps, found = [], [], [], []
+            if n:
                 yield gathered()
 
-    rows = scratch.save(docs.mapInArrow(digest, "doc_id long, n_shingles long, node long"), "rows")
+    rows = scratch.save(docs.mapInArrow(digest, "doc_id long, key long, n_shingles long, node long, bits binary, tiles array<long>"), "rows")
     # Range partitions by tile and member: a tile that many sets share spreads over partitions.
-    live = scratch.save(
-        docs.mapInArrow(tiled, "tile long, node long").repartitionByRange("tile", "node").sortWithinPartitions("tile", "node").mapInArrow(shared_tiles, "tile long, node long, leader long"),
-        "live",
-    )
+    live = rows.where("tiles is not null").select(F.explode("tiles").alias("tile"), "node")
+    live = scratch.save(live.repartitionByRange("tile", "node").sortWithinPartitions("tile", "node").mapInArrow(shared_tiles, "tile long, node long, leader long"), "live")
     tested = live.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     wanted = live.select("node").distinct()
     owners = rows.where("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id")).join(wanted, "node", "left_semi")
     owners = scratch.save(owners, "owners")
-    slim = scratch.save(_sets(docs, owners, words, ("n", "bits")), "bitmaps")
+    slim = rows.where("bits is not null").select("node", F.col("n_shingles").alias("n"), "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    slim = scratch.save(slim, "bitmaps")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,10 +215,13 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    asked: list[None] = []
+
     def linked(pairs: DataFrame) -> DataFrame:
         # Whole sets are fetched for the pairs that are left only.
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        full = _sets(docs, owners.join(nodes, "node", "left_semi"), words, ("hashes",))
+        full = _sets(docs, scratch.save(owners.join(nodes, "node", "left_semi"), f"asked-{len(asked)}"), words)
+        asked.append(None)
         both = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(exact, "a long, b long")
 
@@ -211,9 +240,10 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
     placed = placed.drop("leader")
     if not apart.isEmpty():
         gathered = placed.join(apart, "tile").groupBy("leader", "node").agg(F.min("component").alias("component"), F.collect_list("tile").alias("tiles"))
-        gathered = scratch.save(gathered, "gathered")
-        blocks = gathered.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        dealt = gathered.join(blocks, "leader").join(slim, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        gathered = scratch.save(gathered.join(slim, "node"), "gathered")
+        size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("bits")) / BLOCK_BYTES)
+        blocks = gathered.groupBy("leader").agg(F.ceil(size).cast("int").alias("blocks"))
+        dealt = gathered.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "tiles")
         dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "n", "node")
@@ -225,9 +255,7 @@ def ngram_jaccard(docs: DataFrame, threshold: Fraction = Fraction(85, 100), word
         more = scratch.save(dealt.mapInArrow(compared, "a long, b long").distinct(), "more")
         links = scratch.save(links.union(linked(more)), "all-links")
         found = connected_components(links, scratch, "all")
-    named = rows.join(found, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
-    least = named.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(found, "node", "left").select("doc_id", "key", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
 
 
 def shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,14 +294,24 @@ def shared_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (tile, leader, leader)], ["tile", "node", "leader"])
 
 
-def _sets(docs: DataFrame, owners: DataFrame, words: int, columns: tuple[str, ...]) -> DataFrame:
-    """``node`` and ``columns`` (of ``n, bits, hashes``) of the owners' texts. A bitmap of their ids, of a fixed size, keeps most other texts from the shuffle."""
+def _lists(values: list[np.ndarray | None]) -> pa.Array:
+    """A list of 64-bit numbers each, or null."""
+    offsets = np.cumsum([0, *(0 if v is None else len(v) for v in values)])
+    flat = np.concatenate([np.zeros(0, np.int64), *(v for v in values if v is not None)])
+    # An offset that is null makes its list null.
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([*(v is None for v in values), False])), pa.array(flat))
+
+
+def _sets(docs: DataFrame, owners: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``hashes`` of the owners' texts. A bitmap of their ids, of a bounded size, keeps most other texts from the shuffle."""
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    size = min(FILTER_BITS, 1 << max(10, (FILTER_SHARE * owners.count() - 1).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     bits = owners.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
-    kept = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    kept = np.zeros(size // 64, dtype=np.int64)
     found = bits.toArrow()
     kept[np.array(found["word"])] = np.array(found["bits"])
+    del found
     kept = docs.sparkSession.sparkContext.broadcast(kept)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,20 +319,14 @@ def _sets(docs: DataFrame, owners: DataFrame, words: int, columns: tuple[str, ..
             slots = np.array(batch.column("slot"))
             batch = batch.filter(pa.array((kept.value[slots >> 6] >> (slots & 63)) & 1 == 1))
             sets = [s for _, s in shingle_sets(batch, words)]
-            out = {"doc_id": batch.column("doc_id"), "node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())}
-            for name in columns:
-                if name == "n":
-                    out[name] = pa.array(list(map(len, sets)), pa.int64())
-                else:
-                    values = [bitmap(s) if len(s) else s for s in sets] if name == "bits" else sets
-                    out[name] = binaries(np.concatenate([np.zeros(0, np.uint64), *values]), np.cumsum([0, *map(len, values)]))
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-    kinds = ", ".join(f"{c} {'long' if c == 'n' else 'binary'}" for c in columns)
-    rows = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(whole, f"doc_id long, node long, {kinds}")
+            keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
+            hashes = binaries(np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, hashes], ["doc_id", "node", "hashes"])
+
+    rows = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(whole, "doc_id long, node long, hashes binary")
     # Only the node is a key of the join, so that its shuffle also serves to leave one row a node.
     both = rows.join(owners.withColumnRenamed("doc_id", "owner"), "node").where(F.col("doc_id").between(F.col("owner"), F.col("owner")))
-    return both.dropDuplicates(["node"]).select("node", *columns)
+    return both.dropDuplicates(["node"]).select("node", "hashes")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -332,8 +364,11 @@ def _pairs_apart(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
     if len(x):
         # Coarse maps first, for all pairs at once: folding a map keeps the bound, and shared bits are a product of matrices.
         width = max(1, min(map(len, maps)) // 2)
-        bits = np.unpackbits(np.stack([folded(m, width) for m in maps]).view(np.uint8), axis=1).astype(np.float32)
-        set_bits, shared = bits.sum(1), bits @ bits.T
+        coarse = np.stack([folded(m, width) for m in maps])
+        set_bits, shared = np.bitwise_count(coarse).sum(1, dtype=np.int64), np.zeros((len(n), len(n)), dtype=np.float32)
+        for low in range(0, width, WIDTH // 64):
+            bits = np.unpackbits(coarse[:, low : low + WIDTH // 64].copy().view(np.uint8), axis=1).astype(np.float32)
+            shared += bits @ bits.T
         common = np.minimum(n[x] - set_bits[x] + shared[x, y], n[y] - set_bits[y] + shared[x, y])
         near = (den + num) * common >= num * (n[x] + n[y])
         x, y = x[near], y[near]
