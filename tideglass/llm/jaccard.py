@@ -6,7 +6,8 @@ a tile is a band, a segment and its content. Within a tile, set bits of hashed b
 overlap from above; what the bound leaves is settled by intersecting the sorted hash arrays.
 
 Links are wanted for reachability. Each tile first tests its members against its first one only;
-tiles whose members are then still apart are compared in full, block against block.
+tiles whose members are then still apart are compared in full, block against block: bitmaps tell which
+members have any partner left, and only these bring their sets, of which a block sends a spanning forest.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .words import SPACED, binaries, grams, hashed_words, mix, text_slices
 BAND, BLOCK, BLOCK_BYTES, REMEMBERED = 1.5, 512, 8 << 20, 200_000
 #: Sets that are sent at once.
 SENT = 1000
+#: Leaders whose numbers of blocks are broadcast, at most.
+BROADCAST = 100_000
 #: Bits of a bitmap that are compared at once for all pairs of a block.
 WIDTH = 4096
 #: Bits of the filter for each text that is read again, and at most; it keeps most others from being shuffled. A full one costs time, never results.
@@ -215,13 +218,10 @@ def _components(docs: DataFrame, threshold: Fraction, words: int, id_col: str) -
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked: list[None] = []
-
     def linked(pairs: DataFrame) -> DataFrame:
         # Whole sets are fetched for the pairs that are left only.
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        full = _sets(docs, scratch.save(owners.join(nodes, "node", "left_semi"), f"asked-{len(asked)}"), words)
-        asked.append(None)
+        full = _sets(docs, scratch.save(owners.join(nodes, "node", "left_semi"), "asked"), words)
         both = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(exact, "a long, b long")
 
@@ -241,20 +241,20 @@ def _components(docs: DataFrame, threshold: Fraction, words: int, id_col: str) -
     if not apart.isEmpty():
         gathered = placed.join(apart, "tile").groupBy("leader", "node").agg(F.min("component").alias("component"), F.collect_list("tile").alias("tiles"))
         gathered = scratch.save(gathered.join(slim, "node"), "gathered")
-        size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("bits")) / BLOCK_BYTES)
-        blocks = gathered.groupBy("leader").agg(F.ceil(size).cast("int").alias("blocks"))
-        dealt = gathered.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bits", "tiles")
-        dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "n", "node")
-
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+        def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for run in _runs(batches, ["leader", "i", "j"]):
+                yield _near_members(run, num, den)
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for run in _runs(batches, ["leader", "i", "j"]):
-                yield _pairs_apart(run, num, den)
+                yield _forest(run, num, den)
 
-        more = scratch.save(dealt.mapInArrow(compared, "a long, b long").distinct(), "more")
-        links = scratch.save(links.union(linked(more)), "all-links")
-        found = connected_components(links, scratch, "all")
+        near = scratch.save(_blocks(gathered, "bits").mapInArrow(partnered, "leader long, node long").distinct(), "partnered")
+        full = _sets(docs, scratch.save(owners.join(near.select("node").distinct(), "node", "left_semi"), "asked-all"), words)
+        whole = scratch.save(gathered.select("leader", "node", "component", "n").join(near, ["leader", "node"]).join(full, "node"), "whole")
+        more = scratch.save(_blocks(whole, "hashes").mapInArrow(joined, "a long, b long").distinct(), "more")
+        found = connected_components(links.union(more), scratch, "all")
     return rows.join(found, "node", "left").select("doc_id", "key", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
 
 
@@ -349,8 +349,20 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _pairs_apart(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
-    """Pairs of different components in one tile, across the two blocks of the run, that sizes and bitmaps leave possible."""
+def _blocks(members: DataFrame, payload: str) -> DataFrame:
+    """Rows of ``members (leader, node, ...)`` dealt out so that any two of a leader meet in a task, in blocks ``i, j`` of bounded numbers and bytes."""
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length(payload)) / BLOCK_BYTES)
+    large = members.groupBy("leader").agg(F.ceil(size).cast("int").alias("blocks")).where("blocks > 1")
+    # Leaders of more than one block are few, as their members are many: where that is so, no group is sent to one task to learn it.
+    few = large.limit(BROADCAST + 1).count() <= BROADCAST
+    dealt = members.join(F.broadcast(large) if few else large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+    return dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "n", "node")
+
+
+def _near_members(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """Members that some other of the run, of another component and in a common tile, may link with by sizes and bitmaps."""
     n, own, part, node = (np.array(run[c]) for c in ("n", "own", "component", "node"))
     maps = [np.frombuffer(b, np.uint64) for b in run["bits"].to_pylist()]
     cross = run["i"][0] != run["j"][0]
@@ -372,10 +384,35 @@ def _pairs_apart(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
         common = np.minimum(n[x] - set_bits[x] + shared[x, y], n[y] - set_bits[y] + shared[x, y])
         near = (den + num) * common >= num * (n[x] + n[y])
         x, y = x[near], y[near]
-        fine = np.zeros(len(x), dtype=bool)
-        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-            width = min(len(maps[a]), len(maps[b]))
-            fine[i] = (den + num) * most_common(n[a], folded(maps[a], width), n[b], folded(maps[b], width)) >= num * (n[a] + n[b])
-        x, y = x[fine], y[fine]
-    a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        some = np.zeros(len(n), dtype=bool)
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            if not (some[a] and some[b]):
+                width = min(len(maps[a]), len(maps[b]))
+                if (den + num) * most_common(n[a], folded(maps[a], width), n[b], folded(maps[b], width)) >= num * (n[a] + n[b]):
+                    some[a] = some[b] = True
+        x, y = np.flatnonzero(some), x[:0]
+    near = node[np.unique(np.concatenate([x, y]))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(near), run["leader"][0].as_py()), pa.int64()), pa.array(near, pa.int64())], ["leader", "node"])
+
+
+def _forest(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """Links between members of the run, by exact intersection, as few as join all that any links of it join."""
+    n, own, part, node = (np.array(run[c]) for c in ("n", "own", "component", "node"))
+    cross = run["i"][0] != run["j"][0]
+    sets = [np.frombuffer(h, np.uint64) for h in run["hashes"].to_pylist()]
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum([0, *map(len, sets)])
+    _, group = np.unique(part, return_inverse=True)
+    there, a, b = np.zeros(len(values), dtype=bool), [], []
+    for i in range(len(n) - 1):
+        if (group == group[0]).all():
+            break
+        there[place[begin[i] : begin[i + 1]]] = True
+        common = np.add.reduceat(there[place[begin[i + 1] :]], begin[i + 1 : -1] - begin[i + 1], dtype=np.int64)
+        there[place[begin[i] : begin[i + 1]]] = False
+        for k in (i + 1 + np.flatnonzero(den * common >= num * (n[i] + n[i + 1 :] - common))).tolist():
+            if group[k] != group[i] and not (cross and own[k] == own[i]):
+                a.append(node[i])
+                b.append(node[k])
+                group[group == group[k]] = group[i]
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
