@@ -1 +1 @@
-"""functions."""
+"""Scalar functions on columns."""

@@ -59,14 +59,17 @@ def revisions(current: DataFrame, prior: DataFrame, by: Sequence[str] = ("sid",
 def within_tolerance(rows: DataFrame, near: DataFrame, tolerance: dict[str, float], key: str, other: str) -> DataFrame:
     """Pairs of a row and a candidate whose every named column differs by no more than its tolerance.
 
-    The first column is cut into cells as wide as its tolerance, and a candidate is put in its own and both
-    neighbouring cells, so the pairs come from an equi-join on cells rather than from all pairs.
+    The first two columns are cut into cells a little wider than their tolerances, so that rounding parts no pair, and a
+    candidate is put in its own and all neighbouring cells: the pairs come from an equi-join on cells rather
+    than from all pairs, and a value that many rows share is split by the second column.
     """
-    first, width = next(iter(tolerance.items()))
-    cell = lambda c: F.floor(F.col(c) / width)
-    left = rows.select(F.col(key), *tolerance, cell(first).alias("_cell"))
-    right = near.select(F.col(key).alias(other), *[F.col(c).alias(f"_{c}") for c in tolerance], F.explode(F.array(cell(first) - 1, cell(first), cell(first) + 1)).alias("_cell"))
-    both = left.join(right, "_cell")
+    cells = [(c, f"_cell{i}", t * (1 + 1e-6)) for i, (c, t) in enumerate([*tolerance.items()][:2])]
+    left = rows.select(F.col(key), *tolerance, *[F.floor(F.col(c) / w).alias(name) for c, name, w in cells])
+    right = near.select(F.col(key).alias(other), *[F.col(c).alias(f"_{c}") for c in tolerance])
+    for c, name, w in cells:
+        cell = F.floor(F.col(f"_{c}") / w)
+        right = right.withColumn(name, F.explode(F.array(cell - 1, cell, cell + 1)))
+    both = left.join(right, [name for _, name, _ in cells])
     for c, t in tolerance.items():
         both = both.where(F.abs(F.col(c) - F.col(f"_{c}")) <= t)
     return both.select(key, other)

@@ -14,7 +14,11 @@ QUERIES = 4096
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, key: str, vector: str) -> DataFrame:
-    """Euclidean distance from each query to its nearest candidate: candidates stay where they lie and send one row a query and task."""
+    """Euclidean distance from each query to its nearest candidate of another key, by exact differences of the nearest few.
+
+    Candidates stay where they lie and send one row a query and task. A block of queries, of a bounded number, is
+    broadcast at once. Queries without any other candidate have no row.
+    """
     spark = queries.sparkSession
     n = queries.count()
     out = None
@@ -30,9 +34,13 @@ def nearest(queries: DataFrame, candidates: DataFrame, key: str, vector: str) ->
                 if len(batch) and len(ids):
                     c = np.stack(batch[vector].to_numpy()).astype(float)
                     square = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * q @ c.T
-                    best = np.minimum(best, np.sqrt(np.maximum(square, 0)).min(axis=1))
+                    square[ids[:, None] == batch[key].to_numpy()[None, :]] = np.inf
+                    # A product of matrices loses digits of small distances: what may be the least is measured again.
+                    close = square <= square.min(axis=1)[:, None] + 1e-9 * ((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :])
+                    x, y = np.nonzero(close & np.isfinite(square))
+                    np.minimum.at(best, x, np.sqrt(((q[x] - c[y]) ** 2).sum(1)))
             yield pd.DataFrame({key: ids, "distance": best})
 
-        one = candidates.select(vector).mapInPandas(least, f"{key} long, distance double")
+        one = candidates.select(key, vector).mapInPandas(least, f"{key} long, distance double")
         out = one if out is None else out.unionByName(one)
     return out.groupBy(key).agg(F.min("distance").alias("distance")).where("distance < double('infinity')")

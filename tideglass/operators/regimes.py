@@ -17,6 +17,23 @@ def label(dd: Column, change: Column, crisis: float, deep: float, hot: float) ->
     return F.when((dd <= crisis) & (change < 0), "CRI").when(change < deep, "REC").when(change > hot, "REF").when(change < 0, "SLOW").otherwise("EXP")
 
 
+def seven(recession: Column, inflation: Column, growth: Column, dd: Column, spread: Column, hot: float = 4.0, weak: float = 0.0, slow: float = 1.5, crisis: float = -0.2, wide: float = 8.0) -> Column:
+    """Crisis, recession, stagflation, reflation, recession by growth, slowdown or expansion: the first that holds.
+
+    A missing feature holds for none of its tests.
+    """
+    recession, inflation, growth, dd, spread = map(_known, (recession, inflation, growth, dd, spread))
+    return (
+        F.when((recession >= 0.5) & (F.coalesce(dd <= crisis, F.lit(False)) | F.coalesce(spread >= wide, F.lit(False))), "CRI")
+        .when(recession >= 0.5, "REC")
+        .when((inflation >= hot) & (growth <= weak), "STAG")
+        .when((inflation >= hot) & (growth > slow), "REF")
+        .when(growth <= weak, "REC")
+        .when(growth < slow, "SLOW")
+        .otherwise("EXP")
+    )
+
+
 def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     return df.groupBy(predicted.alias("predicted"), actual.alias("actual")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -24,12 +24,12 @@ def without_suffixes(c: Column, suffixes: Sequence[str]) -> Column:
 
 def top_terms(df: DataFrame, text: str, k: int, n: int = 1) -> DataFrame:
     """The ``k`` most frequent n-grams of words, ties by term; counts are partial before the shuffle, the end a top-k."""
-    w = words(text)
-    ahead = lambda j: F.slice(w, 1 + j, F.greatest(F.lit(0), F.size(w) - n + 1))
-    terms = ahead(0)
-    for j in range(1, n):
-        terms = F.zip_with(terms, ahead(j), lambda x, y: F.concat_ws(" ", x, y))
-    return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(k)
+    found = df.select(words(text).alias("_w")).where(F.size("_w") >= n)
+    parts = [f"_{j}" for j in range(n)]
+    # Words are found once; the parts of a term stay apart until only the top ones are left.
+    runs = F.arrays_zip(*[F.slice("_w", 1 + j, F.size("_w") - n + 1).alias(p) for j, p in enumerate(parts)])
+    counts = found.select(F.explode(runs).alias("_e")).select("_e.*").groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.concat_ws(" ", *parts).alias("term"), "n").orderBy(F.desc("n"), "term").limit(k)
 
 
 def mutual_information(df: DataFrame, present: Column, label: Column) -> DataFrame:

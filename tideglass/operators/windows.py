@@ -134,13 +134,28 @@ def era_share(df: DataFrame, level: float, run: int, k: int, by: str = "sid", or
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Ranks from 1; ties share the mean of their ranks."""
-    whole, same = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return df.withColumn(out, F.rank().over(whole) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    """Ranks from 1; ties share the mean of their ranks, nulls are the lowest.
+
+    Without ``by`` no task has all rows: values are counted and dealt by ranges, and each range adds the rows of those below it.
+    """
+    if by:
+        whole, same = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
+        return df.withColumn(out, F.rank().over(whole) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k")).repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
+    upto = F.sum("_k").over(Window.partitionBy("_part").orderBy("_v"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # one row a range
+    parts = counts.groupBy("_part").agg(F.sum("_k").alias("_n")).withColumn("_below", before).drop("_n")
+    ranks = counts.withColumn("_upto", upto).join(F.broadcast(parts), "_part")
+    ranks = ranks.select("_v", (F.col("_below") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def pseudo_observations(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "u") -> DataFrame:
-    return average_rank(df, value, by, "_rank").withColumn(out, F.col("_rank") / (F.count(F.lit(1)).over(Window.partitionBy(*by)) + 1)).drop("_rank")
+    ranked = average_rank(df, value, by, "_rank")
+    if by:
+        return ranked.withColumn(out, F.col("_rank") / (F.count(F.lit(1)).over(Window.partitionBy(*by)) + 1)).drop("_rank")
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.crossJoin(F.broadcast(n)).withColumn(out, F.col("_rank") / (F.col("_n") + 1)).drop("_rank", "_n")
 
 
 def spells(df: DataFrame, label: str = "label", by: str = "sid", order: str = "dt") -> DataFrame:

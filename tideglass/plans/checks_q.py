@@ -56,18 +56,18 @@ def period_violations(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT o_custkey AS k, CAST(month(o_orderdate) * 4 AS BIGINT) AS lo, CAST(month(o_orderdate) * 4 + 3 AS BIGINT) AS hi FROM orders WHERE o_custkey % 10 = 0 GROUP BY ALL),
+    """WITH s AS (SELECT o_custkey AS k, CAST(month(o_orderdate) * 4 AS BIGINT) AS lo, CAST(month(o_orderdate) * 4 + 3 AS BIGINT) AS hi FROM orders GROUP BY ALL),
     b AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 3) + 1 <> lo AS bad FROM s)
     SELECT k, count(*) FILTER (coalesce(bad, false)) AS breaks, max(hi) AS last FROM (SELECT k, lo - 4 AS lo, hi - 4 AS hi, bad FROM b) GROUP BY k HAVING count(*) FILTER (bad) > 0 OR max(hi) <> 47"""
 )
 def tiling_faults(spark, d):
     month = F.month("o_orderdate").cast("long") * 4
-    s = t.read(spark, d, "orders").where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("k"), (month - 4).alias("lo"), (month - 1).alias("hi")).distinct()
+    s = t.read(spark, d, "orders").select(F.col("o_custkey").alias("k"), (month - 4).alias("lo"), (month - 1).alias("hi")).distinct()
     return ck.tiling_faults(s, "k", "lo", "hi", 48)
 
 
-@query("SELECT l_orderkey, l_linenumber, greatest(0.0, least(l_discount, 0.08)) AS clamped, l_discount > 0.08 AS was_clamped FROM lineitem WHERE l_quantity > 49")
+@query("SELECT l_orderkey, l_linenumber, greatest(0.0, least(l_discount, 0.08)) AS clamped, l_discount > 0.08 AS was_clamped FROM lineitem")
 def clamped_values(spark, d):
     """Values held to declared bounds, with the audit flag."""
     disc = F.col("l_discount")
-    return t.read(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_linenumber", F.greatest(F.lit(0.0), F.least(disc, F.lit(0.08))).alias("clamped"), (disc > 0.08).alias("was_clamped"))
+    return t.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(F.lit(0.0), F.least(disc, F.lit(0.08))).alias("clamped"), (disc > 0.08).alias("was_clamped"))

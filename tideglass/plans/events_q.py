@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import events as ev, neighbours, regimes, resample as rs, texts as tx
 from . import tables as t
 from .registry import query
@@ -111,18 +112,21 @@ def normalized_names(spark, d):
     return t.read(spark, d, "part").select("p_partkey", tx.normalized(F.col("p_name")).alias("name"), kind.alias("kind"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, substr(sha256(props), 1, 16) AS tag FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, substr(sha256(props), 1, 16) AS tag FROM events")
 def json_fields(spark, d):
     k = F.from_json("props", "k bigint")["k"]
-    return t.read(spark, d, "events").select("event_id", k.alias("k"), F.substring(F.sha2("props", 256), 1, 16).alias("tag")).where("k > 90")
+    return t.read(spark, d, "events").select("event_id", k.alias("k"), F.substring(F.sha2("props", 256), 1, 16).alias("tag"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || printf('%.1f', abs(c_acctbal) / 100) || '%' AS pct, 'Y' || (c_custkey // 12 + 1) || 'M' || (c_custkey % 12 + 1) AS dateline FROM customer WHERE round(abs(c_acctbal) * 10) % 5 <> 0")
+@query(
+    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || printf('%.1f', CAST(round(CAST(abs(c_acctbal) AS DECIMAL(18, 2)), -1) AS DOUBLE) / 100) || '%' AS pct,
+    'Y' || (c_custkey // 12 + 1) || 'M' || (c_custkey % 12 + 1) AS dateline FROM customer"""
+)
 def formatted_values(spark, d):
-    key, bal = F.col("c_custkey"), F.col("c_acctbal")
-    rows = t.read(spark, d, "customer").where(F.round(F.abs(bal) * 10) % 5 != 0)
-    pct = F.concat(F.when(bal < 0, "-").otherwise("+"), F.format_string("%.1f%%", F.abs(bal) / 100))
-    return rows.select("c_custkey", pct.alias("pct"), F.concat(F.lit("Y"), (F.floor(key / 12) + 1).cast("string"), F.lit("M"), (key % 12 + 1).cast("string")).alias("dateline"))
+    """Signed percentages, whose halves go away from zero, and years and months of an ordinal."""
+    key = F.col("c_custkey")
+    dateline = F.concat(F.lit("Y"), (F.floor(key / 12) + 1).cast("string"), F.lit("M"), (key % 12 + 1).cast("string"))
+    return t.read(spark, d, "customer").select("c_custkey", scalars.signed_percent(F.col("c_acctbal")).alias("pct"), dateline.alias("dateline"))
 
 
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, count(*) AS turns FROM conversations WHERE turn < 4 GROUP BY conv_id")
@@ -222,10 +226,10 @@ def paired_effect(spark, d):
 
 
 @query(
-    """WITH v AS (SELECT vec_id, vec_id % 2 AS side, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 400)
-    SELECT a.vec_id, round(min(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.e[i] - b.e[i], 2))))), 5) AS distance FROM v a JOIN v b ON a.side = 1 AND b.side = 0 GROUP BY a.vec_id"""
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    SELECT a.vec_id, round(min(sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: pow(a.e[i] - b.e[i], 2))))), 5) AS distance FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id"""
 )
 def nearest_neighbour_distance(spark, d):
-    """A bounded set of queries against blocks of candidates, one matrix product a block."""
-    v = t.read(spark, d, "embeddings").where("vec_id < 400")
-    return neighbours.nearest(v.where("vec_id % 2 = 1"), v.where("vec_id % 2 = 0"), "vec_id", "embedding").select("vec_id", F.round("distance", 5).alias("distance"))
+    """Every hundredth vector against all others, block by block of queries, one matrix product a batch of candidates."""
+    v = t.read(spark, d, "embeddings")
+    return neighbours.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding").select("vec_id", F.round("distance", 5).alias("distance"))
