@@ -321,7 +321,7 @@ def battery_report(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT l_suppkey, sum(l_extendedprice * l_tax) AS pocketed FROM lineitem GROUP BY 1) SELECT l_suppkey, round(pocketed * 0.6, 2) AS payout, 0.0 AS pocketed FROM k"""
+    """WITH k AS (SELECT l_suppkey, sum(l_extendedprice * l_tax) AS pocketed FROM lineitem GROUP BY 1) SELECT l_suppkey, round(pocketed * 0.6, 2) AS payout, CAST(0 AS DOUBLE) AS pocketed FROM k"""
 )
 def side_pockets(spark, d):
     """What was set aside is paid out at a recovery rate, and nothing stays."""
