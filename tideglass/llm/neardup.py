@@ -48,13 +48,15 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, id_col: str
 
     Vectors of equal length link at a cosine of ``threshold`` or more, in double precision. A vector that is
     null, empty, all zero or holds a null or non-finite component links with nothing. A pair just at the threshold is
-    found with a chance of 99.9 %, a closer one more surely; no pair below it is ever linked. Rows that hold
-    the same vector are all linked with each other, repeated ids too. A null id is kept as a row and
+    found with a chance of 99.9 %, a closer one more surely; no pair below it is ever linked. Vectors are told apart by
+    128 bits of hashes. Rows that hold the same vector are all linked with each other, repeated ids too. A null id is kept as a row and
     counts for its partners. Columns other than the two named are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup")
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Single precision travels as it is; every cosine is formed in double precision.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     base = base.withColumn("usable", F.coalesce(whole, F.lit(False))).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(7), "v"))
     classes = base.where("usable").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.any_value("v").alias("v"))
@@ -67,7 +69,7 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, id_col: str
             dims, reps = np.array(batch.column("dim")), np.array(batch.column("k1"))
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
-                v = np.array(batch.column("v").take(pa.array(own)).flatten()).reshape(len(own), dim)
+                v = np.array(batch.column("v").take(pa.array(own)).flatten(), dtype=np.float64).reshape(len(own), dim)
                 c = codes(v, bits, tables)
                 columns = [np.full(c.size, dim), np.tile(np.arange(tables), len(own)), c.ravel(), np.repeat(reps[own], tables)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["dim", "tab", "code", "k1"])
