@@ -84,10 +84,10 @@ def test_simulated_paths(spark):
 
 
 def test_draws_are_blocks(spark):
-    d = resample.block_draws(spark, 200, 60, 50, 1 / 6, 1).orderBy("path", "m").toPandas()
+    d = resample.block_draws(spark, 200, spark.createDataFrame([("a", 60)], "sid string, n long"), 1 / 6, 1).orderBy("path", "m").toPandas()
     row = d.row.to_numpy().reshape(200, 60)
-    on = (row[:, 1:] == (row[:, :-1] + 1) % 50).mean()
-    assert row.min() == 0 and row.max() == 49 and abs(on - (5 / 6 + 1 / 6 / 50)) < 0.02
+    on = (row[:, 1:] == (row[:, :-1] + 1) % 60).mean()
+    assert row.min() == 0 and row.max() == 59 and abs(on - (5 / 6 + 1 / 6 / 60)) < 0.02
 
 
 def test_as_of_takes_the_last_fact_by_then(spark):

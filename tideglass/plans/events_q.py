@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import events as ev, neighbours, regimes, resample as rs, texts as tx
+from ..operators import events as ev, neighbours, regimes, resample as rs, texts as tx, windows as w
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -136,32 +136,67 @@ def revealed_turns(spark, d):
     return c.select("conv_id", F.array_join(F.transform("s", lambda x: x["role"]), ">").alias("roles"), "turns")
 
 
-_UNIT = "CAST(('0x' || substr(md5('{0}:{1}:' || path || ':' || m), 1, 8)) AS BIGINT) / 4294967296.0"
-_DRAWS = f"""g AS (SELECT path, m FROM (SELECT unnest(range(0, 50)) AS path), (SELECT unnest(range(0, 60)) AS m)),
-    s AS (SELECT path, m, CASE WHEN m = 0 OR {_UNIT.format(7, 'restart')} < 1 / 6.0 THEN m END AS since, CAST(floor({_UNIT.format(7, 'start')} * n) AS BIGINT) AS start, n FROM g, (SELECT count(*) AS n FROM ret_m WHERE sid = '1-URGENT')),
-    l AS (SELECT path, m, n, last_value(since IGNORE NULLS) OVER w AS since, last_value(CASE WHEN since IS NOT NULL THEN start END IGNORE NULLS) OVER w AS start FROM s WINDOW w AS (PARTITION BY path ORDER BY m)),
-    dr AS (SELECT path, m, (start + m - since) % n AS "row" FROM l)"""
+_UNIT = "CAST(('0x' || substr(md5('{0}:{1}:' || {2}), 1, 8)) AS BIGINT) / 4294967296.0"
+_CELL = "sid || ':' || path || ':' || m"
+_PATHS = 1000
+_DRAWS = f"""h AS (SELECT sid, dt, r, row_number() OVER (PARTITION BY sid ORDER BY dt) - 1 AS i FROM ret_m), c AS (SELECT sid, count(*) AS n FROM h GROUP BY sid),
+    g AS (SELECT sid, n, path, unnest(range(0, n)) AS m FROM c, (SELECT unnest(range(0, {_PATHS})) AS path)),
+    s AS (SELECT sid, n, path, m, CASE WHEN m = 0 OR {_UNIT.format(7, 'restart', _CELL)} < 1 / 6.0 THEN m END AS since, CAST(floor({_UNIT.format(7, 'start', _CELL)} * n) AS BIGINT) AS start FROM g),
+    l AS (SELECT sid, path, m, n, last_value(since IGNORE NULLS) OVER w AS since, last_value(CASE WHEN since IS NOT NULL THEN start END IGNORE NULLS) OVER w AS start FROM s WINDOW w AS (PARTITION BY sid, path ORDER BY m)),
+    dr AS (SELECT sid, path, m, (start + m - since) % n AS "row" FROM l)"""
 
 
 def draws(spark, d):
-    history = rs.numbered(t.ret_m(spark, d).where("sid = '1-URGENT'"), ["sid"], "dt")
-    return history, rs.block_draws(spark, 50, 60, history.count(), 1 / 6, 7)
+    """The reference count of resamples of every series, each as long as its history."""
+    history = rs.numbered(t.ret_m(spark, d), ["sid"], "dt")
+    return history, rs.block_draws(spark, _PATHS, history.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), 1 / 6, 7)
 
 
-@query(f'WITH {_DRAWS} SELECT path, m, "row" FROM dr')
+@query(f'WITH {_DRAWS} SELECT sid, path, m, "row" FROM dr')
 def block_bootstrap_draws(spark, d):
     return draws(spark, d)[1]
 
 
 @query(
-    f"""WITH {_DRAWS}, h AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS i, r FROM ret_m WHERE sid = '1-URGENT'), x AS (SELECT path, avg(r) AS mean, stddev_samp(r) AS sd FROM dr JOIN h ON dr."row" = h.i GROUP BY path)
-    SELECT round(quantile_cont(mean, 0.05), 6) + 0.0 AS lo, round(quantile_cont(mean, 0.95), 6) + 0.0 AS hi, count(*) AS n FROM x"""
+    f"""WITH {_DRAWS}, x AS (SELECT dr.sid, path, avg(r) AS mean FROM dr JOIN h ON dr.sid = h.sid AND dr."row" = h.i GROUP BY dr.sid, path)
+    SELECT sid, round(quantile_cont(mean, 0.05), 6) + 0.0 AS lo, round(quantile_cont(mean, 0.95), 6) + 0.0 AS hi, count(*) AS n FROM x GROUP BY sid"""
 )
 def bootstrap_band(spark, d):
-    """Percentile band of the mean over resampled histories."""
+    """Percentile band of the mean over resampled histories of every series."""
     history, index = draws(spark, d)
-    means = rs.resampled(index, history).groupBy("path").agg(F.avg("r").alias("mean"))
-    return rs.bands(means, [], "mean", 0.9).select(*r6("lo", "hi"), "n")
+    means = rs.resampled(index, history).groupBy("sid", "path").agg(F.avg("r").alias("mean"))
+    return rs.bands(means, ["sid"], "mean", 0.9).select("sid", *r6("lo", "hi"), "n")
+
+
+_STRATA = f"""r AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS "row", dt, a, CASE WHEN a < -0.05 THEN 'down' WHEN a > 0.05 THEN 'up' ELSE 'flat' END AS label FROM ret_w WHERE a IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY "row") - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM r),
+    w AS (SELECT path, k."row" AS m, label, CAST(floor({_UNIT.format(5, 'row', "path || ':' || k." + '"row"')} * n) AS BIGINT) AS i FROM k, (SELECT unnest(range(0, 200)) AS path)),
+    sd AS (SELECT w.path, w.m, w.label, k."row" FROM w JOIN k ON w.label = k.label AND w.i = k.i)"""
+
+
+def _strata(spark, d):
+    r = t.ret_w(spark, d).where("a IS NOT NULL").select("dt", "a", F.when(F.col("a") < -0.05, "down").when(F.col("a") > 0.05, "up").otherwise("flat").alias("label"))
+    rows = rs.numbered(r, [], "dt")  # one row a month
+    return rows, rs.stratified_draws(spark, rows.select(F.col("row").alias("m"), "label"), rows.select("row", "label"), 200, 5)
+
+
+@query(f'WITH {_STRATA} SELECT path, m, label, "row" FROM sd')
+def stratified_bootstrap_draws(spark, d):
+    """Months resampled from months of the same regime."""
+    return _strata(spark, d)[1]
+
+
+@query(
+    f"""WITH {_STRATA}, x AS (SELECT sd.path, sd.m, sum(k.a) OVER (PARTITION BY sd.path ORDER BY sd.m ROWS 11 PRECEDING) AS s, count(*) OVER (PARTITION BY sd.path ORDER BY sd.m ROWS 11 PRECEDING) AS c FROM sd JOIN k ON sd."row" = k."row"),
+    y AS (SELECT path, min(s) AS worst FROM x WHERE c = 12 GROUP BY path), z AS (SELECT path, worst, row_number() OVER (ORDER BY worst, path) AS i FROM y)
+    SELECT path, round(worst, 6) + 0.0 AS worst FROM z WHERE i <= 20"""
+)
+def stress_paths(spark, d):
+    """Of the resampled worlds, the tenth with the most severe twelve months: a report of twenty."""
+    rows, drawn = _strata(spark, d)
+    both = drawn.join(rows.select("row", "a"), "row")
+    year = w.rolling_sums(both, 12, "path", "m", "a").groupBy("path").agg(F.min("s").alias("worst"))
+    return year.orderBy("worst", "path").limit(20).select("path", *r6("worst"))
 
 
 @query(
