@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +64,31 @@ def test_sinks(spark, tmp_path):
     formats.json_lines(df, str(tmp_path / "j"), ["k"])
     assert [r.k for r in spark.read.schema("k int, v string").json(str(tmp_path / "j")).orderBy("k").collect()] == [1, 2]
     formats.csv_with_notice(df, str(tmp_path / "c"), "attributed")
-    assert spark.read.csv(str(tmp_path / "c"), header=True).where("notice = 'attributed'").count() == 2
+    got = spark.read.csv(str(tmp_path / "c"), header=True, comment="#")
+    assert got.columns == ["k", "v"] and got.count() == 2
+    assert all(f.read_text().startswith("# attributed\nk,v\n") for f in (tmp_path / "c").glob("part-*"))
+
+
+def test_directories_and_stata(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a b.csv").write_text("date,value\n2020-01-01,1.5\n2020-02-01,.\n")
+    (tmp_path / "d" / "c.csv").write_text("date,value\nbad,2\n")
+    got = [tuple(r) for r in formats.csv_directory(spark, str(tmp_path / "d")).orderBy("series_id", "date").collect()]
+    assert got == [("a b", dt.date(2020, 1, 1), 1.5), ("a b", dt.date(2020, 2, 1), None), ("c", None, 2.0)]
+    frame = pd.DataFrame({"iso": ["USA", "USA", "FRA"], "year": [1900, 1901, 1900], "gdp": [1.0, None, 3.0]})
+    frame.to_stata(tmp_path / "j.dta", write_index=False)
+    assert [tuple(r) for r in formats.stata_panel(spark, str(tmp_path / "j.dta"), "USA", "gdp").collect()] == [(dt.date(1900, 1, 1), 1.0)]
+    with pytest.raises(Exception, match="no columns"):
+        formats.stata_panel(spark, str(tmp_path / "j.dta"), "USA", "debt").collect()
+
+
+def test_intake_is_logged(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    good = spark.createDataFrame([("0.1",), (None,)], "ret string")
+    assert s.take_in("a.csv", good, [("ret", -0.9, 3.0)], "2020-01-01")
+    assert not s.take_in("b.csv", good.union(spark.createDataFrame([("n/a",), ("9",)], "ret string")), [("ret", -0.9, 3.0)], "2020-01-02")
+    log = spark.read.parquet(str(tmp_path / "intake")).orderBy("file").collect()
+    assert [(r.file, r.accepted, r.faults, len(r.wrong)) for r in log] == [("a.csv", True, 0, 0), ("b.csv", False, 2, 2)]
 
 
 def _run(spark, out, name, mode="append"):

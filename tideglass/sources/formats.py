@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -68,9 +72,44 @@ def daily_to_monthly(df: DataFrame, last: Column, by: str = "series_id", date: s
     return one.select(by, date, F.when(last, F.col("_last")).otherwise(F.col("_mean")).alias(value))
 
 
+def csv_directory(spark: SparkSession, path: str) -> DataFrame:
+    """``(series_id, date, value)`` of the files ``<series>.csv`` with columns ``date, value`` under a folder; text that is no number is missing."""
+    raw = spark.read.schema("date string, value string").csv(f"{path}/*.csv", header=True, enforceSchema=False)
+    name = F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    return raw.select(name.alias("series_id"), F.col("date").try_cast("date").alias("date"), F.col("value").try_cast("double").alias("value"))
+
+
+def stata_panel(spark: SparkSession, path: str, country: str, variable: str) -> DataFrame:
+    """``(date, value)`` of one country's yearly ``variable`` from Stata files with ``iso`` or ``country`` and ``year``; years without a value go.
+
+    A file is one row and is read whole by one task; the format can't be read in parts.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                frame = pd.read_stata(io.BytesIO(content))
+                key = "iso" if "iso" in frame.columns else "country"
+                missing = {key, "year", variable} - set(frame.columns)
+                if missing:
+                    raise ValueError(f"no columns {sorted(missing)} in a Stata file")
+                own = frame[frame[key] == country].dropna(subset=[variable])
+                yield pd.DataFrame({"year": own["year"].astype(int), "value": own[variable].astype(float)})
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(read, "year int, value double").select(F.make_date("year", F.lit(1), F.lit(1)).alias("date"), "value")
+
+
 def csv_with_notice(df: DataFrame, path: str, notice: str) -> None:
-    """A small result as CSV files, each with a notice in a column of its own, which readers can drop."""
-    df.withColumn("notice", F.lit(notice)).write.mode("errorifexists").option("header", True).csv(path)
+    """CSV files that each begin with ``notice`` as a comment, then a header; readers take ``comment="#"``."""
+    columns = df.columns
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["".join(f"# {line}\n" for line in notice.splitlines()) + pd.DataFrame(columns=columns).to_csv(index=False).rstrip("\n")]})
+        yield from batches
+
+    lines = df.select(F.to_csv(F.struct("*")).alias("value"))
+    lines.mapInPandas(headed, "value string").write.mode("errorifexists").text(path)
 
 
 def json_lines(df: DataFrame, path: str, order: list[str]) -> None:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checks import intake_violations
+
 OBSERVATIONS = "series_id string, date date, value double, is_proxy boolean, vintage string"
 
 
@@ -44,6 +48,15 @@ class Store:
     def log(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
+    def take_in(self, name: str, rows: DataFrame, columns: Sequence[tuple[str, float | None, float | None]], received_at: str) -> bool:
+        """Checks a delivered table of text against ``columns (name, low, high)`` and logs it as accepted or rejected, with what was wrong."""
+        wrong = intake_violations(rows, columns)
+        faults = wrong.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("faults"), F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "column", "n"))).alias("wrong"))
+        verdict = faults.select(F.lit(name).alias("file"), F.lit(received_at).alias("received_at"), (F.col("faults") == 0).alias("accepted"), "faults", "wrong")
+        accepted = verdict.first()["accepted"]
+        self.log("intake", verdict)
+        return accepted
+
     def set_current(self, vintage: str, seq: int, set_at: str) -> None:
         self.log("pointer", self.spark.createDataFrame([(seq, vintage, set_at)], "seq long, vintage string, set_at string"))
 
