@@ -122,6 +122,9 @@ def test_contamination(spark, monkeypatch):
     want = twin(sql.contamination(), documents=docs, benchmark=bench)
     df, it = frame(spark, docs, "doc_id long, text string").withColumn("n_hit", F.lit("x")), frame(spark, bench, "item_id long, text string")
     same(decontaminate.contamination(df, it).toPandas(), want)
+    for few in (0, 10**9):
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        same(decontaminate.contamination(df, it).toPandas(), want)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 200)
     same(decontaminate.contamination(df, it).toPandas(), want)
     kept = decontaminate.clean_documents(df, it).toPandas()

@@ -21,6 +21,8 @@ from .words import ALPHANUMERIC, grams, hashed_words, text_slices
 
 #: Words of a fingerprint; words of items broadcast at once (8 bytes each, and about as much for fingerprints): more items take more passes.
 GRAM, BLOCK_WORDS = 6, 2_000_000
+#: Items of one fingerprint from which they are first told apart all at once.
+FEW = 4
 
 
 def winnowed(g: np.ndarray, w: int) -> np.ndarray:
@@ -89,7 +91,11 @@ class Items:
             low, high = bounds[text], bounds[text + 1]
             if p + self.gram > high:
                 continue
-            for i, q in zip(self.item[a:b].tolist(), self.place[a:b].tolist(), strict=True):
+            items, places = self.item[a:b], self.place[a:b]
+            if b - a > FEW:
+                long = self._long(words, p, low, high, items, places)
+                items, places = items[long], places[long]
+            for i, q in zip(items.tolist(), places.tolist(), strict=True):
                 if past.get((text, i, p - q), -1) >= p:
                     continue
                 first, last = self.bounds[i], self.bounds[i + 1]
@@ -105,6 +111,17 @@ class Items:
         return hit, found
 
 
+    def _long(self, words: np.ndarray, p: int, low: int, high: int, items: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which of many items that share a fingerprint with the text's place ``p`` agree with it over a whole window, all at once."""
+        left = self.window - self.gram
+        off = np.arange(-left, self.window)
+        doc, first, last = p + off, self.bounds[items], self.bounds[items + 1]
+        at = (first + places)[:, None] + off
+        there = (doc >= low) & (doc < high) & (at >= first[:, None]) & (at < last[:, None])
+        same = there & (words[np.clip(doc, 0, len(words) - 1)] == self.words[np.clip(at, 0, len(self.words) - 1)])
+        return np.cumprod(same[:, :left][:, ::-1], axis=1).sum(1) + np.cumprod(same[:, left:], axis=1).sum(1) >= self.window
+
+
 def _lookup(g: np.ndarray, chosen: np.ndarray | None, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """``(position, from, to)``: where a chosen hash stands in ``prints``."""
     at = np.arange(len(g)) if chosen is None else np.flatnonzero(chosen)
