@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, jaccard, licenses, neardup, packing, quality, sql, tokens, urls
+from . import chat, decontaminate, html_text, jaccard, licenses, neardup, packing, quality, sql, tokens, urls, whiten
 
 SEQUENCE, TOKEN_LIMIT = 2048, 1024
 
@@ -62,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary(), SEQUENCE)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES = {
         op8_url_filters,
         op9_ngram_jaccard_join,
         op10_best_fit_packing,
+        op13_embedding_whitening,
     )
 }
 ORACLE_SQL = {
