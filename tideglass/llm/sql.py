@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .license_texts import TEMPLATES
 from .licenses import PHRASES, pattern
+from .secret_scan import ALLOWED, ALLOWED_BEFORE, ASSIGN, CLASSES, CONTEXT, KINDS
 from .urls import PATTERNS, PLACES, expression
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,3 +102,35 @@ def jaccard(words: int = 4, num: int = 85, den: int = 100) -> str:
     least AS (SELECT a, min(doc_id) AS id FROM reach JOIN d ON d.rid = b GROUP BY a)
     SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(least.id, doc_id)) AS component_id
     FROM d LEFT JOIN n USING (rid) LEFT JOIN least ON least.a = d.rid"""
+
+
+def secrets() -> str:
+    """Places from the texts between matches; each window's entropy from a histogram of its own."""
+    head, _, tail = ASSIGN.partition(")")
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + tail
+    parts = []
+    for rank, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
+        parts.append(_places(either if kind == "assign" else pattern, group, f"{rank} AS rank, '{kind}' AS kind, first, last", f"length(said) >= {least}"))
+    for rank, (kind, of) in enumerate(CLASSES.items(), len(KINDS)):
+        allowed = f"NOT regexp_matches(said, {_quoted(ALLOWED)}) AND NOT regexp_matches({_LOWER.format(f'right(rest, {CONTEXT})')}, {_quoted(ALLOWED_BEFORE)})"
+        weight = f"list_sum(list_transform(map_values(list_histogram(string_split(said[k + 1:k + {of.window}], ''))), lambda c: CAST([{', '.join(map(str, of.weights))}][CAST(c + 1 AS BIGINT)] AS BIGINT)))"
+        hot = f"list_filter(range(length(said) - {of.window} + 1), lambda k: {weight} <= {of.most})"
+        inner = _places(of.pattern, 0, f"{rank} AS rank, '{kind}' AS kind, first AS run, {hot} AS hot", allowed)
+        parts.append(f"SELECT rid, rank, kind, run + hot[1] AS first, run + hot[-1] + {of.window} AS last FROM ({inner}) WHERE len(hot) > 0")
+    told = "string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank){0}"
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in KINDS)
+    columns = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in KINDS)
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    s AS ({' UNION ALL '.join(parts)}),
+    n AS (SELECT rid, {counts}, {told.format(f' FILTER (rank < {len(KINDS)})')} AS base, {told.format('')} AS spans FROM s GROUP BY rid)
+    SELECT doc_id, {columns}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (rid)"""
+
+
+def _places(pattern: str, group: int, columns: str, where: str) -> str:
+    p = _quoted(pattern)
+    size = "CAST(list_sum(list_transform({0}, lambda x: length(x))) AS BIGINT)"
+    last = f"{size.format('rests[:i]')} + {size.format('whole[:i]')}"
+    return f"""SELECT rid, {columns} FROM (SELECT rid, groups[i] AS said, rests[i] AS rest, {last} - length(whole[i]) AS first, {last} AS last
+               FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, {p}, 0) AS whole, regexp_extract_all(text, {p}, {group}) AS groups,
+                     string_split_regex(text, {p}) AS rests FROM d WHERE regexp_matches(text, {p})))) WHERE {where}"""
