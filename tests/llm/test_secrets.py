@@ -26,9 +26,12 @@ def plain_spans(text):
     for rank, (kind, p, group, least) in enumerate(BASE):
         out += [(m.start(), rank, kind, m.end()) for m in p.finditer(text) if len(m[group]) >= least]
     for rank, (kind, of) in enumerate(secret_scan.CLASSES.items(), 3):
+        last = 0
         for m in re.finditer(f"{of.letters}+", text):
-            before = re.split(f"{of.letters}{{{of.window},}}", text[: m.start()])[-1][-64:].translate({c: c + 32 for c in range(65, 91)})
-            if len(m[0]) < of.window or re.search(secret_scan.ALLOWED.replace(r"\z", r"\Z"), m[0]) or re.search(secret_scan.ALLOWED_BEFORE.replace(r"\z", r"\Z"), before):
+            if len(m[0]) < of.window:
+                continue
+            before, last = text[max(last, m.start() - 64) : m.start()].translate({c: c + 32 for c in range(65, 91)}), m.end()
+            if re.search(secret_scan.ALLOWED.replace(r"\z", r"\Z"), m[0]) or re.search(secret_scan.ALLOWED_BEFORE.replace(r"\z", r"\Z"), before):
                 continue
             bits = lambda s: -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
             hot = [k for k in range(len(m[0]) - of.window + 1) if bits(m[0][k : k + of.window]) >= of.bits - 1e-9]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, jaccard, licenses, neardup, packing, quality, secret_scan, sql, tokens, urls, whiten
+from . import chat, decontaminate, html_text, jaccard, licenses, neardup, packing, quality, repair, secret_scan, sql, tokens, urls, whiten
 
 SEQUENCE, TOKEN_LIMIT = 2048, 1024
 
@@ -62,6 +62,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary(), SEQUENCE)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.audits(repair.repaired_turns(repair.damaged(turns)), turns)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secret_spans(_table(spark, sf_dir, "documents")))
 
@@ -83,6 +88,7 @@ QUERIES = {
         op8_url_filters,
         op9_ngram_jaccard_join,
         op10_best_fit_packing,
+        op11_conversation_repair,
         op12_secret_scan,
         op13_embedding_whitening,
     )
@@ -94,5 +100,6 @@ ORACLE_SQL = {
     "op7_benchmark_decontamination": sql.contamination(),
     "op8_url_filters": sql.urls(),
     "op9_ngram_jaccard_join": sql.jaccard(),
+    "op11_conversation_repair": sql.repairs(),
     "op12_secret_scan": sql.secrets(),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import repair
 from .license_texts import TEMPLATES
 from .licenses import PHRASES, pattern
 from .secret_scan import ALLOWED, ALLOWED_BEFORE, ASSIGN, CLASSES, CONTEXT, KINDS
@@ -134,3 +135,49 @@ def _places(pattern: str, group: int, columns: str, where: str) -> str:
     return f"""SELECT rid, {columns} FROM (SELECT rid, groups[i] AS said, rests[i] AS rest, {last} - length(whole[i]) AS first, {last} AS last
                FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, {p}, 0) AS whole, regexp_extract_all(text, {p}, {group}) AS groups,
                      string_split_regex(text, {p}) AS rests FROM d WHERE regexp_matches(text, {p})))) WHERE {where}"""
+
+
+def repairs() -> str:
+    """The cheapest way to each state, row by row; before each row at most one is inserted, as two in a row never pay."""
+    moves = []
+    for state in repair.STATES:
+        for insert in (False, True):
+            at = repair.FOLLOWS[state] if insert else state
+            head, paid, said = ("I", repair.INSERT, _quoted(repair.ROLES[at])) if insert else ("", 0, "NULL")
+            for own in "suaxb":
+                moves.append((state, own, head + "D", paid + repair.DELETE, 0, said, "NULL", at))
+                follows = repair.FOLLOWS[at]
+                if own == follows or own == "s" and at == "0":
+                    moves.append((state, own, head + "K", paid, 1, said, "'K'", own))
+                if own != "b":
+                    moves.append((state, own, head + "R", paid + repair.REROLE, 1, said, _quoted(repair.ROLES[follows]), follows))
+    values = ", ".join(f"('{a}', '{b}', '{c}', {d}, {e}, {f}, {g}, '{h}')" for a, b, c, d, e, f, g, h in moves)
+    bits = "list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(k, ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])))"
+    crc = f"xor(list_reduce({bits}, lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)), CAST(4294967295 AS BIGINT))"
+    blanks = "\\x20\\x09-\\x0D"
+    return f"""
+    WITH RECURSIVE t AS (SELECT *, {crc} % 20 AS fate FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                                coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations)),
+    d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                 CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM t JOIN (VALUES (1), (2)) c(copy) ON copy = 1 OR fate = 3 WHERE fate <> 0),
+    ids AS (SELECT row_number() OVER () AS cid, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+    o AS (SELECT cid, d.*, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, left(text, {repair.HEAD})) AS i FROM d JOIN ids ON ids.conv_id IS NOT DISTINCT FROM d.conv_id),
+    f AS (SELECT *, NOT regexp_matches(text, '[^{blanks}]') AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again,
+                 NOT regexp_matches(text, '[.!?][{blanks}]*\\z') AS cut, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS own,
+                 lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) || left(role, 1) AS pair FROM o),
+    n AS (SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+                 count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY cid),
+    moves(state, own, edits, paid, stays, inserted, becomes, goal) AS (VALUES {values}),
+    ways AS (SELECT cid, CAST(0 AS BIGINT) AS i, '0' AS state, CAST(0 AS BIGINT) AS cost, {{'audit': '', 'said': ''}} AS told FROM n
+             UNION ALL
+             SELECT cid, i, goal, min(cost), arg_min({{'audit': audit, 'said': said}}, (cost, audit))
+             FROM (SELECT f.cid, f.i, m.goal, w.cost + m.paid + CASE WHEN m.stays = 1 AND f.cut THEN {repair.TRUNCATED} ELSE 0 END AS cost, w.told.audit || m.edits AS audit,
+                          w.told.said || coalesce(m.inserted || ':' || chr(10), '') || coalesce(CASE WHEN m.becomes = 'K' THEN f.role ELSE m.becomes END || ':' || f.text || chr(10), '') AS said
+                   FROM ways w JOIN f ON f.cid = w.cid AND f.i = w.i + 1 JOIN moves m ON m.state = w.state AND m.own = CASE WHEN f.blank OR f.again THEN 'b' ELSE f.own END)
+             GROUP BY cid, i, goal),
+    ends AS (SELECT cid, cost, told.audit AS audit, told.said AS said FROM ways JOIN n USING (cid) WHERE i = n AND state IN ('0', 'a')
+             UNION ALL SELECT cid, cost + {repair.INSERT}, told.audit || 'I', told.said || 'assistant:' || chr(10) FROM ways JOIN n USING (cid) WHERE i = n AND state = 'u'),
+    best AS (SELECT cid, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(said, (cost, audit)) AS said FROM ends GROUP BY cid)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(said, length(said) - 1), '')) AS repaired_sha256
+    FROM ids LEFT JOIN n USING (cid) LEFT JOIN best USING (cid)"""
