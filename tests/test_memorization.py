@@ -57,8 +57,7 @@ def test_epsilon_and_summary(spark):
     epsilon = float(np.percentile(list(brute([w for w in win if w[0] % 8 == 0], win, 8).values()), 5))
     assert mem.leave_one_out_epsilon(mem.standardized(train, train), 8, 0.05).first().epsilon == pytest.approx(epsilon, rel=1e-9)
     assert one.blocks == 25 + 12 and one.p05 == 0 and one.near_duplicates == pytest.approx(25 / 37) and one.membership_auc == 1.0
-    assert mem.summary(mem.signals(train, held, copied, 8, 0.05), least_generated=38).collect() == []
-    assert mem.signals(train, held, copied, 8, 0.05, least_blocks=26).collect() == []
+    assert mem.summary(mem.signals(train, held, copied, 8, 0.05, least_blocks=26)).collect() == []
 
 
 def test_quantiles(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import memorization as mem, windows as w
+from ..operators import memorization as mem, utility as ut, windows as w
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -64,3 +64,71 @@ FROM sig WHERE kind = 'generated' HAVING count(*) > 0"""
 def memorization_summary(spark, d):
     found = mem.signals(*_parts(spark, d), LENGTH, PERCENTILE)
     return mem.summary(found).select("blocks", *r6("p05", "p50", "near_duplicates", "membership_auc"))
+
+
+SEED = 20260125
+#: Returns in units of the priority's real ones; blocks of six months, and each month with the next.
+_UTILITY = f"""
+WITH RECURSIVE {_GENERATED},
+s AS (SELECT sid, avg(r) AS m, CASE WHEN stddev_pop(r) > 0 THEN stddev_pop(r) ELSE 1 END AS d FROM ret_m GROUP BY sid),
+z AS (SELECT sid, 'real' AS path, 1 AS label, dt, (r - m) / d AS r FROM ret_m JOIN s USING (sid) UNION ALL SELECT sid, path, 0, dt, (r - m) / d FROM gen JOIN s USING (sid)),
+b AS (SELECT *, (row_number() OVER (PARTITION BY sid, path ORDER BY dt) - 1) // {LENGTH} AS block FROM z),
+feat AS (SELECT sid, path, label, block, avg(r) AS mean, stddev_pop(r) AS deviation FROM b GROUP BY ALL HAVING count(*) = {LENGTH}),
+pairs AS (SELECT * FROM (SELECT sid, path, label, dt, r AS x, lead(r) OVER (PARTITION BY sid, path ORDER BY dt) AS y FROM z) WHERE y IS NOT NULL)
+"""
+_DRAW = "CAST('0x' || left(md5({0} || ':' || {1}), 13) AS BIGINT) / pow(2, 52)"
+
+
+def _scaled(spark, d):
+    real = t.ret_m(spark, d)
+    return mem.standardized(real, real).withColumn("path", F.lit("real")), mem.standardized(generated(spark, d), real)
+
+
+def _blocks(spark, d):
+    real, made = (ut.window_features(x, LENGTH, ["sid", "path"]) for x in _scaled(spark, d))
+    name = F.concat_ws(":", "sid", "path", F.col("block").cast("string")).alias("id")
+    return [x.select(name, "mean", "deviation") for x in (real, made)]
+
+
+def _pairs(spark, d):
+    name = F.concat_ws(":", "sid", "path", F.col("dt").cast("string")).alias("id")
+    return [ut.one_step_pairs(x, ["sid", "path"]).select(name, "x", "y") for x in _scaled(spark, d)]
+
+
+@query(_UTILITY + "SELECT sid || ':' || path || ':' || block AS id, round(mean, 6) + 0.0 AS mean, round(deviation, 6) + 0.0 AS deviation FROM feat")
+def block_features(spark, d):
+    real, made = _blocks(spark, d)
+    return real.unionByName(made).select("id", *r6("mean", "deviation"))
+
+
+@query(
+    _UTILITY
+    + f""", f AS (SELECT label, mean, deviation, {_DRAW.format(f"CASE label WHEN 1 THEN '{SEED}' ELSE '{SEED + 1}' END", "sid || ':' || path || ':' || block")} AS draw FROM feat),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY draw) <= least(greatest(1, round_even({ut.TRAIN_SHARE} * count(*) OVER (PARTITION BY label), 0)), count(*) OVER (PARTITION BY label) - 1) AS fitted FROM f),
+m AS (SELECT avg(mean) AS m1, stddev_pop(mean) AS d1, avg(deviation) AS m2, stddev_pop(deviation) AS d2, sum(label) AS n1, count(*) - sum(label) AS n0 FROM k WHERE fitted),
+x AS (SELECT label, fitted, (mean - m1) / d1 AS a, (deviation - m2) / d2 AS b, 0.5 / CASE label WHEN 1 THEN n1 ELSE n0 END AS w FROM k, m),
+g(i, wa, wb, wc) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL SELECT i + 1, wa - 1.3 * (sum(w * e * a) + {ut.RIDGE} * wa), wb - 1.3 * (sum(w * e * b) + {ut.RIDGE} * wb), wc - 1.3 * (sum(w * e) + {ut.RIDGE} * wc)
+  FROM (SELECT i, wa, wb, wc, w, a, b, 1 / (1 + exp(-(wa * a + wb * b + wc))) - label AS e FROM g, x WHERE fitted AND i < 800) GROUP BY i, wa, wb, wc),
+r AS (SELECT label, avg(CASE WHEN (wa * a + wb * b + wc >= 0) = (label = 1) THEN 1.0 ELSE 0.0 END) AS recall FROM x, (SELECT * FROM g ORDER BY i DESC LIMIT 1) WHERE NOT fitted GROUP BY label)
+SELECT (SELECT count(*) FROM feat WHERE label = 1) AS real_rows, (SELECT count(*) FROM feat WHERE label = 0) AS generated_rows, round(max(recall) FILTER (label = 1), 6) AS real_recall,
+       round(max(recall) FILTER (label = 0), 6) AS generated_recall, round(abs(sum(recall) / 2 - 0.5), 6) AS score FROM r"""
+)
+def discriminative_score(spark, d):
+    real, made = _blocks(spark, d)
+    return ut.discriminative_score(real, made, ["mean", "deviation"], ["id"], SEED).select("real_rows", "generated_rows", *r6("real_recall", "generated_recall", "score"))
+
+
+@query(
+    _UTILITY
+    + f""", p AS (SELECT label, x, y, {_DRAW.format(f"'{SEED}'", "sid || ':' || path || ':' || CAST(dt AS VARCHAR)")} AS draw FROM pairs),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY draw) <= CASE label WHEN 0 THEN least(greatest(2, round_even({ut.PAIR_SHARE} * count(*) OVER (PARTITION BY label), 0)), count(*) OVER (PARTITION BY label))
+      ELSE least(greatest(2, round_even({ut.REAL_SHARE} * count(*) OVER (PARTITION BY label), 0)), count(*) OVER (PARTITION BY label) - 2) END AS fitted FROM p),
+m AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(x * x) + {ut.RIDGE} AS xx, avg(x * y) AS xy, 1 + {ut.RIDGE} AS o FROM k WHERE fitted GROUP BY label),
+c AS (SELECT label, (xx * y - x * xy) / (xx * o - x * x) AS a, (o * xy - x * y) / (xx * o - x * x) AS b FROM m),
+e AS (SELECT (SELECT avg(pow(k.y - a - b * k.x, 2)) FROM k, c WHERE k.label = 1 AND c.label = 0) AS tstr, (SELECT avg(pow(k.y - a - b * k.x, 2)) FROM k, c WHERE k.label = 1 AND c.label = 1 AND NOT fitted) AS trtr)
+SELECT round(tstr, 6) AS tstr, round(trtr, 6) AS trtr, round(tstr / trtr, 6) AS degradation FROM e"""
+)
+def tstr_degradation(spark, d):
+    real, made = _pairs(spark, d)
+    return ut.tstr_degradation(made, real, ["id"], SEED).select(*r6("tstr", "trtr", "degradation"))
