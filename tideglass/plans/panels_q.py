@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import derived
+from ..operators import derived, regression as reg, support as sup
 from . import tables as t
 from .registry import query
+from .windows_q import r6
 
 #: Three levels over the priorities' months: read, combined, and derived from combinations.
 DECLARED = {
@@ -60,3 +61,114 @@ FROM told LEFT JOIN long ON long.name = told.name GROUP BY ALL ORDER BY 1""".rep
 def derived_coverage(spark, d):
     of, wide = _wide(spark, d)
     return derived.coverage(wide, of)
+
+
+#: Daily closes are a priority's orders of the day; features of 5, 15 and 40 rows.
+WINDOWS, DRAWDOWN, LEAST_DAYS, LAGS = (5, 15, 40), 20, 3, 6
+_RV = ", ".join(
+    f"CASE WHEN count(r) OVER (PARTITION BY sid ORDER BY dt ROWS {k - 1} PRECEDING) >= {max(5, k // 2)} THEN stddev_samp(r) OVER (PARTITION BY sid ORDER BY dt ROWS {k - 1} PRECEDING) * sqrt(252) * 100 END AS rv{k}" for k in WINDOWS
+)
+_HAR = f"""
+WITH c AS (SELECT o_orderpriority AS sid, CAST(o_orderdate AS DATE) AS dt, round(sum(o_totalprice), 2) AS c FROM orders GROUP BY 1, 2),
+q AS (SELECT *, ln(c) - ln(lag(c) OVER (PARTITION BY sid ORDER BY dt)) AS r FROM c),
+x AS (SELECT *, {_RV}, CASE WHEN count(c) OVER w >= {DRAWDOWN // 2} THEN greatest(0, 1 - c / max(c) OVER w) END AS dd FROM q WINDOW w AS (PARTITION BY sid ORDER BY dt ROWS {DRAWDOWN - 1} PRECEDING)),
+har AS (SELECT * FROM (SELECT sid, CAST(date_trunc('month', dt) AS DATE) AS month, {", ".join(f"CASE WHEN count(rv{k}) > 0 THEN ln(greatest(max_by(rv{k}, dt) FILTER (rv{k} IS NOT NULL), 1e-6)) END AS log_rv{k}" for k in WINDOWS)},
+        ln(1 + max_by(dd, dt) FILTER (dd IS NOT NULL)) AS log_maxdd, count(r) AS days FROM x GROUP BY 1, 2) WHERE days >= {LEAST_DAYS} AND log_maxdd IS NOT NULL AND {" AND ".join(f"log_rv{k} IS NOT NULL" for k in WINDOWS)}),
+tgt AS (SELECT sid, dt AS month, ln(v) AS y FROM series_m),
+j AS (SELECT sid, month, log_rv15 AS a, log_maxdd AS b, y FROM har JOIN tgt USING (sid, month)),
+"""
+_FIT = """m AS (SELECT sid, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(y) AS yy FROM {0} GROUP BY sid),
+f AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ba, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2, bb / (aa * bb - ab * ab) AS paa, aa / (aa * bb - ab * ab) AS pbb, -ab / (aa * bb - ab * ab) AS pab
+      FROM m WHERE n >= {1} AND aa * bb - ab * ab > 1e-10 * aa * bb)"""
+XS = ["log_rv15", "log_maxdd"]
+
+
+def _har(spark, d):
+    orders = t.read(spark, d, "orders")
+    days = orders.groupBy(F.col("o_orderpriority").alias("sid"), F.col("o_orderdate").cast("date").alias("dt")).agg(F.round(F.sum("o_totalprice"), 2).alias("close"))
+    return reg.realized_features(days, WINDOWS, DRAWDOWN, LEAST_DAYS)
+
+
+def _har_with_target(spark, d):
+    target = t.series_m(spark, d).select("sid", F.col("dt").alias("month"), F.log("v").alias("y"))
+    return _har(spark, d).join(target, ["sid", "month"])
+
+
+@query(_HAR.rstrip().rstrip(",") + f" SELECT sid, month, {', '.join(f'round({c}, 6) AS {c}' for c in [*[f'log_rv{k}' for k in WINDOWS], 'log_maxdd'])} FROM har")
+def realized_features(spark, d):
+    return _har(spark, d).select("sid", "month", *r6(*[f"log_rv{k}" for k in WINDOWS], "log_maxdd"))
+
+
+@query(
+    _HAR
+    + _FIT.format("j", 12)
+    + f""", e AS (SELECT sid, month, row_number() OVER (PARTITION BY sid ORDER BY month) AS i, n, y - (my + ba * (a - ma) + b2 * (b - mb)) AS e, a - ma AS da, b - mb AS db, ma, mb, paa, pbb, pab, ba, b2, my FROM j JOIN f USING (sid)),
+p AS (SELECT *, e * (paa * da + pab * db) / n AS pa, e * (pab * da + pbb * db) / n AS pb, e * (1 - ma * (paa * da + pab * db) - mb * (pab * da + pbb * db)) / n AS pc FROM e),
+h AS (SELECT x.sid, sum(k * x.pa * z.pa) AS ha, sum(k * x.pb * z.pb) AS hb, sum(k * x.pc * z.pc) AS hc FROM (SELECT *, unnest(range(-{LAGS}, {LAGS + 1})) AS l FROM p) x JOIN p z ON z.sid = x.sid AND z.i = x.i + x.l,
+      LATERAL (SELECT 1 - abs(x.l) / {LAGS + 1}.0 AS k) GROUP BY x.sid),
+s AS (SELECT sid, sqrt(sum(e * e) / (max(n) - 3)) AS sigma, sum(e * e) AS rss FROM e GROUP BY sid),
+o AS (SELECT sid, n, sigma, 1 - rss / (n * yy) AS r2, unnest([{{'term': 'const', 'coef': my - ba * ma - b2 * mb, 'o': sigma * sqrt((1 + ma * ma * paa + mb * mb * pbb + 2 * ma * mb * pab) / n), 'h': hc}},
+      {{'term': 'log_rv15', 'coef': ba, 'o': sigma * sqrt(paa / n), 'h': ha}}, {{'term': 'log_maxdd', 'coef': b2, 'o': sigma * sqrt(pbb / n), 'h': hb}}]) AS u FROM f JOIN s USING (sid) JOIN h USING (sid))
+SELECT sid, u.term AS term, round(u.coef, 6) + 0.0 AS coef, round(u.o, 6) AS se_ols, round(sqrt(greatest(0, u.h) * n / (n - 3)), 6) AS se_hac, n, round(r2, 6) + 0.0 AS r2, round(sigma, 6) AS sigma FROM o"""
+)
+def har_errors(spark, d):
+    """The log of a priority's month on two of its realised features, with errors that allow for correlated residuals."""
+    fit = reg.newey_west(_har_with_target(spark, d), "y", XS, "month", LAGS, ["sid"], 12)
+    return fit.where("fault IS NULL").select("sid", "term", "n", *r6("coef", "se_ols", "se_hac", "r2", "sigma"))
+
+
+@query(
+    _HAR
+    + "k AS (SELECT * FROM j WHERE year(month) >= 1998), "
+    + _FIT.format("k", 24)
+    + """, g AS (SELECT sid, min(dt) AS g FROM series_m WHERE year(dt) >= 1998 GROUP BY sid)
+SELECT sid, month, round(exp(my + ba * (log_rv15 - ma) + b2 * (log_maxdd - mb)), 4) AS v, true AS is_proxy FROM har JOIN f USING (sid) JOIN g USING (sid) WHERE month < g
+UNION ALL SELECT sid, dt, round(v, 4), false FROM series_m WHERE year(dt) >= 1998"""
+)
+def volatility_backcast(spark, d):
+    """Months before 1998 from realised features; later ones as they are."""
+    observed = t.series_m(spark, d).where("year(dt) >= 1998").select("sid", F.col("dt").alias("month"), "v")
+    return reg.backcast(_har(spark, d), observed, XS).select("sid", "month", F.round("v", 4).alias("v"), "is_proxy")
+
+
+@query(
+    _HAR
+    + "k AS (SELECT * FROM j WHERE month <= DATE '1998-12-31'), "
+    + _FIT.format("k", 24)
+    + """, e AS (SELECT j.*, my + ba * (a - ma) + b2 * (b - mb) AS hat FROM j JOIN f USING (sid) WHERE month > DATE '1998-12-31'),
+bars AS (SELECT sid, quantile_cont(a, 0.5) AS calm, quantile_cont(a, 0.9) AS stress FROM e GROUP BY sid)
+SELECT sid, count(*) AS n, round(sqrt(avg(pow(y - hat, 2))), 6) AS rmse, round(avg(y - hat), 6) + 0.0 AS bias, round(avg(y - hat) FILTER (a <= calm), 6) + 0.0 AS calm_bias,
+       round(avg(y - hat) FILTER (a >= stress), 6) + 0.0 AS stress_bias, round(exp(avg(hat) FILTER (a >= stress) - avg(y) FILTER (a >= stress)), 6) AS stress_ratio FROM e JOIN bars USING (sid) GROUP BY sid"""
+)
+def backcast_out_of_sample(spark, d):
+    return reg.out_of_sample(_har_with_target(spark, d), "y", XS, "log_rv15", "1998-12-31").select("sid", "n", *r6("rmse", "bias", "calm_bias", "stress_bias", "stress_ratio"))
+
+
+_CLOUD = f"""
+WITH ref AS (SELECT a, b FROM ret_w WHERE year(dt) < 1999 AND a IS NOT NULL AND b IS NOT NULL),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) + {sup.RIDGE} * (var_samp(a) + var_samp(b)) / 2 AS aa, var_samp(b) + {sup.RIDGE} * (var_samp(a) + var_samp(b)) / 2 AS bb, covar_samp(a, b) AS ab FROM ref),
+dist AS (SELECT dt, sqrt((pow(a - ma, 2) * bb + pow(b - mb, 2) * aa - 2 * (a - ma) * (b - mb) * ab) / (aa * bb - ab * ab)) AS d FROM ret_w, m WHERE a IS NOT NULL AND b IS NOT NULL),
+bar AS (SELECT quantile_cont(d, 0.9) AS bar FROM dist WHERE year(dt) < 1999)
+"""
+
+
+def _cloud(spark, d):
+    rows = t.ret_w(spark, d)
+    return rows, sup.support_reference(rows.where(F.year("dt") < 1999), ["a", "b"], 0.9)
+
+
+@query(_CLOUD + "SELECT dt, round(d, 6) AS distance, d > bar AS beyond FROM dist, bar")
+def support_distances(spark, d):
+    """Mahalanobis distance of each month's two returns to the months before 1999."""
+    rows, ref = _cloud(spark, d)
+    return rows.withColumn("d", ref.distance()).where("d IS NOT NULL").select("dt", F.round("d", 6).alias("distance"), (F.col("d") > ref.threshold).alias("beyond"))
+
+
+@query(
+    _CLOUD
+    + f"""SELECT year(dt) AS year, count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS largest, round(avg(CASE WHEN d > bar THEN 1.0 ELSE 0.0 END), 6) AS beyond,
+       avg(CASE WHEN d > bar THEN 1.0 ELSE 0.0 END) > {sup.FLAGGED} AS off_support FROM dist, bar GROUP BY 1"""
+)
+def support_by_year(spark, d):
+    rows, ref = _cloud(spark, d)
+    return sup.support(rows.withColumn("year", F.year("dt").cast("long")), ref, ["year"]).select("year", "n", *r6("mean", "p95", "largest", "beyond"), "off_support")
