@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import memorization as mem, utility as ut, windows as w
+from ..operators import decay as dc, memorization as mem, statistics as st, utility as ut, windows as w
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -132,3 +132,31 @@ SELECT round(tstr, 6) AS tstr, round(trtr, 6) AS trtr, round(tstr / trtr, 6) AS
 def tstr_degradation(spark, d):
     real, made = _pairs(spark, d)
     return ut.tstr_degradation(made, real, ["id"], SEED).select(*r6("tstr", "trtr", "degradation"))
+
+
+def _misfit(x: str) -> str:
+    at = "range(1, len(v) + 1)"
+    many = f"(list_sum(list_transform({at}, lambda j: v[j] * exp(-({x}) * j))) / list_sum(list_transform({at}, lambda j: exp(-2 * ({x}) * j))))"
+    return f"list_sum(list_transform({at}, lambda j: pow(v[j] - {many} * exp(-({x}) * j), 2)))"
+
+
+_STEP = (dc.HIGH - dc.LOW) / (dc.POINTS - 1)
+
+
+@query(
+    f"""WITH RECURSIVE dev AS (SELECT sid, dt, y - avg(y) OVER (PARTITION BY sid) AS x FROM (SELECT sid, dt, abs(r - avg(r) OVER (PARTITION BY sid)) AS y FROM ret_m)),
+lags AS (SELECT sid, x, k, lag(x, CAST(k AS INT)) OVER (PARTITION BY sid, k ORDER BY dt) AS y FROM dev, (SELECT unnest(range(1, 25)) AS k)),
+cur AS (SELECT sid, list(acf ORDER BY k) AS v FROM (SELECT sid, k, sum(x * y) / sum(x * x) AS acf FROM lags GROUP BY sid, k) GROUP BY sid),
+grid AS (SELECT sid, v, i, {_misfit(f'{dc.LOW} + i * {_STEP}')} AS f FROM cur, (SELECT unnest(range({dc.POINTS})) AS i)),
+best AS (SELECT sid, any_value(v) AS v, arg_min(i, (f, i)) AS i FROM grid GROUP BY sid),
+ends AS (SELECT sid, v, {dc.LOW} + greatest(i - 1, 0) * {_STEP} AS lo, {dc.LOW} + least(i + 1, {dc.POINTS - 1}) * {_STEP} AS hi FROM best),
+two AS (SELECT *, hi - {dc.GOLDEN} * (hi - lo) AS c, lo + {dc.GOLDEN} * (hi - lo) AS d FROM ends),
+g AS (SELECT sid, v, 0 AS k, lo::DOUBLE AS lo, hi::DOUBLE AS hi, c::DOUBLE AS c, d::DOUBLE AS d FROM two
+      UNION ALL SELECT sid, v, k + 1, CASE WHEN left_ THEN lo ELSE c END, CASE WHEN left_ THEN d ELSE hi END, CASE WHEN left_ THEN d - {dc.GOLDEN} * (d - lo) ELSE d END, CASE WHEN left_ THEN c ELSE c + {dc.GOLDEN} * (hi - c) END
+      FROM (SELECT *, {_misfit('c')} < {_misfit('d')} AS left_ FROM g WHERE hi - lo >= {dc.TOLERANCE} AND k < {dc.STEPS}))
+SELECT sid, CAST(24 AS INTEGER) AS n, round(arg_max((lo + hi) / 2, k), 4) + 0.0 AS rate FROM g GROUP BY sid"""
+)
+def volatility_decay(spark, d):
+    """How fast a return's absolute autocorrelations fall over two years of lags."""
+    curve = st.autocorrelations(t.ret_m(spark, d), range(1, 25), "sid", "dt", "r", absolute=True)
+    return dc.decay_rates(curve, ["sid"]).select("sid", "n", (F.round("rate", 4) + 0.0).alias("rate"))

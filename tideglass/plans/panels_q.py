@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import derived, regression as reg, support as sup
+from ..operators import derived, hazard as hz, regression as reg, support as sup
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -172,3 +172,52 @@ def support_distances(spark, d):
 def support_by_year(spark, d):
     rows, ref = _cloud(spark, d)
     return sup.support(rows.withColumn("year", F.year("dt").cast("long")), ref, ["year"]).select("year", "n", *r6("mean", "p95", "largest", "beyond"), "off_support")
+
+
+#: A month's label by its return; every seventeenth month isn't known.
+_LABELS = """lab AS (SELECT sid, dt, r, CASE WHEN r >= 0.1 THEN 'up' WHEN r <= -0.1 THEN 'down' ELSE 'flat' END AS label FROM ret_m WHERE (year(dt) * 12 + month(dt)) % 17 <> 5),
+cuts AS (SELECT *, CASE WHEN dt = lag(dt) OVER w + INTERVAL 1 MONTH THEN 0 ELSE 1 END AS cut, lag(label) OVER w AS prior FROM lab WINDOW w AS (PARTITION BY sid ORDER BY dt)),
+runs AS (SELECT *, sum(cut) OVER w AS segment, sum(CASE WHEN cut = 1 OR label <> prior THEN 1 ELSE 0 END) OVER w AS spell FROM cuts WINDOW w AS (PARTITION BY sid ORDER BY dt)),
+spl AS (SELECT *, spell = min(spell) OVER s AS first, spell = max(spell) OVER s AS last, lag(state) OVER (PARTITION BY sid, segment ORDER BY spell) AS prior
+        FROM (SELECT sid, CAST(segment AS BIGINT) AS segment, spell, min(label) AS state, min(dt) AS start, count(*) AS duration FROM runs GROUP BY ALL) WINDOW s AS (PARTITION BY sid, segment))"""
+
+
+def _labelled(spark, d):
+    r = F.col("r")
+    known = t.ret_m(spark, d).where((F.year("dt") * 12 + F.month("dt")) % 17 != 5)
+    return known.withColumn("label", F.when(r >= 0.1, "up").when(r <= -0.1, "down").otherwise("flat"))
+
+
+@query(f"WITH {_LABELS} SELECT sid, segment, state, start, duration, last AS censored FROM spl WHERE NOT first")
+def censored_spells(spark, d):
+    """Spells whose beginning was seen, with those that were still on when sight was lost."""
+    return hz.spell_observations(hz.segmented_spells(_labelled(spark, d))).select("sid", "segment", "state", "start", "duration", "censored")
+
+
+@query(f"""WITH {_LABELS} SELECT sid, segment, start, prior AS "from", state AS "to" FROM spl WHERE NOT first""")
+def segment_transitions(spark, d):
+    return hz.segment_transitions(hz.segmented_spells(_labelled(spark, d)))
+
+
+@query(
+    f"""WITH {_LABELS}, o AS (SELECT state, duration, last AS censored FROM spl WHERE NOT first), k AS (SELECT DISTINCT state, duration FROM o),
+h AS (SELECT k.state, k.duration, count(*) AS at_risk, count(*) FILTER (o.duration = k.duration AND NOT censored) AS ended FROM k JOIN o ON o.state = k.state AND o.duration >= k.duration GROUP BY 1, 2)
+SELECT state, duration, at_risk, ended, round(ended / at_risk, 6) AS hazard, round(product(1 - ended / at_risk) OVER (PARTITION BY state ORDER BY duration), 6) + 0.0 AS survival FROM h"""
+)
+def duration_hazards(spark, d):
+    out = hz.duration_hazards(hz.spell_observations(hz.segmented_spells(_labelled(spark, d))))
+    return out.select("state", "duration", "at_risk", "ended", *r6("hazard", "survival"))
+
+
+@query(
+    f"""WITH {_LABELS}, c AS (SELECT sid, label = 'down' AS hit, CASE WHEN abs(r) >= 0.01 THEN CASE WHEN r >= 0 THEN 1 ELSE 0 END + CASE WHEN month(dt) > 6 THEN 2 ELSE 0 END END AS cell,
+       CASE WHEN lead(dt) OVER w = dt + INTERVAL 1 MONTH THEN lead(label) OVER w = 'down' END AS nxt FROM lab WINDOW w AS (PARTITION BY sid ORDER BY dt)),
+a AS (SELECT cell, nxt FROM c WHERE cell IS NOT NULL AND NOT hit AND nxt IS NOT NULL), f AS (SELECT coalesce(avg(CASE WHEN nxt THEN 1.0 ELSE 0.0 END), 0) AS every FROM a),
+n AS (SELECT x.cell, count(nxt) AS months, count(*) FILTER (nxt) AS onsets FROM (SELECT unnest([0, 1, 2, 3]) AS cell) x LEFT JOIN a USING (cell) GROUP BY 1)
+SELECT CAST(cell AS INTEGER) AS cell, months, onsets, round(CASE WHEN months >= {hz.LEAST_MONTHS} THEN onsets / months ELSE every END, 6) AS rate, months < {hz.LEAST_MONTHS} AS fell_back FROM n, f"""
+)
+def onset_hazards(spark, d):
+    """How likely a fall begins in the month after one of each kind."""
+    kind = F.when(F.abs("r") >= 0.01, (F.col("r") >= 0).cast("int") + F.when(F.month("dt") > 6, 2).otherwise(0))
+    rows = _labelled(spark, d).withColumn("kind", kind)
+    return hz.onset_hazard(rows, "kind", F.col("label") == "down", [0, 1, 2, 3]).select("cell", "months", "onsets", *r6("rate"), "fell_back")
