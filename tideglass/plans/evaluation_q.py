@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decay as dc, memorization as mem, statistics as st, utility as ut, windows as w
+from ..operators import decay as dc, memorization as mem, statistics as st, utility as ut, walkforward as wf, windows as w
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -160,3 +160,58 @@ def volatility_decay(spark, d):
     """How fast a return's absolute autocorrelations fall over two years of lags."""
     curve = st.autocorrelations(t.ret_m(spark, d), range(1, 25), "sid", "dt", "r", absolute=True)
     return dc.decay_rates(curve, ["sid"]).select("sid", "n", (F.round("rate", 4) + 0.0).alias("rate"))
+
+
+YEARS = (1998, 1999, 2000, 2001)
+POLICIES = {"optimised": "clipped", "constrained": "long_only", "static": {"a": 0.6, "b": 0.4}, "banded": ("banded", {"a": 0.6, "b": 0.4})}
+#: The optimum of two assets that may not be sold short: both, or one of them alone, or neither.
+_WALK = f"""
+WITH x AS (SELECT dt, a, b FROM ret_w WHERE a IS NOT NULL AND b IS NOT NULL),
+p AS (SELECT *, count(*) OVER k AS n, avg(a) OVER k AS ma, avg(b) OVER k AS mb, var_samp(a) OVER k + {wf.RIDGE} AS aa, var_samp(b) OVER k + {wf.RIDGE} AS bb, covar_samp(a, b) OVER k AS ab,
+             exp(sum(ln(1 + a)) OVER t) AS ga, exp(sum(ln(1 + b)) OVER t) AS gb, count(*) OVER t AS nt, row_number() OVER (PARTITION BY year(dt) ORDER BY dt) - 1 AS place
+      FROM x WINDOW k AS (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t AS (ORDER BY dt ROWS BETWEEN {wf.TRAILING} PRECEDING AND 1 PRECEDING)),
+f AS (SELECT CAST(year(dt) AS INTEGER) AS fold, place // {wf.EVERY} AS block, * FROM p WHERE year(dt) IN {YEARS}),
+s AS (SELECT *, (bb * ma - ab * mb) / (aa * bb - ab * ab) AS ua, (aa * mb - ab * ma) / (aa * bb - ab * ab) AS ub, 0.6 * ga / (0.6 * ga + 0.4 * gb) AS da FROM f WHERE place % {wf.EVERY} = 0),
+c AS (SELECT *, CASE WHEN ua > 0 AND ub > 0 THEN ua WHEN ma > 0 AND mb - ab * ma / aa <= 0 THEN ma / aa ELSE 0 END AS ca, CASE WHEN ua > 0 AND ub > 0 THEN ub WHEN mb > 0 AND ma - ab * mb / bb <= 0 THEN mb / bb ELSE 0 END AS cb FROM s),
+wts AS (SELECT fold, block, dt, n, 'static' AS policy, 0.6 AS wa, 0.4 AS wb FROM c
+      UNION ALL SELECT fold, block, dt, n, 'banded', CASE WHEN nt < 2 OR da IS NULL OR abs(da - 0.6) > {wf.BAND} THEN 0.6 ELSE da END, CASE WHEN nt < 2 OR da IS NULL OR abs(da - 0.6) > {wf.BAND} THEN 0.4 ELSE 1 - da END FROM c
+      UNION ALL SELECT fold, block, dt, n, 'optimised', CASE WHEN n < 2 THEN NULL WHEN greatest(ua, 0) + greatest(ub, 0) > 1e-12 THEN greatest(ua, 0) / (greatest(ua, 0) + greatest(ub, 0)) ELSE 0.5 END,
+                CASE WHEN n < 2 THEN NULL WHEN greatest(ua, 0) + greatest(ub, 0) > 1e-12 THEN greatest(ub, 0) / (greatest(ua, 0) + greatest(ub, 0)) ELSE 0.5 END FROM c
+      UNION ALL SELECT fold, block, dt, n, 'constrained', CASE WHEN n < 2 THEN NULL WHEN ca + cb > 1e-12 THEN ca / (ca + cb) ELSE 0.5 END, CASE WHEN n < 2 THEN NULL WHEN ca + cb > 1e-12 THEN cb / (ca + cb) ELSE 0.5 END FROM c)
+"""
+
+
+@query(_WALK + "SELECT fold, policy, dt, block, n AS known, round(wa, 6) AS a, round(wb, 6) AS b FROM wts")
+def walk_forward_weights(spark, d):
+    out = wf.weights(t.ret_w(spark, d), ["a", "b"], YEARS, POLICIES)
+    return out.withColumns({"a": F.get("w", F.lit(0)), "b": F.get("w", F.lit(1))}).select("fold", "policy", "dt", "block", "known", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query(
+    _WALK
+    + """, r AS (SELECT f.fold, policy, f.dt, wa * f.a + wb * f.b AS r FROM f JOIN wts USING (fold, block)), g AS (SELECT *, exp(sum(ln(1 + r)) OVER w) AS wealth FROM r WINDOW w AS (PARTITION BY fold, policy ORDER BY dt)),
+k AS (SELECT *, 1 - wealth / greatest(1.0, max(wealth) OVER (PARTITION BY fold, policy ORDER BY dt)) AS dd FROM g)
+SELECT fold, policy, count(*) AS rows, round(CASE WHEN count(r) = count(*) THEN sum(ln(1 + r)) END, 6) + 0.0 AS terminal_log_wealth, round(CASE WHEN count(r) = count(*) THEN greatest(0, max(dd)) END, 6) + 0.0 AS max_drawdown FROM k GROUP BY 1, 2"""
+)
+def walk_forward(spark, d):
+    """Four policies over two priorities' returns, each year from the years before."""
+    return wf.walk_forward(t.ret_w(spark, d), ["a", "b"], YEARS, POLICIES).select("fold", "policy", "rows", *r6("terminal_log_wealth", "max_drawdown"))
+
+
+_DEPTHS = """dep AS (SELECT sid, max(1 - wealth / greatest(1.0, peak)) AS depth FROM (SELECT *, max(wealth) OVER w AS peak FROM (SELECT sid, dt, exp(sum(ln(1 + r)) OVER (PARTITION BY sid ORDER BY dt)) AS wealth FROM ret_m)
+  WINDOW w AS (PARTITION BY sid ORDER BY dt)) GROUP BY sid),
+one AS (SELECT sid, path, dt, exp(sum(ln(1 + r)) OVER (PARTITION BY sid, path ORDER BY dt)) AS wealth FROM gen WHERE r > -1),
+edep AS (SELECT sid, path, greatest(0, max(1 - wealth / greatest(1.0, peak))) AS depth FROM (SELECT *, max(wealth) OVER (PARTITION BY sid, path ORDER BY dt) AS peak FROM one) GROUP BY sid, path)"""
+
+
+@query(f"WITH {_GENERATED}, {_DEPTHS} SELECT sid, count(*) AS paths, round(quantile_cont(e.depth, 0.95), 6) AS predicted, round(max(dep.depth) - quantile_cont(e.depth, 0.95), 6) + 0.0 AS surprise FROM edep e JOIN dep USING (sid) GROUP BY sid")
+def drawdown_surprise(spark, d):
+    """A priority's deepest fall less the 95th percentile of those of its generated paths."""
+    deepest = lambda x, by: w.drawdown_state(x, by, from_one=True).groupBy(*by).agg(F.greatest(F.lit(0.0), -F.min("dd")).alias("max_drawdown"))
+    return wf.drawdown_surprise(deepest(t.ret_m(spark, d), ["sid"]), deepest(generated(spark, d).where("r > -1"), ["sid", "path"]), ["sid"]).select("sid", "paths", *r6("predicted", "surprise"))
+
+
+@query("WITH k AS (SELECT sid, dt, v, last_v, ln(v / last_v) AS rel FROM series_d WHERE v > 0 AND last_v > 0) SELECT * FROM (SELECT sid, dt, round(rel - lag(rel) OVER (PARTITION BY sid ORDER BY dt), 6) + 0.0 AS alpha FROM k) WHERE alpha IS NOT NULL")
+def alpha_by_window(spark, d):
+    """A day's mean against its last value, as two wealths."""
+    return wf.alpha_by_window(t.series_d(spark, d), "v", "last_v").select("sid", "dt", *r6("alpha"))
