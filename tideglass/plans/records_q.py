@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import digests as dg, documents as doc
+from ..sources import decisions as dec, intake
 from . import tables as t
 from .registry import query
 
@@ -63,3 +64,43 @@ SELECT CAST(coalesce(sum(blocks), 0) AS BIGINT) AS blocks, CAST(coalesce(sum(row
 )
 def table_digest(spark, d):
     return dg.root_digest(dg.block_digests(_blocked(spark, d), ["path", "block"], ["path", "m", "r", "g"]), ["path", "block"])
+
+
+@query(
+    """SELECT 'desk.' || o_orderpriority AS series_id, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS date, round(avg(o_totalprice) / 1e6, 8) AS value FROM orders GROUP BY 1, 2"""
+)
+def delivered_series(spark, d):
+    """Quarters of a delivered table as series of their own."""
+    orders = t.read(spark, d, "orders")
+    quarter = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    drop = orders.groupBy(quarter.alias("period"), F.col("o_orderpriority").alias("strategy")).agg(F.round(F.avg("o_totalprice") / 1e6, 8).alias("ret"))
+    return intake.series_frames(drop, "desk", "strategy")
+
+
+ACTIONS = ("click", "purchase", "view")
+#: A user's events ask for decisions on their day; every third day from one of the first three is a window.
+_REQUESTS = f"""
+WITH RECURSIVE q AS (SELECT user_id AS session, event_id AS seq, CAST(day(ts) - 1 AS BIGINT) AS month, event_type AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, list_transform(range(10), lambda k: user_id % 3 + 3 * k) AS ws FROM events),
+f AS (SELECT session, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS c, NULL::BIGINT AS seq, NULL::BIGINT AS month, NULL::VARCHAR AS action, NULL::VARCHAR AS fault FROM (SELECT DISTINCT session FROM q)
+      UNION ALL SELECT session, i, c + CASE WHEN fault IS NULL THEN 1 ELSE 0 END, seq, month, action, fault
+      FROM (SELECT q.session, q.i, f.c, q.seq, q.month, q.action, CASE WHEN q.action NOT IN {ACTIONS} THEN 'unknown action' WHEN NOT list_contains(ws, q.month) THEN 'not a window' WHEN list_position(ws, q.month) <= f.c THEN 'already decided'
+            WHEN list_position(ws, q.month) > f.c + 1 THEN 'out of order' END AS fault FROM f JOIN q ON q.session = f.session AND q.i = f.i + 1))
+"""
+
+
+def _judged(spark, d):
+    events = t.read(spark, d, "events")
+    requests = events.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.day("ts") - 1).cast("long").alias("month"), F.col("event_type").alias("action"))
+    days = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.col("session") % 3 + 3 * k)
+    windows = requests.select("session").distinct().withColumn("windows", days).withColumn("months", F.lit(31).cast("long"))
+    return dec.judged(requests, windows, ACTIONS), windows
+
+
+@query(_REQUESTS + "SELECT session, seq, month, action, fault FROM f WHERE i > 0")
+def judged_decisions(spark, d):
+    return _judged(spark, d)[0]
+
+
+@query(_REQUESTS + "SELECT session, max(c) AS decided, CASE WHEN max(c) < 10 THEN session % 3 + 3 * max(c) END AS next_window, CASE WHEN max(c) < 10 THEN session % 3 + 3 * max(c) + 1 ELSE 31 END AS ceiling FROM f GROUP BY session")
+def reveal_ceilings(spark, d):
+    return dec.ceilings(*_judged(spark, d))
