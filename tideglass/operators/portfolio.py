@@ -1,4 +1,4 @@
-"""Cash-flow recurrences as folds over arrays: they stay in the JVM, one row for each vehicle."""
+"""Cash-flow recurrences: each vehicle's periods stream by in order, and only its state is held."""
 
 from __future__ import annotations
 
@@ -7,73 +7,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def folded(df: DataFrame, by: Sequence[str], order: str, inputs: Sequence[str], start: dict[str, Column], step, out: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Runs ``step(state, input) -> {name: Column}`` over each group's rows in order; one row of ``out`` states for each input row.
-
-    The state is a struct carried through ``aggregate`` over the group's sorted array; the visited states
-    are collected in the same pass. Groups are as long as a horizon, so arrays stay short.
-    """
-    rows = df.groupBy(*by, *keep).agg(F.array_sort(F.collect_list(F.struct(order, *inputs))).alias("_s"))
-    kinds = dict(df.dtypes)
-    visited = ",".join(f"{n}:double" for n in out)
-    none = F.array().cast(f"array<struct<{order}:{kinds[order]},{visited}>>")
-
-    def move(acc: Column, x: Column) -> Column:
-        state = step(acc, x)
-        seen = F.struct(x[order].alias(order), *[state[n].alias(n) for n in out])
-        return F.struct(*[state[n].alias(n) for n in start], F.concat(acc["_out"], F.array(seen)).alias("_out"))
-
-    begin = F.struct(*[c.cast("double").alias(n) for n, c in start.items()], none.alias("_out"))
-    return rows.select(*by, F.explode(F.aggregate("_s", begin, move)["_out"]).alias("_e")).select(*by, "_e.*")
+from .folds import streamed
 
 
 def closed_end(df: DataFrame, by: Sequence[str], order: str, ret: str, committed: float, rc: Sequence[float], life: float, bow: float, rate: float, per: float = 0.25) -> DataFrame:
-    """A closed-end fund's calls, distributions and values under true returns.
+    """A closed-end fund's calls, distributions and values under true returns; a period without a return has none.
 
     Calls take the age's share of what is unfunded; distributions follow ``rate * (age / life) ** bow``; from
     ``life`` on nothing is called and all that is left is paid out.
     """
-    curve = F.array(*[F.lit(float(x)) for x in rc])
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        over = s["age"] >= life
-        share = F.least(F.lit(1.0), F.element_at(curve, F.least(F.floor(s["age"]).cast("int"), F.lit(len(rc) - 1)) + 1) * per)
-        call = F.when(over, 0.0).otherwise(F.least(s["unfunded"], share * s["unfunded"]))
-        grown = F.greatest(F.lit(0.0), s["nav"] * (1 + x[ret]))
-        paid = F.when(over, 1.0).otherwise(F.least(F.lit(1.0), rate * F.pow(F.least(F.lit(1.0), s["age"] / life), F.lit(bow)) * per))
-        dist = paid * grown
-        return {"age": s["age"] + per, "unfunded": F.when(over, 0.0).otherwise(s["unfunded"] - call), "nav": grown + call - dist, "call": call, "dist": dist}
+    def step(state: tuple, r: float) -> tuple:
+        age, unfunded, nav = state
+        over = age >= life
+        call = 0.0 if over else min(unfunded, min(1.0, rc[min(int(age), len(rc) - 1)] * per) * unfunded)
+        grown = max(0.0, nav * (1 + r))
+        dist = (1.0 if over else min(1.0, rate * min(1.0, age / life) ** bow * per)) * grown
+        unfunded, nav = 0.0 if over else unfunded - call, grown + call - dist
+        return (age + per, unfunded, nav), (call, dist, nav, unfunded)
 
-    start = {"age": F.lit(0.0), "unfunded": F.lit(committed), "nav": F.lit(0.0), "call": F.lit(0.0), "dist": F.lit(0.0)}
-    return folded(df, by, order, [ret], start, step, ["call", "dist", "nav", "unfunded"])
+    return streamed(df, by, order, [ret], lambda: (0.0, float(committed), 0.0), step, ["call", "dist", "nav", "unfunded"])
 
 
 def waterfall(df: DataFrame, by: Sequence[str], order: str, flows: tuple[str, str, str], cash: float, liquid: float, private: float, haircut: float) -> DataFrame:
-    """Cash after income, calls and spending; a shortfall sells liquid assets first, then private ones at a haircut."""
-    income, calls, spending = flows
+    """Cash after income, calls and spending; a shortfall sells liquid assets first, then private ones at a haircut. Null flows are zero."""
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        left = s["cash"] + x[income] - x[calls] - x[spending]
-        short = F.greatest(F.lit(0.0), -left)
-        sold = F.least(short, s["liquid"])
-        still = short - sold
-        nav = F.least(s["private"], still / (1 - haircut))
-        return {"cash": left + sold + nav * (1 - haircut), "liquid": s["liquid"] - sold, "private": s["private"] - nav, "sold": sold, "forced": nav * (1 - haircut)}
+    def step(state: tuple, income: float, calls: float, spending: float) -> tuple:
+        held, soft, hard = state
+        left = held + income - calls - spending
+        short = max(0.0, -left)
+        sold = min(short, soft)
+        nav = min(hard, (short - sold) / (1 - haircut))
+        state = left + sold + nav * (1 - haircut), soft - sold, hard - nav
+        return state, (*state, sold, nav * (1 - haircut))
 
-    start = {"cash": F.lit(cash), "liquid": F.lit(liquid), "private": F.lit(private), "sold": F.lit(0.0), "forced": F.lit(0.0)}
-    return folded(df, by, order, list(flows), start, step, ["cash", "liquid", "private", "sold", "forced"])
+    return streamed(df, by, order, list(flows), lambda: (float(cash), float(liquid), float(private)), step, ["cash", "liquid", "private", "sold", "forced"])
 
 
 def gated_redemptions(df: DataFrame, by: Sequence[str], order: str, asked: str, nav: float, gate: float) -> DataFrame:
-    """A queue of redemptions of which each period pays at most ``gate`` of the fund's value; the rest waits."""
+    """A queue of redemptions of which each period pays at most ``gate`` of the fund's value; the rest waits. Null asks are zero."""
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        waiting = s["pending"] + x[asked]
-        paid = F.least(waiting, gate * s["nav"])
-        return {"pending": waiting - paid, "nav": s["nav"] - paid, "paid": paid}
+    def step(state: tuple, more: float) -> tuple:
+        waiting = state[0] + more
+        paid = min(waiting, gate * state[1])
+        state = waiting - paid, state[1] - paid
+        return state, (paid, *state)
 
-    return folded(df, by, order, [asked], {"pending": F.lit(0.0), "nav": F.lit(nav), "paid": F.lit(0.0)}, step, ["paid", "pending", "nav"])
+    return streamed(df, by, order, [asked], lambda: (0.0, float(nav)), step, ["paid", "pending", "nav"])
 
 
 def present_value(amount: Column, rate: Column, years: int) -> Column:
@@ -88,13 +68,13 @@ def duration(rate: Column, years: int) -> Column:
 
 
 def ewma_variance(df: DataFrame, by: Sequence[str], order: str, value: str, weight: float) -> DataFrame:
-    """``weight * previous + (1 - weight) * x squared``, from the first square."""
+    """``weight * previous + (1 - weight) * x squared``, from the first square; a null counts as zero."""
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        square = x[value] * x[value]
-        return {"var": F.when(s["begun"] == 0, square).otherwise(weight * s["var"] + (1 - weight) * square), "begun": F.lit(1.0)}
+    def step(var: float | None, x: float) -> tuple:
+        var = x * x if var is None else weight * var + (1 - weight) * x * x
+        return var, (var,)
 
-    return folded(df, by, order, [value], {"var": F.lit(0.0), "begun": F.lit(0.0)}, step, ["var"])
+    return streamed(df, by, order, [value], lambda: None, step, ["var"])
 
 
 def bond_return(level: Column, by: str, order: str, years: float) -> Column:

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed
 from .windows import over, rows
 
 
@@ -93,21 +94,17 @@ def geltner(df: DataFrame, by: str = "sid", order: str = "dt", value: str = "r")
 
 
 def recover_truth(df: DataFrame, theta: Sequence[float], by: str = "sid", order: str = "dt", value: str = "r") -> DataFrame:
-    """Inverts ``x = sum of theta[j] * truth j rows ago`` row by row, as a fold over each series' sorted array.
+    """Inverts ``x = sum of theta[j] * truth j rows ago`` row by row; rows without a value are left out.
 
-    The fold carries the last ``len(theta) - 1`` truths, so a series of any length is one pass.
+    Rows stream by in order and only the last ``len(theta) - 1`` truths are held, so a series of any length is one pass.
     """
-    k = len(theta) - 1
-    series = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_s"))
+    k, weights = len(theta) - 1, [float(t) for t in theta]
 
-    def step(acc: Column, x: Column) -> Column:
-        lags = [F.when(F.size(acc["last"]) >= j, F.element_at(acc["last"], -j)).otherwise(0.0) for j in range(1, k + 1)]
-        truth = (x[value] - sum((theta[j] * lags[j - 1] for j in range(1, k + 1)), F.lit(0.0))) / theta[0]
-        return F.struct(F.slice(F.concat(acc["last"], F.array(truth)), F.greatest(F.lit(1), F.size(acc["last"]) + 2 - max(1, k)), max(1, k)).alias("last"), F.concat(acc["out"], F.array(F.struct(x[order].alias(order), truth.alias("truth")))).alias("out"))
+    def step(last: tuple, x: float) -> tuple:
+        truth = (x - sum(w * t for w, t in zip(weights[1:], last, strict=False))) / weights[0]
+        return (truth, *last)[:k], (truth,)
 
-    none = F.struct(F.array().cast("array<double>").alias("last"), F.array().cast(f"array<struct<{order}:{dict(df.dtypes)[order]},truth:double>>").alias("out"))
-    folded = series.select(by, F.aggregate("_s", none, step)["out"].alias("_o"))
-    return folded.select(by, F.explode("_o").alias("_e")).select(by, f"_e.{order}", "_e.truth")
+    return streamed(df.where(F.col(value).isNotNull()), [by], order, [value], tuple, step, ["truth"])
 
 
 def fit_smoothing(df: DataFrame, kmax: int = 3, default_k: int = 2, step: float = 0.05, by: str = "sid", order: str = "dt", value: str = "r") -> DataFrame:
@@ -163,16 +160,14 @@ def smooth(df: DataFrame, theta: Sequence[float], by: str = "sid", order: str =
 
 
 def quarter_marks(df: DataFrame, weight: float, by: str = "sid", order: str = "dt", value: str = "r") -> DataFrame:
-    """Quarter-end marks ``weight * quarter + (1 - weight) * previous mark``, folded over each series' quarters."""
+    """Quarter-end marks ``weight * quarter + (1 - weight) * previous mark``, the one before the first being zero; a quarter without values returned nothing."""
     quarter = df.groupBy(by, F.trunc(order, "quarter").alias("q")).agg((F.product(1 + F.col(value)) - 1).alias("x"))
-    series = quarter.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("q", "x"))).alias("_s"))
-    none = F.struct(F.lit(0.0).alias("mark"), F.array().cast("array<struct<q:date,mark:double>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        mark = weight * x["x"] + (1 - weight) * acc["mark"]
-        return F.struct(mark.alias("mark"), F.concat(acc["out"], F.array(F.struct(x["q"].alias("q"), mark.alias("mark")))).alias("out"))
+    def step(mark: float, x: float) -> tuple:
+        mark = weight * x + (1 - weight) * mark
+        return mark, (mark,)
 
-    return series.select(by, F.explode(F.aggregate("_s", none, step)["out"]).alias("e")).select(by, "e.q", "e.mark")
+    return streamed(quarter, [by], "q", ["x"], float, step, ["mark"])
 
 
 def ljung_box(acf: DataFrame, sizes: DataFrame, by: str = "sid") -> DataFrame:
