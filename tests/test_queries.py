@@ -75,14 +75,6 @@ def test_benchmarked_years_meet_their_anchors(spark):
         assert np.allclose([x[:12].sum(), x[12:24].sum()], 0.5 * p)
 
 
-def test_simulated_paths(spark):
-    a = resample.market_paths(spark, 40, 60, 5)
-    one = a.where("path = 17").orderBy("m").toPandas()
-    assert a.count() == 2400 and one.equals(resample.market_paths(spark.newSession(), 40, 60, 5).where("path = 17").orderBy("m").toPandas())
-    low = a.agg(F.min("rate"), F.min("spread"), F.min("inflation"), F.avg("equity")).first()
-    assert low[0] >= 0.1 and low[1] >= 1.5 and low[2] >= -2 and abs(low[3] - 0.5) < 0.4
-
-
 def test_draws_are_blocks(spark):
     d = resample.block_draws(spark, 200, spark.createDataFrame([("a", 60)], "sid string, n long"), 1 / 6, 1).orderBy("path", "m").toPandas()
     row = d.row.to_numpy().reshape(200, 60)
@@ -106,6 +98,18 @@ def test_tolerance_join_equals_all_pairs(spark):
     assert got == {(i, j) for i, j in itertools.product(range(60), range(70)) if abs(a[i, 0] - b[j, 0]) <= 0.4 and abs(a[i, 1] - b[j, 1]) <= 0.7}
 
 
+def test_overlaps_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    made = lambda n, top: [(int(k), float(x), float(x + w)) for k, x, w in zip(rng.integers(0, 2, n), rng.integers(0, top, n), rng.choice([0, 1, 3, 50, -2], n))]
+    a, b = [*made(60, 90), (0, None, 1.0), (5, 0.0, 1.0)], [*made(50, 90), (0, 1.0, None), (6, 0.0, 1.0)]
+    got = joins.overlapping(spark.createDataFrame(a, "k int, lo double, hi double"), spark.createDataFrame(b, "k int, lo double, hi double"), ["k"]).collect()
+    want = [(x[0], *x[1:], *y[1:]) for x, y in itertools.product(a, b) if x[0] == y[0] and None not in x + y and x[1] < y[2] and y[1] < x[2]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    dated = lambda df: df.select("k", F.date_add(F.lit("2020-01-01").cast("date"), F.col("lo").cast("int")).alias("lo"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("hi").cast("int")).alias("hi"))
+    days = joins.overlapping(dated(spark.createDataFrame(a, "k int, lo double, hi double")), dated(spark.createDataFrame(b, "k int, lo double, hi double")), ["k"])
+    assert days.count() == len(want)
+
+
 def test_windows_plan_has_one_shuffle(spark):
     df = spark.createDataFrame([("a", i, 0.01) for i in range(30)], "sid string, dt int, r double")
     plan = w.realized_vol(w.drawdown_state(df))._jdf.queryExecution().executedPlan().toString()

@@ -86,6 +86,30 @@ def first_of(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k:
 
 
 def overlapping(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Pairs of half-open intervals ``[lo, hi)`` of one key that meet."""
-    left, right = a.select(*on, F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")), b.select(*on, F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    return left.join(right, list(on)).where((F.col("a_lo") < F.col("b_hi")) & (F.col("b_lo") < F.col("a_hi")))
+    """Pairs of half-open intervals ``[lo, hi)`` of one key that meet. Ends are numbers, dates or timestamps; intervals with a null end meet nothing.
+
+    A key's time is cut into cells of its intervals' mean length, so intervals lie in about two cells each on average, however long some are. Pairs come
+    from an equi-join on cells, and each from one of them only: that of the later start.
+    """
+    on = list(on)
+    sides = []
+    for name, df in (("a", a), ("b", b)):
+        rows = df.where("lo IS NOT NULL AND hi IS NOT NULL").select(*on, F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+        sides.append(rows.withColumns({f"_{name}{k}": _number(rows, f"{name}_{k}") for k in ("lo", "hi")}))
+    lengths = sides[0].select(*on, F.abs(F.col("_ahi") - F.col("_alo")).alias("_l")).unionByName(sides[1].select(*on, F.abs(F.col("_bhi") - F.col("_blo")).alias("_l")))
+    widths = lengths.groupBy(*on).agg(F.avg("_l").alias("_w")).withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(1.0))
+    cell = lambda c: F.floor(c / F.col("_w"))
+    left, right = (
+        rows.join(widths, on).withColumn("_cell", F.explode(F.sequence(cell(F.least(f"_{n}lo", f"_{n}hi")), cell(F.greatest(f"_{n}lo", f"_{n}hi"))))) for n, rows in zip("ab", sides, strict=True)
+    )
+    both = left.join(right.drop("_w"), [*on, "_cell"]).where((F.col("a_lo") < F.col("b_hi")) & (F.col("b_lo") < F.col("a_hi")))
+    return both.where(F.col("_cell") == cell(F.greatest("_alo", "_blo"))).select(*on, "a_lo", "a_hi", "b_lo", "b_hi")
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    kind = dict(df.dtypes)[column]
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries that are broadcast at once: more are answered block by block.
 QUERIES = 4096
+#: More queries than this are refused, as each block of them reads all candidates.
+MOST = 1 << 20
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, key: str, vector: str) -> DataFrame:
@@ -21,6 +23,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, key: str, vector: str) ->
     """
     spark = queries.sparkSession
     n = queries.count()
+    if n > MOST:
+        raise ValueError(f"{n} queries would read the candidates {-(-n // QUERIES)} times: this is for a stated set of {MOST} at most")
     out = None
     for block in range(max(1, -(-n // QUERIES))):
         part = queries.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // QUERIES)))) == block).select(key, vector).toPandas()

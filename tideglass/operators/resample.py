@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import quantiles
+
 
 def uniform(seed: int, *parts: Column | str) -> Column:
     """A number in [0, 1) from the MD5 of the seed and the parts: the same in any engine."""
@@ -60,36 +60,9 @@ def numbered(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 def bands(stats: DataFrame, by: Sequence[str], value: str, level: float) -> DataFrame:
     """Percentile bands of a statistic over resamples."""
     low, high = (1 - level) / 2, (1 + level) / 2
-    one = stats.groupBy(*by).agg(F.expr(f"percentile({value}, array({low}D, {high}D))").alias("_q"), F.count(value).alias("n"))
-    return one.select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"), "n")
+    return quantiles(stats, value, {"lo": low, "hi": high}, by).select(*by, "lo", "hi", "n")
 
 
 def outside(value: Column, lo: Column, hi: Column) -> Column:
     """Not within a band; a missing value is outside, a missing band holds everything."""
     return F.when(lo.isNull() | hi.isNull(), False).when(value.isNull() | F.isnan(value), True).otherwise((value < lo) | (value > hi))
-
-
-def market_paths(spark: SparkSession, paths: int, months: int, seed: int, rate: float = 3.0, spread: float = 4.0, inflation: float = 2.0) -> DataFrame:
-    """Simulated monthly worlds ``(path, m, rate, spread, inflation, equity, credit)``, in percent.
-
-    Mean-reverting rate, spread and inflation with floors, and returns that load on their changes. Each
-    path has a generator of its own from seed and number, so any path can be made again alone.
-    """
-
-    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["id"].tolist():
-                z = np.random.default_rng([seed, path]).standard_normal((months, 4))
-                out, state = np.zeros((months, 5)), np.array([rate, spread, inflation])
-                for m in range(months):
-                    before = state.copy()
-                    state = np.array([
-                        max(0.1, state[0] + 0.05 * (rate + 0.5 * (state[2] - inflation) - state[0]) + 0.15 * z[m, 0]),
-                        max(1.5, state[1] + 0.1 * (spread - state[1]) + 0.3 * z[m, 1]),
-                        max(-2.0, state[2] + 0.12 * (inflation - state[2]) + 0.2 * z[m, 2]),
-                    ])
-                    move = state - before
-                    out[m] = [*state, 0.5 - 1.5 * move[1] + 4.0 * z[m, 3], before[0] / 12 + before[1] / 12 - 4 * move[0] - 3 * move[1]]
-                yield pd.DataFrame({"path": path, "m": np.arange(months), "rate": out[:, 0], "spread": out[:, 1], "inflation": out[:, 2], "equity": out[:, 3], "credit": out[:, 4]})
-
-    return spark.range(paths).mapInPandas(simulate, "path long, m long, rate double, spread double, inflation double, equity double, credit double")

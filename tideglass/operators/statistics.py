@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import quantiles
 from .windows import average_rank, block_sums, drawdown_episodes, over, pseudo_observations
 
 
@@ -100,7 +101,7 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
 def episode_summary(df: DataFrame, by: str = "sid", least: int = 1) -> DataFrame:
     """Medians and rank correlation of the depths and lengths of drawdown episodes."""
     e = drawdown_episodes(df, by)
-    mid = e.groupBy(by).agg(F.expr("percentile(depth, 0.5)").alias("depth"), F.expr("percentile(duration, 0.5)").alias("duration"), F.count(F.lit(1)).alias("episodes"))
+    mid = quantiles(e, "depth", {"depth": 0.5}, [by]).withColumnRenamed("n", "episodes").join(quantiles(e, "duration", {"duration": 0.5}, [by]).drop("n"), by)
     rho = spearman(e, "depth", "duration", [by]).select(by, "rho")
     enough = F.col("episodes") >= least
     return mid.join(rho, by).select(by, "episodes", *[F.when(enough, F.col(c)).alias(c) for c in ("depth", "duration", "rho")])
@@ -117,7 +118,7 @@ def pair_correlations(wide: DataFrame, names: Sequence[str]) -> DataFrame:
 def crisis_lift(wide: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation in the worst tenth of ``a``, less that of all rows."""
     both = wide.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    bar = both.agg(F.expr(f"percentile({a}, 0.1)").alias("_bar"))
+    bar = quantiles(both, a, {"_bar": 0.1}).drop("n")
     low = F.col(a) <= F.col("_bar")
     return both.crossJoin(F.broadcast(bar)).agg((guarded_corr(F.when(low, F.col(a)), F.when(low, F.col(b))) - guarded_corr(a, b)).alias("lift"), F.count(F.when(low, 1)).alias("n"))
 
@@ -135,7 +136,7 @@ def tail_dependence(wide: DataFrame, a: str, b: str, share: float, least: int) -
 def var_es(df: DataFrame, by: Sequence[str], value: str, level: float) -> DataFrame:
     """Value at risk (linear quantile of losses) and the mean loss from there on."""
     loss = df.select(*by, (-F.col(value)).alias("loss"))
-    bar = loss.groupBy(*by).agg(F.expr(f"percentile(loss, {level}D)").alias("var"))
+    bar = quantiles(loss, "loss", {"var": level}, by).drop("n")
     both = loss.join(bar, list(by)) if by else loss.crossJoin(F.broadcast(bar))
     return both.groupBy(*by, "var").agg(F.avg(F.when(F.col("loss") >= F.col("var"), F.col("loss"))).alias("es"))
 
@@ -220,16 +221,14 @@ def signed_rank(df: DataFrame, difference: Column) -> DataFrame:
 
 
 def percentile_fan(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    values = ", ".join(f"{p}D" for p in points)
-    names = [f"p{round(100 * p)}" for p in points]
-    one = df.groupBy(*by).agg(F.expr(f"percentile({value}, array({values}))").alias("_q"), F.count(value).alias("n"))
-    return one.select(*by, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    """``(by, n, p5, ...)``: quantiles of each group's values, named in hundredths; groups without values have no row."""
+    return quantiles(df, value, {f"p{round(100 * p)}": p for p in points}, by)
 
 
 def robust_gap(df: DataFrame, by: str, value: str) -> DataFrame:
     """Distance of each group's mean from the median of all means, in median absolute deviations."""
     means = df.groupBy(by).agg(F.avg(value).alias("mean"))
-    centre = means.agg(F.expr("percentile(mean, 0.5)").alias("_m"))
+    centre = quantiles(means, "mean", {"_m": 0.5}).drop("n")
     off = means.crossJoin(F.broadcast(centre)).withColumn("_o", F.abs(F.col("mean") - F.col("_m")))
-    mad = off.agg(F.expr("percentile(_o, 0.5)").alias("_d"))
+    mad = quantiles(off, "_o", {"_d": 0.5}).drop("n")
     return off.crossJoin(F.broadcast(mad)).select(by, "mean", F.try_divide("_o", "_d").alias("gap"))

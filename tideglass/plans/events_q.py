@@ -174,10 +174,14 @@ _STRATA = f"""r AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS "row", dt, a,
     sd AS (SELECT w.path, w.m, w.label, k."row" FROM w JOIN k ON w.label = k.label AND w.i = k.i)"""
 
 
+#: Resampled worlds, of which a tenth is reported.
+PATHS = 200
+
+
 def _strata(spark, d):
     r = t.ret_w(spark, d).where("a IS NOT NULL").select("dt", "a", F.when(F.col("a") < -0.05, "down").when(F.col("a") > 0.05, "up").otherwise("flat").alias("label"))
     rows = rs.numbered(r, [], "dt")  # one row a month
-    return rows, rs.stratified_draws(spark, rows.select(F.col("row").alias("m"), "label"), rows.select("row", "label"), 200, 5)
+    return rows, rs.stratified_draws(spark, rows.select(F.col("row").alias("m"), "label"), rows.select("row", "label"), PATHS, 5)
 
 
 @query(f'WITH {_STRATA} SELECT path, m, label, "row" FROM sd')
@@ -192,11 +196,11 @@ def stratified_bootstrap_draws(spark, d):
     SELECT path, round(worst, 6) + 0.0 AS worst FROM z WHERE i <= 20"""
 )
 def stress_paths(spark, d):
-    """Of the resampled worlds, the tenth with the most severe twelve months: a report of twenty."""
+    """Of the resampled worlds, the tenth with the most severe twelve months: a report."""
     rows, drawn = _strata(spark, d)
     both = drawn.join(rows.select("row", "a"), "row")
     year = w.rolling_sums(both, 12, "path", "m", "a").groupBy("path").agg(F.min("s").alias("worst"))
-    return year.orderBy("worst", "path").limit(20).select("path", *r6("worst"))
+    return year.orderBy("worst", "path").limit(PATHS // 10).select("path", *r6("worst"))
 
 
 @query(
@@ -212,12 +216,6 @@ def outside_band(spark, d):
     return both.groupBy("sid").agg(out.alias("outside"), F.round(F.min(gap), 6).alias("distance"))
 
 
-@query()
-def simulated_paths(spark, d):
-    """Seeded worlds; tested for floors, moments and repeatability."""
-    return rs.market_paths(spark, 64, 120, 11)
-
-
 @query("SELECT quality = 1 AS predicted, toxic = 1 AS actual, count(*) AS n FROM labels GROUP BY 1, 2")
 def label_confusion(spark, d):
     return regimes.confusion(t.read(spark, d, "labels"), F.col("quality") == 1, F.col("toxic") == 1)

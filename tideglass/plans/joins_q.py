@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as jn, windows as w
+from ..operators.ranges import quantiles
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -169,7 +170,7 @@ def worst_share_of_rows(spark, d):
 def nearest_to_percentile(spark, d):
     """The path whose end is nearest to a percentile of all ends; ties go to the lowest."""
     g = t.ensemble(spark, d).groupBy("path").agg(F.product(1 + F.col("r")).alias("g"))
-    q = g.agg(F.expr("percentile(g, 0.7D)").alias("q"))
+    q = quantiles(g, "g", {"q": 0.7}).select("q")
     gap = F.abs(F.col("g") - F.col("q"))
     return g.crossJoin(F.broadcast(q)).agg(F.min_by("path", F.struct(gap, "path")).alias("path"), F.min(gap).alias("gap")).select(F.col("path"), *r6("gap"))
 

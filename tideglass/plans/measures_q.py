@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import checks as ck, joins as jn, measures as ms, regimes, windows as w
+from ..operators.ranges import quantiles
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -65,9 +67,11 @@ def factor_transforms(spark, d):
     return t.ret_m(spark, d).select("sid", "dt", *cols).select("sid", "dt", *r6("log_growth", "soft", "dist", "call"))
 
 
-@query("SELECT s AS shift, greatest(5.0, 25.0 * pow(0.5, s)) AS percentile FROM (SELECT unnest(range(0, 6)) AS s)")
+@query("SELECT sid, dt, shift, greatest(5.0, 25.0 * pow(0.5, shift)) AS percentile FROM (SELECT sid, dt, count(*) FILTER (r < -0.1) OVER (PARTITION BY sid ORDER BY dt) AS shift FROM ret_m)")
 def halved_percentiles(spark, d):
-    return spark.range(6).select(F.col("id").alias("shift"), sc.halved(25.0, F.col("id")).alias("percentile"))
+    """Where a month's entry percentile stands after the falls of its series so far."""
+    shift = F.count_if(F.col("r") < -0.1).over(w.rows(w.over(), Window.unboundedPreceding))
+    return t.ret_m(spark, d).withColumn("shift", shift).select("sid", "dt", "shift", sc.halved(25.0, F.col("shift")).alias("percentile"))
 
 
 _PROXY = "p AS (SELECT sid, CASE WHEN month(dt) IN (1, 2) THEN 'winter' WHEN year(dt) < 1996 THEN 'early' END AS rule, count(*) OVER (PARTITION BY sid) AS n FROM series_m)"
@@ -162,7 +166,8 @@ def liquidity_measures(spark, d):
     """Share of paths that ever reach a threshold, the most periods above a limit, and the tail of terminal values."""
     p = t.ensemble(spark, d).groupBy("path").agg(F.max("r").alias("top"), F.count_if(F.col("r") > 0.0004).alias("breaches"), F.max_by("g", "m").alias("last"))
     share = F.avg(F.when(F.col("top") >= 0.001, 1.0).otherwise(0.0))
-    return p.agg(F.count(F.lit(1)).alias("paths"), F.round(share, 6).alias("shortfall"), F.max("breaches").alias("longest"), (F.round(F.expr("percentile(last, 0.01)"), 8) + F.lit(0.0)).alias("tail"))
+    one = p.agg(F.count(F.lit(1)).alias("paths"), F.round(share, 6).alias("shortfall"), F.max("breaches").alias("longest"))
+    return one.crossJoin(F.broadcast(quantiles(p, "last", {"tail": 0.01}))).select("paths", "shortfall", "longest", (F.round("tail", 8) + F.lit(0.0)).alias("tail"))
 
 
 @query("SELECT path, m // 12 AS year, min(m) AS first, max(m) AS last, count(*) AS months, count(*) FILTER (m % 12 = 11) AS yearly, count(*) FILTER (m % 3 = 2) AS quarterly FROM ensemble GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import statistics as st, windows as w
+from ..operators.ranges import quantiles
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -177,7 +178,7 @@ _ERFC = "(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.4531
 )
 def coverage_backtests(spark, d):
     e = t.ensemble(spark, d)
-    bar = e.where("m < 40").agg(F.expr("percentile(-r, 0.9D)").alias("var"))
+    bar = quantiles(e.where("m < 40").withColumn("loss", -F.col("r")), "loss", {"var": 0.9}).select("var")
     hits = e.crossJoin(F.broadcast(bar)).select("path", "m", (-F.col("r") >= F.col("var")).alias("hit"))
     out = st.coverage_tests(hits, "path", "m", 0.9)
     return out.select("n", "exceedances", *[F.round(c, 5).alias(c) for c in ("lr_pof", "lr_ind", "lr_cc")], *r6("p_cc", "p_pof"))

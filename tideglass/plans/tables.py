@@ -70,7 +70,7 @@ def obs_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("sid"), F.year("o_orderdate").alias("y"), month("o_orderdate").alias("dt"), "o_totalprice")
     years = orders.select(F.col("y").alias("vintage")).distinct()
     # A row belongs to every later year: years are few, so each row is repeated by an array of them instead of a range join.
-    last = years.agg(F.max("vintage")).first()[0]
-    known = orders.withColumn("vintage", F.explode(F.sequence("y", F.lit(last)))) if last is not None else orders.withColumn("vintage", F.col("y"))
+    last = orders.agg(F.max("y").alias("_last"))
+    known = orders.crossJoin(F.broadcast(last)).withColumn("vintage", F.explode(F.sequence("y", "_last"))).drop("_last")
     known = known.join(F.broadcast(years), "vintage").where(~((F.col("y") == F.col("vintage")) & (F.col("o_orderkey") % 10 == 0)))
     return known.groupBy("sid", "vintage", "dt").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))

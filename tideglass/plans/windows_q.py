@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import regimes, windows as w
+from ..operators.ranges import quantiles
 from . import tables as t
 from .registry import query
 
@@ -153,7 +154,7 @@ def regime_spells(spark, d):
 def regime_durations(spark, d):
     """Durations of complete spells."""
     whole = w.spells(labels(spark, d)).where("NOT open")
-    return whole.groupBy("state").agg(F.count(F.lit(1)).alias("spells"), F.expr("percentile(duration, 0.5)").alias("median"), F.expr("percentile(duration, 0.9)").alias("p90")).select("state", "spells", *r6("median", "p90"))
+    return quantiles(whole, "duration", {"median": 0.5, "p90": 0.9}, ["state"]).select("state", F.col("n").alias("spells"), *r6("median", "p90"))
 
 
 @query(f"WITH {_LABELS} SELECT previous, label AS next, count(*) AS n FROM (SELECT *, lag(label) OVER (PARTITION BY sid ORDER BY dt) AS previous FROM lab) WHERE previous IS NOT NULL GROUP BY 1, 2")
