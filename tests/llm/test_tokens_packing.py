@@ -111,3 +111,20 @@ def test_round_trip(spark, rows, monkeypatch):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 256
     assert got.sequence_id.nunique() <= lower_bound(got.length.to_numpy(), 256) * 1.03 + 1
     assert pack_documents(df.limit(0), vocabulary(), 256).collect() == []
+
+
+def test_copies_of_a_row_spread_over_groups(spark, monkeypatch):
+    """Of a third and more of equal rows, no group gets over twice its size, in the first round and in those of what was given up."""
+    monkeypatch.setattr(packing, "GROUP", 500)
+    sizes = []
+    whole = packing._packed
+
+    def watched(pieces, size, round_no, groups):
+        sizes.extend(r["count"] for r in pieces.groupBy(packing.slot_of(round_no, groups)).count().collect())
+        return whole(pieces, size, round_no, groups)
+
+    monkeypatch.setattr(packing, "_packed", watched)
+    rows = [(7, "the same words again and again " * 12)] * 6000 + [(None, "no id")] * 800 + [(100 + i, "word " * (i % 90)) for i in range(1000)]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), vocabulary(), 256)
+    filled = got.groupBy("sequence_id").sum("length").collect()
+    assert max(sizes) <= 1000 and got.count() == 7800 and max(r[1] for r in filled) <= 256

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -20,7 +20,7 @@ from .tokens import token_pieces
 
 #: Pieces of a group, which one task packs; rounds at most; of a group's slack, the share whose bins are given up.
 GROUP, ROUNDS, GIVEN = 50_000, 8, 0.9
-_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, released boolean"
+_SCHEMA = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, released boolean"
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
@@ -66,7 +66,7 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
 
 def _packed(pieces: DataFrame, size: int, round_no: int, groups: int) -> DataFrame:
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], kind="stable")
+        group = group.sort_values(["length", "doc_id", "piece", "row"], kind="stable")
         lengths = group["length"].to_numpy()
         bins, offsets, n = best_fit(lengths, size)
         slack = size - np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
@@ -79,8 +79,13 @@ def _packed(pieces: DataFrame, size: int, round_no: int, groups: int) -> DataFra
         ids = (round_no << 56) + (int(group["slot"].iloc[0]) << 24) + bins
         return group.drop(columns="slot").assign(sequence_id=ids, offset=offsets, released=released[bins])
 
-    slot = F.pmod(F.xxhash64(F.lit(round_no), "doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("slot")
-    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", slot).groupBy("slot").applyInPandas(pack, _SCHEMA)
+    slot = slot_of(round_no, groups).alias("slot")
+    return pieces.select("row", "doc_id", "piece", "start", "length", "ids_crc32", slot).groupBy("slot").applyInPandas(pack, _SCHEMA)
+
+
+def slot_of(round_no: int, groups: int) -> Column:
+    """A piece's group in a round, by the number its row got when the pieces were written: copies of a row spread like any other rows."""
+    return F.pmod(F.xxhash64(F.lit(round_no), "row"), F.lit(groups))
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id") -> DataFrame:
@@ -91,7 +96,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
     Columns other than ``id_col`` and ``text`` are not read. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.save(token_pieces(docs, path, size, end_id, id_col), "pieces")
+    pieces = scratch.save(token_pieces(docs, path, size, end_id, id_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     n = pieces.count()
     now = scratch.save(_packed(pieces, size, 0, max(1, math.ceil(n / GROUP))), "round-0")
     kept = [now.where("not released")]
@@ -111,4 +116,4 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
     out = kept[0]
     for more in kept[1:]:
         out = out.union(more)
-    return out.drop("released")
+    return out.drop("released", "row")
