@@ -77,12 +77,51 @@ def test_templates_through_the_scan(spark):
         licenses.Automaton("[[only]] {{2}}")
 
 
+#: Notices as their publishers word them, with all labels that they must get (besides those of bare phrases).
+NOTICES = {
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by-4.0"},
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"cc-by-sa-4.0"},
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": {"cc-by-nd-4.0"},
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"cc-by-nc-4.0"},
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": {"cc-by-nc-sa-4.0"},
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": {"cc-by-nc-nd-4.0"},
+    "This work is licensed under the Creative Commons Attribution 3.0 Unported License.": {"cc-by-3.0"},
+    "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.": {"cc-by-nc-nd-3.0"},
+    "licensed under a Creative Commons Attribution-Share Alike 2.5 Generic License": {"cc-by-sa-2.5"},
+    "licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives License": {"cc-by-nc-nd"},
+    "licensed under the Creative Commons Attribution NoDerivatives License": {"cc-by-nd"},
+    "licensed under the Creative Commons Attribution Share Alike License": {"cc-by-sa"},
+    "licensed under the Creative Commons Attribution License": {"cc-by"},
+    "licensed under the Creative Commons Attribution Sampling License": set(),
+    "licensed under a Creative Commons Attribution 7.0 License": set(),
+    "This project is licensed under the terms of the MIT license.": {"mit"},
+    "licensed under the terms of the MITRE license": set(),
+    "licensed under the GNU General Public License v3.0": {"gpl-3"},
+    "Licensed under the GNU General Public License, version 2": {"gpl-2"},
+    "licensed under the GNU General Public License v1": set(),
+    "licensed under the GNU Affero General Public License v3": {"agpl-3"},
+    "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1": {"lgpl-2.1"},
+    "under the GNU Lesser General Public License v3.0": {"lgpl-3"},
+    "released under the Apache License 2.0": {"apache-2"},
+    "released under the Apache License 1.1": set(),
+    "released under the Apache License, Version 2.0": {"apache-2"},
+}
+
+
+def test_published_notices_and_their_nearest_others(spark):
+    texts = list(NOTICES)
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert set(filter(None, r.labels.split(","))) == NOTICES[texts[r.doc_id]], texts[r.doc_id]
+
+
 def test_whole_licenses(spark):
     holder = "the copyright holders and contributors"
     docs = []
     for label, t in TEMPLATES.items():
         said = re.sub(r"\[\[|\]\]", " ", t)
         said = re.sub(r"\{\{(\d+)\}\}", lambda m: holder if int(m[1]) > 4 else "", said)
+        label = label.partition("#")[0]
         docs += [(label, f"Copyright 2020 A. Person\n\n{said}\n end"), (label, f"x {said.upper()}"), ("", said.replace("the ", "thee "))]
     df = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(docs)], "doc_id long, text string")
     for r in licenses.license_scan(df).collect():

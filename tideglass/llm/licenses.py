@@ -115,13 +115,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
 
     ``n_base`` counts the places of bare phrases, ``first_word`` and ``last_word`` are the smallest and the
     largest of them (null if none). ``labels`` adds those of templates whose mandatory wording stands in the
-    text exactly; a template without mandatory words is refused. ``score`` is 1 with a full template, 0.6 with phrases only, else 0. Null and empty texts
+    text exactly; a template without mandatory words is refused; a label ends before its first ``#``. ``score`` is 1 with a full template, 0.6 with phrases only, else 0. Null and empty texts
     have no words. Repeated rows are scanned each. Columns other than ``id_col`` and ``text`` are not read.
     """
     templates = TEMPLATES if templates is None else templates
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [(label, Automaton(t)) for label, t in templates.items()]
+        automata = [(label.partition("#")[0], Automaton(t)) for label, t in templates.items()]
         phrases = [(label, [hash_word(w.encode()) for w in p.split()]) for p, label in PHRASES.items()]
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]

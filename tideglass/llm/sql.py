@@ -24,7 +24,7 @@ def _starts(phrase: str) -> str:
 
 def licenses() -> str:
     base = ", ".join(f"CASE WHEN len({_starts(p)}) > 0 THEN {_quoted(label)} END" for p, label in PHRASES.items())
-    more = ", ".join(f"CASE WHEN regexp_matches(line, {_quoted(pattern(t))}) THEN {_quoted(label)} END" for label, t in TEMPLATES.items())
+    more = ", ".join(f"CASE WHEN regexp_matches(line, {_quoted(pattern(t))}) THEN {_quoted(label.partition('#')[0])} END" for label, t in TEMPLATES.items())
     joined = "array_to_string(list_sort(list_distinct(list_filter({0}, lambda x: x IS NOT NULL))), ',')"
     return f"""
     WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),
