@@ -1,7 +1,9 @@
 import random
+import time
 import zlib
 
 import numpy as np
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -128,6 +130,17 @@ def test_scores_as_brute_force():
     assert seen == {True, False}
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<a " * 350_000 + ">", "<!-- " * 200_000, "<div>x" * 50_000, "<div class=menu>x." * 50_000, "<article><div>x, y." * 30_000, "<div>x" * 30_000 + "</section>" * 60_000, "<a '\">" * 150_000, "<p>a" * 100_000, "<div class=a>" * 50_000 + "<li>x<figure>" * 20_000, "<script" * 100_000, "&amp" * 250_000],
+    ids=range(12),
+)
+def test_long_broken_and_deep_pages_take_linear_time(page):
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 20
+
+
 def test_broken_and_empty(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a<p>b</div></body>"), (4, "u", "<script>never closed <p>x"), (5, "u", "a < b & c &am"), (6, "u", "<div" * 3000), (6, "u", "<p>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
