@@ -21,8 +21,8 @@ def grid(spark: SparkSession, paths: int, months: int) -> DataFrame:
     return cells.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(months - 1)).cast("array<bigint>")))
 
 
-def block_draws(spark: SparkSession, paths: int, histories: DataFrame, restart: float, seed: int, by: str = "sid") -> DataFrame:
-    """``(by, path, m, row)`` of a stationary block bootstrap of each of ``histories (by, n)``, as long as the history.
+def block_draws(spark: SparkSession, paths: int, histories: DataFrame, restart: float, seed: int, by: str = "sid", length: int | None = None) -> DataFrame:
+    """``(by, path, m, row)`` of a stationary block bootstrap of each of ``histories (by, n)``, as long as the history or of the ``length`` given.
 
     A fresh start in the first month and with chance ``restart`` after it, else the row after the last one, around the end.
     Paths are dealt over tasks and meet every history, of which there is one short row each.
@@ -30,7 +30,7 @@ def block_draws(spark: SparkSession, paths: int, histories: DataFrame, restart:
     fresh = (F.col("m") == 0) | (uniform(seed, F.lit("restart"), by, "path", "m") < restart)
     start = F.floor(uniform(seed, F.lit("start"), by, "path", "m") * F.col("n"))
     g = spark.range(paths).withColumnRenamed("id", "path").crossJoin(histories.select(by, "n"))
-    g = g.withColumn("m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).withColumn("_s", F.when(fresh, F.struct(F.col("m").alias("at"), start.alias("row"))))
+    g = g.withColumn("m", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") if length is None else F.lit(length).cast("bigint")) - 1))).withColumn("_s", F.when(fresh, F.struct(F.col("m").alias("at"), start.alias("row"))))
     last = F.last("_s", ignorenulls=True).over(Window.partitionBy(by, "path").orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
     return g.withColumn("_l", last).select(by, "path", "m", F.pmod(F.col("_l.row") + F.col("m") - F.col("_l.at"), F.col("n")).alias("row"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decay as dc, memorization as mem, statistics as st, utility as ut, walkforward as wf, windows as w
+from ..operators import decay as dc, memorization as mem, reference as rf, statistics as st, utility as ut, walkforward as wf, windows as w
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -215,3 +215,81 @@ def drawdown_surprise(spark, d):
 def alpha_by_window(spark, d):
     """A day's mean against its last value, as two wealths."""
     return wf.alpha_by_window(t.series_d(spark, d), "v", "last_v").select("sid", "dt", *r6("alpha"))
+
+
+RESAMPLES, LENGTH_MADE, RESEED = 200, 60, 9
+_UNIT = "CAST(('0x' || substr(md5('{0}:{1}:' || {2}), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+def _draws_sql(table: str, key: str, length: str) -> str:
+    """Resamples of ``table``'s rows by key, as ``res``: the same draws as the operator's."""
+    cell = f"{key} || ':' || path || ':' || m"
+    return f"""hist AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY dt) - 1 AS i FROM {table}), cnt AS (SELECT {key}, count(*) AS n FROM hist GROUP BY 1),
+gr AS (SELECT {key}, n, path, unnest(range(0, {length})) AS m FROM cnt, (SELECT unnest(range(0, {RESAMPLES})) AS path)),
+sn AS (SELECT *, CASE WHEN m = 0 OR {_UNIT.format(RESEED, 'restart', cell)} < 1 / 6.0 THEN m END AS since, CAST(floor({_UNIT.format(RESEED, 'start', cell)} * n) AS BIGINT) AS start FROM gr),
+ln_ AS (SELECT {key}, path, m, n, last_value(since IGNORE NULLS) OVER w AS since, last_value(CASE WHEN since IS NOT NULL THEN start END IGNORE NULLS) OVER w AS start FROM sn WINDOW w AS (PARTITION BY {key}, path ORDER BY m)),
+res AS (SELECT hist.* EXCLUDE (dt, i), ln_.path, ln_.m FROM ln_ JOIN hist ON hist.{key} = ln_.{key} AND hist.i = (ln_.start + ln_.m - ln_.since) % ln_.n)"""
+
+
+def _stats_sql(table: str, keys: str, order: str, name: str) -> str:
+    """``name (keys, stat, value)`` of a table's ``r`` by keys."""
+    p = f"PARTITION BY {keys}"
+    lags = ", ".join(f"lag(d, {k}) OVER o AS d{k}, lag(a, {k}) OVER o AS a{k}" for k in rf.LAGS)
+    sums = ", ".join(f"CASE WHEN i % {h} = 0 THEN sum(x) OVER ({p} ORDER BY ord ROWS {h - 1} PRECEDING) END AS s{h}" for h in rf.HORIZONS)
+    acf = ", ".join(f"CASE WHEN count(*) > {k} AND sum({c} * {c}) > 1e-18 THEN sum({c} * {c}{k}) / sum({c} * {c}) END AS acf_{kind}_lag{k}" for kind, c in (("r", "d"), ("abs", "a")) for k in rf.LAGS)
+    kurt = "avg(pow({0} - {1}, 4)) / nullif(pow(avg(pow({0} - {1}, 2)), 2), 0) - 3"
+    block = ", ".join(f"CASE WHEN count(s{h}) >= {rf.LEAST_BLOCKS} THEN {kurt.format(f's{h}', f'sm{h}')} END AS agg_gaussianity_{h}, CASE WHEN count(s{h}) >= {rf.LEAST_BLOCKS} AND var_samp(x) > 0 THEN var_samp(s{h}) / ({h} * var_samp(x)) END AS variance_ratio_{h}" for h in rf.HORIZONS)
+    stats = rf.names()
+    return f"""{name}1 AS (SELECT {keys}, {order} AS ord, r AS x, r - avg(r) OVER ({p}) AS d, count(*) OVER ({p}) AS n, row_number() OVER ({p} ORDER BY {order}) AS i, row_number() OVER ({p} ORDER BY r) AS rank_ FROM {table}),
+{name}2 AS (SELECT *, abs(d) - avg(abs(d)) OVER ({p}) AS a, abs(lead(d) OVER ({p} ORDER BY ord)) AS nx, exp(sum(ln(1 + x)) OVER ({p} ORDER BY ord)) AS wl, greatest(1, CAST(round_even(n * {rf.TAIL}, 0) AS BIGINT)) AS k FROM {name}1),
+{name}3 AS (SELECT *, {lags}, {sums}, 1 - wl / greatest(1.0, max(wl) OVER ({p} ORDER BY ord)) AS fall, CASE WHEN rank_ <= k + 1 AND x < 0 THEN -x END AS loss FROM {name}2 WINDOW o AS ({p} ORDER BY ord)),
+{name}4 AS (SELECT *, {", ".join(f"avg(s{h}) OVER ({p}) AS sm{h}" for h in rf.HORIZONS)} FROM {name}3),
+{name}5 AS (SELECT {keys}, avg(x) AS mean, stddev_samp(x) AS std, avg(pow(d, 3)) / nullif(pow(avg(d * d), 1.5), 0) AS skew, avg(pow(d, 4)) / nullif(pow(avg(d * d), 2), 0) - 3 AS excess_kurtosis, {acf},
+  CASE WHEN stddev_pop(x) FILTER (nx IS NOT NULL) * stddev_pop(nx) > 0 THEN covar_pop(x, nx) / (stddev_pop(x) FILTER (nx IS NOT NULL) * stddev_pop(nx)) END AS leverage,
+  CASE WHEN count(loss) = max(k) + 1 AND sum(ln(loss)) - (max(k) + 1) * ln(min(loss)) > 0 THEN max(k) / (sum(ln(loss)) - (max(k) + 1) * ln(min(loss))) END AS hill, greatest(0, max(fall)) AS max_drawdown, {block} FROM {name}4 GROUP BY {keys}),
+{name}6 AS (SELECT *, {" + ".join(f"acf_r_lag{k}" for k in rf.LAGS)} AS acf_r_sum, {" + ".join(f"acf_abs_lag{k}" for k in rf.LAGS)} AS acf_abs_sum FROM {name}5),
+{name} AS (SELECT {keys}, unnest({stats}) AS stat, unnest([{", ".join(f"CAST({s} AS DOUBLE)" for s in stats)}]) AS value FROM {name}6)"""
+
+
+def _bands_sql(key: str) -> str:
+    return f"ends AS (SELECT {key}, stat, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi, count(value) AS n FROM rst GROUP BY 1, 2)"
+
+
+_BASE = f"WITH {_draws_sql('ret_m', 'sid', 'n')}, {_stats_sql('res', 'sid, path', 'm', 'rst')}, {_stats_sql('ret_m', 'sid', 'dt', 'obs')}, {_bands_sql('sid')}"
+
+
+@query(_BASE + " SELECT obs.sid, obs.stat, round(value, 5) + 0.0 AS value, round(lo, 5) + 0.0 AS lo, round(hi, 5) + 0.0 AS hi, coalesce(n, 0) AS n FROM obs LEFT JOIN ends ON obs.sid = ends.sid AND obs.stat = ends.stat")
+def reference_bands(spark, d):
+    """Every statistic of every priority's returns with its band over resampled histories."""
+    out = rf.bands(t.ret_m(spark, d), "sid", "dt", "r", RESAMPLES, 1 / 6, RESEED)
+    return out.select("sid", "stat", *[(F.round(c, 5) + 0.0).alias(c) for c in ("value", "lo", "hi")], "n")
+
+
+_PAIRS = [("1-URGENT", "2-HIGH"), ("1-URGENT", "3-MEDIUM"), ("4-NOT SPECIFIED", "5-LOW")]
+_PAIR_STATS = """{2}1 AS (SELECT {1}, x, y, abs(x - avg(x) OVER (PARTITION BY {1})) AS ax, abs(y - avg(y) OVER (PARTITION BY {1})) AS ay FROM {0}),
+{2} AS (SELECT {1}, unnest(['correlation', 'abs_correlation']) AS stat, unnest([corr(x, y), corr(ax, ay)]) AS value FROM {2}1 GROUP BY {1})"""
+
+
+@query(
+    f"""WITH pr AS (SELECT a.sid || '~' || b.sid AS pair, a.dt, a.r AS x, b.r AS y FROM ret_m a JOIN ret_m b ON a.dt = b.dt AND (a.sid, b.sid) IN ({", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)})),
+{_draws_sql('pr', 'pair', 'n')}, {_PAIR_STATS.format('res', 'pair, path', 'rst')}, {_PAIR_STATS.format('pr', 'pair', 'obs')}, {_bands_sql('pair')}
+SELECT obs.pair, obs.stat, round(value, 5) + 0.0 AS value, round(lo, 5) + 0.0 AS lo, round(hi, 5) + 0.0 AS hi, n FROM obs JOIN ends ON obs.pair = ends.pair AND obs.stat = ends.stat"""
+)
+def pair_reference_bands(spark, d):
+    out = rf.pair_bands(t.ret_m(spark, d), _PAIRS, "sid", "dt", "r", RESAMPLES, 1 / 6, RESEED)
+    return out.select("pair", "stat", *[(F.round(c, 5) + 0.0).alias(c) for c in ("value", "lo", "hi")], "n")
+
+
+@query(
+    f"""WITH {_GENERATED}, {_draws_sql('ret_m', 'sid', str(LENGTH_MADE))}, {_stats_sql('res', 'sid, path', 'm', 'rst')}, {_bands_sql('sid')}, ok AS (SELECT * FROM gen WHERE r > -1), {_stats_sql('ok', 'sid, path', 'dt', 'mst')},
+v AS (SELECT sid, stat, avg(value) AS value FROM mst GROUP BY 1, 2), b AS (SELECT DISTINCT sid, s.stat FROM ret_m, (SELECT unnest({rf.names()}) AS stat) s)
+SELECT b.sid, b.stat, round(value, 5) + 0.0 AS value, round(lo, 5) + 0.0 AS lo, round(hi, 5) + 0.0 AS hi,
+  CASE WHEN value IS NULL THEN 'missing' WHEN lo IS NULL OR hi IS NULL OR NOT lo < hi THEN 'unbanded' WHEN value BETWEEN lo AND hi THEN 'pass' ELSE 'fail' END AS verdict
+FROM b LEFT JOIN ends ON b.sid = ends.sid AND b.stat = ends.stat LEFT JOIN v ON b.sid = v.sid AND b.stat = v.stat"""
+)
+def reference_battery(spark, d):
+    """Generated paths against the bands of histories as long as they are."""
+    made = generated(spark, d).where("r > -1")
+    found = rf.long(rf.statistics(made, ["sid", "path"], "dt", "r"), ["sid"], rf.names())
+    ref = rf.bands(t.ret_m(spark, d), "sid", "dt", "r", RESAMPLES, 1 / 6, RESEED, length=LENGTH_MADE)
+    return rf.judged(found, ref, "sid").select("sid", "stat", *[(F.round(c, 5) + 0.0).alias(c) for c in ("value", "lo", "hi")], "verdict")
