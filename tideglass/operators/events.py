@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,3 +69,26 @@ def contest(events: DataFrame, by: Sequence[str], severity: str, ties: Sequence[
     w = Window.partitionBy(*by)
     ranked = events.withColumn("_i", F.row_number().over(w.orderBy(F.desc(F.abs(severity)), *ties))).withColumn("losers", F.count(F.lit(1)).over(w) - 1)
     return ranked.where("_i = 1").drop("_i")
+
+
+def detected(streams: Mapping[str, tuple[DataFrame, Column, Column]], cuts: Sequence[float], by: Sequence[str] = ("sid",), order: str = "dt") -> DataFrame:
+    """``(by, order, place, cls, size, severity, label, fault)``: the events of all classes as one stream.
+
+    ``streams`` has, for each class, its events with their size and label. A key's events go by ``order``, then class, size and label, and ``place`` numbers them from 1.
+    ``severity`` is 1 and one more for each of ``cuts`` that the size reaches, up or down. An event with nothing to show for it, neither
+    size nor label, or without a time, is kept with its ``fault``: it is a defect of its detector, not an event to drop.
+    """
+    parts = [events.select(*by, F.col(order).alias("_at"), F.lit(cls).alias("cls"), size.cast("double").alias("size"), label.cast("string").alias("label")) for cls, (events, size, label) in streams.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    severity = 1 + tier("_size", cuts)
+    fault = F.when(F.col("_at").isNull(), "no time").when(F.col("size").isNull() & (F.coalesce("label", F.lit("")) == ""), "no anchor")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_at", "cls", "size", "label"))
+    rows = rows.withColumn("_size", F.abs("size")).withColumn("place", place)
+    return rows.select(*by, F.col("_at").alias(order), "place", "cls", "size", F.when(F.col("size").isNotNull(), severity).otherwise(1).alias("severity"), "label", fault.alias("fault"))
+
+
+def uncovered(events: DataFrame, keys: DataFrame, classes: Sequence[str], by: Sequence[str] = ("sid",)) -> DataFrame:
+    """``(by, classes)``: the declared classes, sorted, that never fired for a key; keys where all did have an empty array. ``keys`` names all keys."""
+    fired = events.groupBy(*by).agg(F.collect_set("cls").alias("_f"))  # as many as classes
+    asked = keys.select(*by).distinct().join(fired, list(by), "left")
+    return asked.select(*by, F.array_except(F.array(*map(F.lit, sorted(classes))), F.coalesce("_f", F.array().cast("array<string>"))).alias("classes"))

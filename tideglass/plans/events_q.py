@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import events as ev, neighbours, regimes, resample as rs, texts as tx, windows as w
 from . import tables as t
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .windows_q import r6
 
 
@@ -72,6 +72,40 @@ def slot_contest(spark, d):
     return ev.contest(e, ["dt", "slot"], "severity", ["event_id"]).select("dt", "slot", "event_id", *r6("severity"), "losers")
 
 
+#: Sizes from which an event is severe, and very severe.
+CUTS = (2.0, 3.0)
+_STREAMS = {
+    "E01": ("big_moves", "severity", "'return ' || CASE WHEN r < 0 THEN 'down' ELSE 'up' END"),
+    "E02": ("hysteresis_flips", "CAST(NULL AS DOUBLE)", "prior || ' to ' || state"),
+    "E03": ("drawdown_milestones", "milestone * 20", "'fall'"),
+    "E04": ("recoveries", "depth * 20", "'recovered'"),
+}
+_DETECTED = " UNION ALL ".join(f"SELECT sid, dt, '{cls}' AS cls, CAST({size} AS DOUBLE) AS size, {label} AS label FROM ({ORACLE_SQL[name]})" for cls, (name, size, label) in _STREAMS.items())
+
+
+def _streams(spark, d):
+    return {cls: ({"big_moves": big_moves, "hysteresis_flips": hysteresis_flips, "drawdown_milestones": drawdown_milestones, "recoveries": recoveries}[name](spark, d), F.expr(size), F.expr(label)) for cls, (name, size, label) in _STREAMS.items()}
+
+
+@query(
+    f"""SELECT sid, dt, CAST(row_number() OVER (PARTITION BY sid ORDER BY dt NULLS FIRST, cls, size NULLS FIRST, label) AS INTEGER) AS place, cls, round(size, 4) + 0.0 AS size,
+       1 + CASE WHEN abs(size) >= {CUTS[0]} THEN 1 ELSE 0 END + CASE WHEN abs(size) >= {CUTS[1]} THEN 1 ELSE 0 END AS severity, label, CAST(NULL AS VARCHAR) AS fault FROM ({_DETECTED})"""
+)
+def event_stream(spark, d):
+    """Moves, flips, falls and recoveries of each priority as one numbered stream."""
+    return ev.detected(_streams(spark, d), CUTS).withColumn("size", F.round("size", 4) + 0.0)
+
+
+@query(
+    f"""SELECT s.sid, array_to_string(list_sort(list_filter({list(_STREAMS)}, lambda c: NOT list_contains(coalesce(f, []), c))), ',') AS classes
+FROM (SELECT DISTINCT sid FROM series_m) s LEFT JOIN (SELECT sid, list(DISTINCT cls) AS f FROM ({_DETECTED}) WHERE size > 2 OR size < -2 OR size IS NULL GROUP BY sid) e ON e.sid = s.sid"""
+)
+def uncovered_events(spark, d):
+    """Classes of which a priority never had a severe event, or none at all."""
+    severe = ev.detected(_streams(spark, d), CUTS).where("size > 2 OR size < -2 OR size IS NULL")
+    return ev.uncovered(severe, t.series_m(spark, d), list(_STREAMS)).select("sid", F.array_join("classes", ",").alias("classes"))
+
+
 @query("SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY term ORDER BY n DESC, term LIMIT 50")
 def top_words(spark, d):
     return tx.top_terms(t.read(spark, d, "documents"), "text", 50)
