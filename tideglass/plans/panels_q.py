@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import derived, hazard as hz, regression as reg, support as sup
+from ..operators import derived, extend as ex, hazard as hz, regression as reg, support as sup
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -221,3 +221,68 @@ def onset_hazards(spark, d):
     kind = F.when(F.abs("r") >= 0.01, (F.col("r") >= 0).cast("int") + F.when(F.month("dt") > 6, 2).otherwise(0))
     rows = _labelled(spark, d).withColumn("kind", kind)
     return hz.onset_hazard(rows, "kind", F.col("label") == "down", [0, 1, 2, 3]).select("cell", "months", "onsets", *r6("rate"), "fell_back")
+
+
+#: Each status of an order is a market; its priorities are the series that stand in for one another.
+_MARKETS = """mk AS (SELECT o_orderstatus AS sid, o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS dt, round(avg(o_totalprice) / 1000, 4) AS v FROM orders GROUP BY 1, 2, 3),
+cp_new AS (SELECT sid, dt, v FROM mk WHERE p = '2-HIGH' AND year(dt) >= 1997), cp_old AS (SELECT sid, dt, v FROM mk WHERE p = '3-MEDIUM' AND year(dt) <= 1999), bill AS (SELECT sid, dt, v FROM mk WHERE p = '5-LOW'),
+tgt AS (SELECT sid, dt, v FROM mk WHERE p = '1-URGENT' AND year(dt) BETWEEN 1996 AND 1999 AND month(dt) <> 6),
+off AS (SELECT sid, avg(n.v - o.v) AS o, stddev_pop(n.v - o.v) AS e, count(*) AS n FROM cp_new n JOIN cp_old o USING (sid, dt) GROUP BY sid),
+fst AS (SELECT sid, min(dt) AS f FROM cp_new GROUP BY sid),
+cp AS (SELECT * FROM cp_new UNION ALL SELECT sid, dt, v + o FROM cp_old JOIN off USING (sid) JOIN fst USING (sid) WHERE dt < f AND n >= 12),
+sp AS (SELECT sid, dt, cp.v - bill.v AS v FROM cp JOIN bill USING (sid, dt) WHERE dt >= DATE '1995-03-01'),
+ft AS (SELECT sid, covar_pop(sp.v, tgt.v) / var_pop(sp.v) AS b, avg(tgt.v) - covar_pop(sp.v, tgt.v) / var_pop(sp.v) * avg(sp.v) AS a, count(*) AS n FROM sp JOIN tgt USING (sid, dt) WHERE year(dt) >= 1997 GROUP BY sid HAVING count(*) >= 12)"""
+
+
+def _markets(spark, d):
+    orders = t.read(spark, d, "orders")
+    mk = orders.groupBy(F.col("o_orderstatus").alias("sid"), F.col("o_orderpriority").alias("p"), t.month("o_orderdate").alias("dt")).agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("v"))
+    one = lambda p, keep: mk.where((F.col("p") == p) & keep).select("sid", "dt", "v")
+    y = F.year("dt")
+    target = one("1-URGENT", y.between(1996, 1999) & (F.month("dt") != 6))
+    return target, one("2-HIGH", y >= 1997), one("3-MEDIUM", y <= 1999), one("5-LOW", F.lit(True))
+
+
+def _funding(spark, d):
+    target, new, old, bill = _markets(spark, d)
+    leg, told = ex.joined_segments([new, old], 12)
+    return target, ex.spread(leg, bill, "1995-03-01").withColumnRenamed("v", "x"), told
+
+
+@query(f"WITH {_MARKETS} SELECT sid, 1 AS join, round(o, 6) + 0.0 AS offset, round(e, 6) AS rmse, n AS overlap, CASE WHEN n < 12 THEN 'too few common months' END AS fault FROM off")
+def segment_joins(spark, d):
+    return _funding(spark, d)[2].select("sid", "join", *r6("offset", "rmse"), "overlap", "fault")
+
+
+@query(
+    f"""WITH {_MARKETS} SELECT sid, dt, round(a + b * v, 5) + 0.0 AS v, true AS is_proxy, 'spread on both ends' AS rule FROM sp JOIN ft USING (sid) WHERE (sid, dt) NOT IN (SELECT (sid, dt) FROM tgt)
+    UNION ALL SELECT sid, dt, round(v, 5) + 0.0, false, 'spread on both ends' FROM tgt"""
+)
+def funding_extension(spark, d):
+    """A target filled before, after and within its months from a fitted spread of chained legs."""
+    target, x, _ = _funding(spark, d)
+    return ex.extended(target, x, ["x"], "spread on both ends", "1997-01-01", least=12).select("sid", "dt", (F.round("v", 5) + 0.0).alias("v"), "is_proxy", "rule")
+
+
+@query(
+    f"""WITH {_MARKETS} SELECT sid, ft.n, round(a, 5) + 0.0 AS a, round(b, 5) + 0.0 AS b, round(sqrt(avg(pow(tgt.v - a - b * sp.v, 2))), 5) AS rmse, round(corr(tgt.v, a + b * sp.v), 5) + 0.0 AS corr
+    FROM sp JOIN tgt USING (sid, dt) JOIN ft USING (sid) WHERE year(dt) >= 1997 GROUP BY sid, ft.n, a, b"""
+)
+def extension_overlaps(spark, d):
+    target, x, _ = _funding(spark, d)
+    out = ex.overlap_report(target, x, ["x"], "1997-01-01", least=12).where("fault IS NULL")
+    return out.select("sid", "n", *[(F.round(F.get("coefficients", F.lit(i)), 5) + 0.0).alias(c) for i, c in enumerate("ab")], F.round("rmse", 5).alias("rmse"), (F.round("corr", 5) + 0.0).alias("corr"))
+
+
+@query(
+    f"""WITH {_MARKETS}, x AS (SELECT sid, dt, ln(o.v) AS a, ln(bill.v) AS b FROM (SELECT sid, dt, v FROM mk WHERE p = '2-HIGH') o JOIN bill USING (sid, dt)), j AS (SELECT sid, dt AS month, a, b, ln(tgt.v) AS y FROM x JOIN tgt USING (sid, dt)),
+    {_FIT.format("j", 12)}
+    SELECT sid, dt, round(exp(my + ba * (a - ma) + b2 * (b - mb)), 5) AS v, true AS is_proxy, 'curve' AS rule FROM x JOIN f USING (sid) WHERE (sid, dt) NOT IN (SELECT (sid, dt) FROM tgt) UNION ALL SELECT sid, dt, round(v, 5), false, 'curve' FROM tgt"""
+)
+def curve_extension(spark, d):
+    """The logarithm of a target from those of two donors, on every month that it lacks."""
+    orders = t.read(spark, d, "orders")
+    target, _, _, bill = _markets(spark, d)
+    high = orders.where("o_orderpriority = '2-HIGH'").groupBy(F.col("o_orderstatus").alias("sid"), t.month("o_orderdate").alias("dt")).agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("a"))
+    donors = high.join(bill.withColumnRenamed("v", "b"), ["sid", "dt"])
+    return ex.extended(target, donors, ["a", "b"], "curve", least=12, log=True).select("sid", "dt", F.round("v", 5).alias("v"), "is_proxy", "rule")
