@@ -224,7 +224,7 @@ def onset_hazards(spark, d):
 
 
 #: Each status of an order is a market; its priorities are the series that stand in for one another.
-_MARKETS = """mk AS (SELECT o_orderstatus AS sid, o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS dt, round(avg(o_totalprice) / 1000, 4) AS v FROM orders GROUP BY 1, 2, 3),
+_MARKETS = """mk AS (SELECT o_orderstatus AS sid, o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS dt, round(sum(o_totalprice), 2) / 1000 AS v FROM orders GROUP BY 1, 2, 3),
 cp_new AS (SELECT sid, dt, v FROM mk WHERE p = '2-HIGH' AND year(dt) >= 1997), cp_old AS (SELECT sid, dt, v FROM mk WHERE p = '3-MEDIUM' AND year(dt) <= 1999), bill AS (SELECT sid, dt, v FROM mk WHERE p = '5-LOW'),
 tgt AS (SELECT sid, dt, v FROM mk WHERE p = '1-URGENT' AND year(dt) BETWEEN 1996 AND 1999 AND month(dt) <> 6),
 off AS (SELECT sid, avg(n.v - o.v) AS o, stddev_pop(n.v - o.v) AS e, count(*) AS n FROM cp_new n JOIN cp_old o USING (sid, dt) GROUP BY sid),
@@ -236,7 +236,7 @@ ft AS (SELECT sid, covar_pop(sp.v, tgt.v) / var_pop(sp.v) AS b, avg(tgt.v) - cov
 
 def _markets(spark, d):
     orders = t.read(spark, d, "orders")
-    mk = orders.groupBy(F.col("o_orderstatus").alias("sid"), F.col("o_orderpriority").alias("p"), t.month("o_orderdate").alias("dt")).agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("v"))
+    mk = orders.groupBy(F.col("o_orderstatus").alias("sid"), F.col("o_orderpriority").alias("p"), t.month("o_orderdate").alias("dt")).agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("v"))
     one = lambda p, keep: mk.where((F.col("p") == p) & keep).select("sid", "dt", "v")
     y = F.year("dt")
     target = one("1-URGENT", y.between(1996, 1999) & (F.month("dt") != 6))
@@ -283,6 +283,6 @@ def curve_extension(spark, d):
     """The logarithm of a target from those of two donors, on every month that it lacks."""
     orders = t.read(spark, d, "orders")
     target, _, _, bill = _markets(spark, d)
-    high = orders.where("o_orderpriority = '2-HIGH'").groupBy(F.col("o_orderstatus").alias("sid"), t.month("o_orderdate").alias("dt")).agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("a"))
+    high = orders.where("o_orderpriority = '2-HIGH'").groupBy(F.col("o_orderstatus").alias("sid"), t.month("o_orderdate").alias("dt")).agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("a"))
     donors = high.join(bill.withColumnRenamed("v", "b"), ["sid", "dt"])
     return ex.extended(target, donors, ["a", "b"], "curve", least=12, log=True).select("sid", "dt", F.round("v", 5).alias("v"), "is_proxy", "rule")
