@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import digests as dg, documents as doc
+from ..operators import digests as dg, documents as doc, rules as ru
 from ..sources import decisions as dec, intake
 from . import tables as t
 from .registry import query
@@ -104,3 +104,70 @@ def judged_decisions(spark, d):
 @query(_REQUESTS + "SELECT session, max(c) AS decided, CASE WHEN max(c) < 10 THEN session % 3 + 3 * max(c) END AS next_window, CASE WHEN max(c) < 10 THEN session % 3 + 3 * max(c) + 1 ELSE 31 END AS ceiling FROM f GROUP BY session")
 def reveal_ceilings(spark, d):
     return dec.ceilings(*_judged(spark, d))
+
+
+#: A customer's document: a balance with its bounds, a horizon of some quarters, and a window for each order.
+_SCHEMA = "horizon struct<quarters:bigint>, credit struct<balance:double,share:double>, windows array<struct<start:bigint,length:bigint>>"
+_BOUNDS = {"/credit/balance": (0.0, 8000.0), "/credit/share": (None, 0.5), "/windows/*/length": (2, 7)}
+
+
+def _plans(spark, d):
+    orders = t.read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.month("o_orderdate") - 1).cast("long").alias("start"), (1 + F.col("o_orderkey") % 9).alias("length")))).alias("w"))
+    customers = t.read(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    body = F.struct(
+        F.struct(F.when(F.col("c_nationkey") % 7 != 0, 6 + F.col("c_nationkey") % 5).cast("long").alias("quarters")).alias("horizon"), F.struct(F.col("c_acctbal").alias("balance"), (F.col("c_custkey") % 10 / 10).alias("share")).alias("credit"),
+        F.transform("w", lambda x: F.struct(x.start.alias("start"), x.length.alias("length"))).alias("windows"),
+    )
+    return customers.select("c_custkey", F.from_json(F.to_json(body), _SCHEMA).alias("doc"))
+
+
+def _checked(spark, d):
+    """The documents within bounds, with all clamps."""
+    docs = ru.clamped(_plans(spark, d), "doc", _BOUNDS)
+    windows, moved = ru.windows_inside(F.col("doc.windows"), F.col("doc.horizon.quarters"), "/windows")
+    return docs.withColumn("clamps", F.concat("clamps", moved)).withColumn("doc", F.col("doc").withField("windows", windows))
+
+
+_PLANS = """w AS (SELECT o_custkey AS c_custkey, o_orderkey, month(o_orderdate) - 1 AS start, 1 + o_orderkey % 9 AS len, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+h AS (SELECT c_custkey, c_acctbal, c_custkey % 10 / 10 AS share, CASE WHEN c_nationkey % 7 <> 0 THEN 6 + c_nationkey % 5 END AS q FROM customer),
+w1 AS (SELECT w.*, q, least(greatest(len, 2), 7) AS l1 FROM w JOIN h USING (c_custkey)), w2 AS (SELECT *, CASE WHEN q IS NULL THEN l1 ELSE least(l1, q) END AS l2 FROM w1),
+w3 AS (SELECT *, CASE WHEN start + l2 > q THEN greatest(0, q - l2) ELSE start END AS s2 FROM w2),
+cl AS (SELECT c_custkey, '/credit/balance' AS path, c_acctbal AS submitted, least(greatest(c_acctbal, 0), 8000) AS applied FROM h WHERE c_acctbal < 0 OR c_acctbal > 8000 UNION ALL SELECT c_custkey, '/credit/share', share, 0.5 FROM h WHERE share > 0.5
+  UNION ALL SELECT c_custkey, '/windows/' || i || '/length', len, l1 FROM w3 WHERE l1 <> len UNION ALL SELECT c_custkey, '/windows/' || i || '/length', l1, l2 FROM w3 WHERE l2 <> l1 UNION ALL SELECT c_custkey, '/windows/' || i || '/start', start, s2 FROM w3 WHERE s2 <> start)"""
+
+
+@query(f"WITH {_PLANS} SELECT c_custkey, path, CAST(submitted AS DOUBLE) AS submitted, CAST(applied AS DOUBLE) AS applied FROM cl")
+def clamped_documents(spark, d):
+    return _checked(spark, d).select("c_custkey", F.explode("clamps").alias("c")).select("c_custkey", "c.path", "c.submitted", "c.applied")
+
+
+def _rules() -> list[ru.Rule]:
+    windows, apart = F.col("doc.windows"), lambda x: x.start + x.length
+    total = F.aggregate(windows, F.lit(0).cast("long"), lambda a, x: a + x.length)
+    return [
+        ru.Rule("B1", True, F.forall(windows, lambda x: apart(x) <= F.col("doc.horizon.quarters")), F.lit("a window beyond the horizon")),
+        ru.Rule("B2", True, F.size(F.array_distinct(F.transform(windows, lambda x: x.start))) == F.size(windows), F.lit("windows that begin together")),
+        ru.Rule("W1", False, F.size("clamps") <= ru.HEAVY, F.concat(F.size("clamps").cast("string"), F.lit(" clamps"))),
+        ru.Rule("W2", False, F.when(F.col("doc.horizon.quarters").isNotNull(), total <= 3 * F.col("doc.horizon.quarters")), F.concat(total.cast("string"), F.lit(" quarters of windows"))),
+    ]
+
+
+_VERDICTS = f"""WITH {_PLANS}, n AS (SELECT c_custkey, count(*) AS n FROM cl GROUP BY 1), g AS (SELECT c_custkey, count(*) AS k, count(DISTINCT s2) AS starts, sum(l2) AS total, max(s2 + l2) AS last FROM w3 GROUP BY 1),
+x AS (SELECT h.c_custkey, q, k, starts, total, last, coalesce(n, 0) AS n FROM h LEFT JOIN n USING (c_custkey) LEFT JOIN g USING (c_custkey)),
+v AS (SELECT c_custkey, 'B1' AS rule, true AS blocking, last <= q AS holds, 'a window beyond the horizon' AS said FROM x UNION ALL SELECT c_custkey, 'B2', true, starts = k, 'windows that begin together' FROM x
+  UNION ALL SELECT c_custkey, 'W1', false, n <= {ru.HEAVY}, n || ' clamps' FROM x UNION ALL SELECT c_custkey, 'W2', false, total <= 3 * q, total || ' quarters of windows' FROM x)"""
+
+
+@query(_VERDICTS + " SELECT c_custkey, rule, blocking, CASE WHEN holds IS NULL THEN 'not evaluated' WHEN holds THEN 'passed' ELSE 'failed' END AS verdict, CASE WHEN NOT holds THEN said END AS message FROM v")
+def document_verdicts(spark, d):
+    return ru.judged(_checked(spark, d), ["c_custkey"], _rules())
+
+
+@query(
+    _VERDICTS
+    + """ SELECT c_custkey, count(*) FILTER (blocking AND NOT holds) = 0 AS accepted, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (blocking AND NOT holds), '') AS refusals,
+    coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (NOT blocking AND NOT holds), '') AS warnings, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (holds IS NULL), '') AS untold FROM v GROUP BY c_custkey"""
+)
+def document_decisions(spark, d):
+    out = ru.decided(_checked(spark, d), ["c_custkey"], _rules())
+    return out.select("c_custkey", "accepted", *[F.array_join(c, ",").alias(c) for c in ("refusals", "warnings", "untold")])
