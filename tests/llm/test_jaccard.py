@@ -64,9 +64,11 @@ def test_as_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-def test_chain_in_one_tile_needs_full_comparison(spark, monkeypatch):
-    """A long passage with edits that pile up: the first member of a tile is far from the last."""
+@pytest.mark.parametrize("tiles", [1 << 14, 3])
+def test_chain_in_one_tile_needs_full_comparison(spark, monkeypatch, tiles):
+    """A long passage with edits that pile up: the first member of a tile is far from the last; a block's tiles are looked at in slices."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "TILE_SLICE", tiles)
     rng = random.Random(5)
     w = [f"u{i}" for i in range(120)]
     rows = []

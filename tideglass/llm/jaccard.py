@@ -33,6 +33,8 @@ SENT = 1000
 BROADCAST = 100_000
 #: Bits of a bitmap that are compared at once for all pairs of a block.
 WIDTH = 4096
+#: Tiles of a block's members that are looked at at once.
+TILE_SLICE = 1 << 14
 #: Bits of the filter for each text that is read again, and at most; it keeps most others from being shuffled. A full one costs time, never results.
 FILTER_SHARE, FILTER_BITS = 16, 1 << 27
 #: Stands for a null id where sets are fetched again.
@@ -369,9 +371,13 @@ def _near_members(run: pa.Table, num: int, den: int) -> pa.RecordBatch:
     # Which members meet in a tile: a product of the member-by-tile matrix with itself.
     tiles = run["tiles"].combine_chunks()
     found, column = np.unique(np.array(tiles.flatten()), return_inverse=True)
-    inside = np.zeros((len(n), len(found)), dtype=np.float32)
-    inside[np.repeat(np.arange(len(n)), np.diff(np.array(tiles.offsets))), column] = 1
-    meet = inside @ inside.T > 0
+    member = np.repeat(np.arange(len(n)), np.diff(np.array(tiles.offsets)))
+    meet = np.zeros((len(n), len(n)), dtype=bool)
+    for low in range(0, len(found), TILE_SLICE):  # so many tiles at once: long texts have hundreds of thousands
+        here = (low <= column) & (column < low + TILE_SLICE)
+        inside = np.zeros((len(n), min(TILE_SLICE, len(found) - low)), dtype=np.float32)
+        inside[member[here], column[here] - low] = 1
+        meet |= inside @ inside.T > 0
     x, y = np.nonzero(np.triu(den * n[:, None] >= num * n[None, :], 1) & meet & (part[:, None] != part[None, :]) & (not cross or own[:, None] != own[None, :]))
     if len(x):
         # Coarse maps first, for all pairs at once: folding a map keeps the bound, and shared bits are a product of matrices.

@@ -66,20 +66,20 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, id_col: str
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, reps = np.array(batch.column("dim")), np.array(batch.column("k1"))
+            dims, k1, k2 = (np.array(batch.column(c)) for c in ("dim", "k1", "k2"))
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
                 v = np.array(batch.column("v").take(pa.array(own)).flatten(), dtype=np.float64).reshape(len(own), dim)
                 c = codes(v, bits, tables)
-                columns = [np.full(c.size, dim), np.tile(np.arange(tables), len(own)), c.ravel(), np.repeat(reps[own], tables)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["dim", "tab", "code", "k1"])
+                columns = [np.full(c.size, dim), np.tile(np.arange(tables), len(own)), c.ravel(), np.repeat(k1[own], tables), np.repeat(k2[own], tables)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["dim", "tab", "code", "k1", "k2"])
 
-    entries = scratch.save(classes.select("dim", "k1", "v").mapInArrow(coded, "dim long, tab long, code long, k1 long"), "entries")
+    entries = scratch.save(classes.select("dim", "k1", "k2", "v").mapInArrow(coded, "dim long, tab long, code long, k1 long, k2 long"), "entries")
     key = ["dim", "tab", "code"]
     blocks = entries.groupBy(*key).count().where("count > 1").select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("k1"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k1").join(classes.select("k1", "rep", "mult", "v"), "k1")
+    dealt = dealt.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k1", "k2").join(classes.select("k1", "k2", "rep", "mult", "v"), ["k1", "k2"])
     key += ["i", "j"]
     dealt = dealt.repartition(*key).sortWithinPartitions(*key, "rep")
 
@@ -95,7 +95,7 @@ def embedding_near_dups(vectors: DataFrame, threshold: float = 0.95, id_col: str
         if held is not None and len(held):
             yield _results([_links(held, threshold, bits, tables)])
 
-    found = scratch.save(dealt.drop("k1").mapInPandas(compared, "a long, b long, links long"), "found")
+    found = scratch.save(dealt.drop("k1", "k2").mapInPandas(compared, "a long, b long, links long"), "found")
     components = connected_components(found.where("b is not null").select("a", "b"), scratch, "stars")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     per_class = classes.select("k1", "k2", "rep", "mult").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
