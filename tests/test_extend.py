@@ -55,3 +55,27 @@ def test_both_ends_and_holes(spark):
     logs = ex.extended(frame(spark, [("a", month(k), float(np.exp(1 + 2 * np.log(k + 1)))) for k in range(10, 50)]), frame(spark, [("a", month(k), float(k + 1)) for k in range(60)] + [("a", month(70), -1.0)], "sid string, dt date, x double"), ["x"], "log", least=12, log=True)
     assert {r.dt: r.v for r in logs.collect()} == {month(k): pytest.approx(float(np.exp(1 + 2 * np.log(k + 1)))) for k in range(60)}
     assert ex.extended(target.limit(0), donors, ["x", "z"], "r").collect() == []
+
+
+def test_collateral_and_checks(spark):
+    excess = frame(spark, [("a", month(k), 0.01 * k) for k in range(30)] + [("b", month(k), 0.1) for k in range(11)] + [("c", month(0), 0.1)])
+    rate = frame(spark, [("a", month(k), 0.001) for k in range(10, 40) if k != 15] + [("b", month(k), 0.1) for k in range(11)] + [("a", month(16), None)])
+    total, told = ex.collateral_return(excess, rate)
+    assert {r.dt: r.v for r in total.collect()} == {month(k): pytest.approx(0.01 * k + 0.001) for k in range(10, 30) if k != 15}
+    assert {r.sid: tuple(r)[1:] for r in told.collect()} == {"a": (19, month(0), month(9), None), "b": (11, None, None, "too few common months"), "c": (0, None, None, "too few common months")}
+    rng = np.random.default_rng(4)
+    level = np.exp(np.cumsum(rng.normal(0, 0.1, 40)))
+    spot = np.diff(np.log(level)) + rng.normal(0, 0.02, 39)
+    got = ex.return_check(frame(spark, [("a", month(k + 1), float(v)) for k, v in enumerate(spot)] + [("b", month(1), 0.1)]), frame(spark, [("a", month(k), float(v)) for k, v in enumerate(level)]))
+    by = {r.sid: r for r in got.collect()}
+    assert by["a"].n == 39 and by["a"].correlation == pytest.approx(np.corrcoef(spot, np.diff(np.log(level)))[0, 1]) and (by["b"].n, by["b"].correlation, by["b"].fault) == (0, None, "too few common months")
+
+
+def test_stepped_index_and_pin(spark):
+    steps = frame(spark, [("x", month(0), 2.0), ("x", month(5), 4.0), ("y", month(2), 10.0), ("y", month(5), 5.0), ("y", month(5), 4.0), ("x", month(7), -1.0), ("y", None, 3.0)], "sid string, dt date, rate double")
+    months = frame(spark, [(month(k),) for k in range(9)] * 2, "dt date")
+    got = {r.dt: (r["index"], r.members) for r in ex.stepped_index(steps, months).collect()}
+    assert got == {month(k): (pytest.approx(100.0 if k < 5 else 100 * (2 * 0.5) ** 0.5), 2) for k in range(2, 9)}
+    out = ex.pinned_front(frame(spark, [(month(6), 8.0), (month(7), 9.0)], "dt date, v double"), frame(spark, [(month(k), float(k + 1)) for k in range(9)], "dt date, v double"), "pin")
+    assert {r.dt: (r.v, r.is_proxy) for r in out.collect()} == {**{month(k): (pytest.approx((k + 1) * 8 / 6), True) for k in range(6)}, month(6): (8.0, False), month(7): (9.0, False)}
+    assert ex.stepped_index(steps.limit(0), months).collect() == []

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import regression
@@ -91,3 +91,63 @@ def overlap_report(target: DataFrame, donors: DataFrame, xs: Sequence[str], low=
     gap = F.col(value) - F.col("_hat")
     found = regression.predicted(both, fit, xs, by, "_hat").groupBy(*by).agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), guarded_corr(value, "_hat").alias("corr"))
     return fit.join(found, list(by), "left").select(*by, "n", F.col("_coef").alias("coefficients"), "rmse", "corr", "fault")
+
+
+#: Common months that a sum of returns, and a check against an index, need.
+LEAST_SUM, LEAST_CHECK = 12, 24
+
+
+def collateral_return(excess: DataFrame, rate: DataFrame, least: int = LEAST_SUM, by: Sequence[str] = ("sid",), order: str = "dt", value: str = "v") -> tuple[DataFrame, DataFrame]:
+    """``(by, order, value)``: excess plus risk-free returns on common months; and ``(by, common, excess_from, excess_to, fault)``.
+
+    Months of the excess return before the first common one have no total: they are reported as an era, never filled with zero. Keys with fewer than ``least`` common months have a fault and no rows.
+    """
+    keys = [*by, order]
+    own = _known(excess, by, order, value)
+    both = own.join(_known(rate, by, order, value).withColumnRenamed(value, "_r"), keys)
+    found = both.groupBy(*by).agg(F.count(F.lit(1)).alias("common"), F.min(order).alias("_first"))
+    early = own.join(found, list(by)).where(F.col(order) < F.col("_first")).groupBy(*by).agg(F.min(order).alias("excess_from"), F.max(order).alias("excess_to"))
+    few = F.coalesce("common", F.lit(0)) < least
+    told = own.select(*by).distinct().join(found.drop("_first"), list(by), "left").join(early, list(by), "left")
+    told = told.select(*by, F.coalesce("common", F.lit(0)).alias("common"), "excess_from", "excess_to", F.when(few, "too few common months").alias("fault"))
+    total = both.join(found.where(F.col("common") >= least).select(*by), list(by), "left_semi")
+    return total.select(*keys, (F.col(value) + F.col("_r")).alias(value)), told
+
+
+def return_check(spot: DataFrame, level: DataFrame, least: int = LEAST_CHECK, by: Sequence[str] = ("sid",), order: str = "dt", value: str = "v") -> DataFrame:
+    """``(by, n, correlation, fault)``: of a return with the log change of an index since its row before, on common months; too few of them is a fault."""
+    log = F.log(F.greatest(F.col(value), F.lit(1e-9)))
+    moves = _known(level, by, order, value).withColumn("_m", log - F.lag(log).over(Window.partitionBy(*by).orderBy(order))).where("_m IS NOT NULL").drop(value)
+    own = _known(spot, by, order, value)
+    found = own.join(moves, [*by, order]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), guarded_corr(value, "_m").alias("correlation"))
+    n = F.coalesce("n", F.lit(0))
+    out = own.select(*by).distinct().join(found, list(by), "left")
+    return out.select(*by, n.alias("n"), F.when(n >= least, F.col("correlation")).alias("correlation"), F.when(n < least, "too few common months").alias("fault"))
+
+
+def stepped_index(steps: DataFrame, months: DataFrame, member: str = "sid", order: str = "dt", rate: str = "rate", base: float = 100.0) -> DataFrame:
+    """``(order, index, members)``: an evenly weighted geometric index of rates that change at stated dates, in each of ``months``.
+
+    A month takes each member's last rate in force by then (of several of one date the largest), over its first one. Months before all members have begun have
+    none; a rate that is null or not positive is no step. Steps and months meet in one ordered pass by member.
+    """
+    known = steps.where((F.col(rate) > 0) & F.col(order).isNotNull()).groupBy(member, order).agg(F.max(rate).cast("double").alias("_rate"))
+    grid = months.where(F.col(order).isNotNull()).select(order).distinct()
+    members = known.select(member).distinct()  # a row a member
+    asks = grid.crossJoin(F.broadcast(members)).select(member, order, F.lit(None).cast("double").alias("_rate"), F.lit(True).alias("_ask"))
+    w = Window.partitionBy(member).orderBy(order, "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    rows = known.withColumn("_ask", F.lit(False)).unionByName(asks)
+    rows = rows.withColumn("_now", F.last("_rate", ignorenulls=True).over(w)).withColumn("_first", F.first("_rate", ignorenulls=True).over(w)).where("_ask AND _now IS NOT NULL")
+    whole = members.agg(F.count(F.lit(1)).alias("_n"))
+    one = rows.groupBy(order).agg((base * F.exp(F.avg(F.log(F.col("_now") / F.col("_first"))))).alias("index"), F.count(F.lit(1)).alias("members"))
+    return one.crossJoin(F.broadcast(whole)).where(F.col("members") == F.col("_n")).select(order, "index", "members")
+
+
+def pinned_front(observed: DataFrame, index: DataFrame, rule: str, order: str = "dt", value: str = "v") -> DataFrame:
+    """``(order, value, is_proxy, rule)``: an index put before the first observed month, at the level at which its last month there meets that month; observed months stay."""
+    known = _known(observed, [], order, value)
+    start = known.agg(F.min(order).alias("_first"), F.min_by(value, order).alias("_level"))
+    front = index.where(F.col(value).isNotNull()).select(order, value).crossJoin(F.broadcast(start)).where(F.col(order) < F.col("_first"))
+    last = front.agg(F.max_by(value, order).alias("_end"))
+    proxy = front.crossJoin(F.broadcast(last)).select(order, (F.col(value) * F.try_divide("_level", "_end")).alias(value), F.lit(True).alias("is_proxy"))
+    return proxy.unionByName(known.select(order, value, F.lit(False).alias("is_proxy"))).withColumn("rule", F.lit(rule))

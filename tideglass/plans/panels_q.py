@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import derived, extend as ex, hazard as hz, regression as reg, support as sup
+from ..operators import derived, extend as ex, hazard as hz, regression as reg, support as sup, windows as w
 from . import tables as t
 from .registry import query
 from .windows_q import r6
@@ -286,3 +286,65 @@ def curve_extension(spark, d):
     high = orders.where("o_orderpriority = '2-HIGH'").groupBy(F.col("o_orderstatus").alias("sid"), t.month("o_orderdate").alias("dt")).agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("a"))
     donors = high.join(bill.withColumnRenamed("v", "b"), ["sid", "dt"])
     return ex.extended(target, donors, ["a", "b"], "curve", least=12, log=True).select("sid", "dt", F.round("v", 5).alias("v"), "is_proxy", "rule")
+
+
+#: Excess returns of each market's urgent orders, and the change of its high ones as the rate, known from 1996 on.
+_EXCESS = f"""{_MARKETS}, e AS (SELECT * FROM (SELECT sid, dt, v / lag(v) OVER (PARTITION BY sid ORDER BY dt) - 1 AS v FROM mk WHERE p = '1-URGENT') WHERE v IS NOT NULL),
+rt AS (SELECT sid, dt, v / 1e6 AS v FROM mk WHERE p = '2-HIGH' AND year(dt) >= 1996), lv AS (SELECT sid, dt, v FROM mk WHERE p = '3-MEDIUM'),
+tot AS (SELECT sid, dt, e.v + rt.v AS v, count(*) OVER (PARTITION BY sid) AS n, min(dt) OVER (PARTITION BY sid) AS f FROM e JOIN rt USING (sid, dt))"""
+
+
+def _excess(spark, d):
+    orders = t.read(spark, d, "orders")
+    mk = orders.groupBy(F.col("o_orderstatus").alias("sid"), F.col("o_orderpriority").alias("p"), t.month("o_orderdate").alias("dt")).agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("v"))
+    one = lambda p: mk.where(F.col("p") == p).select("sid", "dt", "v")
+    return w.simple_return(one("1-URGENT"), out="v"), one("2-HIGH").where(F.year("dt") >= 1996).withColumn("v", F.col("v") / 1e6), one("3-MEDIUM")
+
+
+@query(f"WITH {_EXCESS} SELECT sid, dt, round(v, 6) + 0.0 AS v FROM tot WHERE n >= {ex.LEAST_SUM}")
+def collateral_returns(spark, d):
+    excess, rate, _ = _excess(spark, d)
+    return ex.collateral_return(excess, rate)[0].select("sid", "dt", *r6("v"))
+
+
+@query(
+    f"""WITH {_EXCESS}, c AS (SELECT DISTINCT sid, n, f FROM tot) SELECT k.sid, coalesce(any_value(n), 0) AS common, min(dt) FILTER (dt < f) AS excess_from, max(dt) FILTER (dt < f) AS excess_to,
+    CASE WHEN coalesce(any_value(n), 0) < {ex.LEAST_SUM} THEN 'too few common months' END AS fault FROM e k LEFT JOIN c USING (sid) GROUP BY k.sid"""
+)
+def excess_only_eras(spark, d):
+    excess, rate, _ = _excess(spark, d)
+    return ex.collateral_return(excess, rate)[1]
+
+
+@query(
+    f"""WITH {_EXCESS}, m AS (SELECT * FROM (SELECT sid, dt, ln(v) - lag(ln(v)) OVER (PARTITION BY sid ORDER BY dt) AS m FROM lv) WHERE m IS NOT NULL), j AS (SELECT sid, count(*) AS n, corr(v, m) AS c FROM e JOIN m USING (sid, dt) GROUP BY sid)
+    SELECT s.sid, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) >= {ex.LEAST_CHECK} THEN round(c, 6) + 0.0 END AS correlation, CASE WHEN coalesce(n, 0) < {ex.LEAST_CHECK} THEN 'too few common months' END AS fault FROM (SELECT DISTINCT sid FROM e) s LEFT JOIN j USING (sid)"""
+)
+def index_checks(spark, d):
+    excess, _, level = _excess(spark, d)
+    return ex.return_check(excess, level).select("sid", "n", *r6("correlation"), "fault")
+
+
+_PARITY = """st AS (SELECT sid, dt, v AS rate FROM series_m WHERE month(dt) IN (1, 7)), mo AS (SELECT DISTINCT dt FROM series_m), fs AS (SELECT sid, arg_min(rate, dt) AS r0 FROM st GROUP BY sid), ask AS (SELECT sid, mo.dt FROM mo, fs),
+par AS (SELECT dt, 100 * exp(avg(ln(rate / r0))) AS v, count(*) AS members FROM (SELECT ask.sid, ask.dt, st.rate FROM ask ASOF JOIN st ON ask.sid = st.sid AND ask.dt >= st.dt) JOIN fs USING (sid) GROUP BY dt HAVING count(*) = (SELECT count(*) FROM fs))"""
+
+
+def _parity(spark, d):
+    s = t.series_m(spark, d)
+    return s, ex.stepped_index(s.where(F.month("dt").isin(1, 7)).withColumnRenamed("v", "rate"), s)
+
+
+@query(f"WITH {_PARITY} SELECT dt, round(v, 5) AS index, members FROM par")
+def parity_index(spark, d):
+    """A geometric index of rates that change twice a year."""
+    return _parity(spark, d)[1].select("dt", F.round("index", 5).alias("index"), "members")
+
+
+@query(
+    f"""WITH {_PARITY}, ob AS (SELECT dt, v FROM series_m WHERE sid = '1-URGENT' AND year(dt) >= 1998), s AS (SELECT (SELECT arg_min(v, dt) FROM ob) / (SELECT arg_max(v, dt) FROM par WHERE dt < (SELECT min(dt) FROM ob)) AS k)
+    SELECT dt, round(v * k, 4) AS v, true AS is_proxy, 'parity' AS rule FROM par, s WHERE dt < (SELECT min(dt) FROM ob) UNION ALL SELECT dt, round(v, 4), false, 'parity' FROM ob"""
+)
+def parity_extension(spark, d):
+    s, index = _parity(spark, d)
+    out = ex.pinned_front(s.where("sid = '1-URGENT' AND year(dt) >= 1998"), index.withColumnRenamed("index", "v"), "parity")
+    return out.select("dt", F.round("v", 4).alias("v"), "is_proxy", "rule")
