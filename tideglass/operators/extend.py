@@ -151,3 +151,16 @@ def pinned_front(observed: DataFrame, index: DataFrame, rule: str, order: str =
     last = front.agg(F.max_by(value, order).alias("_end"))
     proxy = front.crossJoin(F.broadcast(last)).select(order, (F.col(value) * F.try_divide("_level", "_end")).alias(value), F.lit(True).alias("is_proxy"))
     return proxy.unionByName(known.select(order, value, F.lit(False).alias("is_proxy"))).withColumn("rule", F.lit(rule))
+
+
+def ratio_front(primary: DataFrame, top: DataFrame, bottom: DataFrame, scale: float = 100.0, by: Sequence[str] = ("sid",), order: str = "dt", value: str = "v") -> DataFrame:
+    """``(by, order, value, source)``: the primary series, and before its first date ``scale * top / bottom`` on the dates that both have; a zero bottom gives no row.
+
+    A key that the primary lacks has ratios throughout.
+    """
+    keys = [*by, order]
+    known = _known(primary, by, order, value)
+    both = _known(top, by, order, value).join(_known(bottom, by, order, value).withColumnRenamed(value, "_b"), keys).withColumn(value, scale * F.try_divide(value, "_b")).where(F.col(value).isNotNull())
+    first = known.groupBy(*by).agg(F.min(order).alias("_first"))
+    early = (both.join(first, list(by), "left") if by else both.crossJoin(F.broadcast(first))).where(F.col("_first").isNull() | (F.col(order) < F.col("_first")))
+    return early.select(*keys, value, F.lit("ratio").alias("source")).unionByName(known.select(*keys, value, F.lit("primary").alias("source")))

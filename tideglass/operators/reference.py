@@ -117,3 +117,25 @@ def judged(made: DataFrame, reference: DataFrame, by: str) -> DataFrame:
     verdict = F.when(value.isNull(), "missing").when(~usable, "unbanded").when(value.between(F.col("lo"), F.col("hi")), "pass").otherwise("fail")
     beyond: Column = F.greatest(F.lit(0.0), F.col("lo") - value, value - F.col("hi")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return both.select(by, "stat", value.alias("value"), "lo", "hi", F.when(usable & value.isNotNull(), beyond).alias("outside"), verdict.alias("verdict"))
+
+
+def clauses(report: DataFrame, by: str, names_: Sequence[str] | None = None) -> DataFrame:
+    """``(by, stats, usable, outside, missing, outside_names, holds)`` of a ``judged`` report, over the named statistics or all.
+
+    ``usable`` counts the statistics that have a band and a value, ``outside`` those beyond it. A missing value never helps: ``holds`` needs no statistic outside and none missing.
+    """
+    rows = report.where(F.col("stat").isin(*names_)) if names_ is not None else report
+    out = rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("stats"), F.count_if(F.col("verdict").isin("pass", "fail")).alias("usable"), F.count_if(F.col("verdict") == "fail").alias("outside"), F.count_if(F.col("verdict") == "missing").alias("missing"),
+        F.array_sort(F.collect_list(F.when(F.col("verdict") == "fail", F.col("stat")))).alias("outside_names"),
+    )
+    return out.withColumn("holds", (F.col("outside") == 0) & (F.col("missing") == 0))
+
+
+def severity_errors(df: DataFrame, by: Sequence[str], order: str, value: str, target: float) -> DataFrame:
+    """``(by, quarters, worst, error)``: each path's worst sum of three consecutive rows, from its first row on, in percent below zero, against a target; paths under three rows have none."""
+    w = Window.partitionBy(*by).orderBy(order)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_q", F.floor((F.row_number().over(w) - 1) / 3))
+    quarter = rows.groupBy(*by, "_q").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c")).where("_c = 3")
+    one = quarter.groupBy(*by).agg(F.count(F.lit(1)).alias("quarters"), (100 * F.greatest(F.lit(0.0), -F.min("_s"))).alias("worst"))
+    return one.withColumn("error", F.abs(F.col("worst") - target))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decay as dc, memorization as mem, reference as rf, statistics as st, utility as ut, walkforward as wf, windows as w
 from . import tables as t
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .windows_q import r6
 
 LENGTH, PERCENTILE = 6, 0.05
@@ -293,3 +293,20 @@ def reference_battery(spark, d):
     found = rf.long(rf.statistics(made, ["sid", "path"], "dt", "r"), ["sid"], rf.names())
     ref = rf.bands(t.ret_m(spark, d), "sid", "dt", "r", RESAMPLES, 1 / 6, RESEED, length=LENGTH_MADE)
     return rf.judged(found, ref, "sid").select("sid", "stat", *[(F.round(c, 5) + 0.0).alias(c) for c in ("value", "lo", "hi")], "verdict")
+
+
+@query(
+    f"""SELECT sid, count(*) AS stats, count(*) FILTER (verdict IN ('pass', 'fail')) AS usable, count(*) FILTER (verdict = 'fail') AS outside, count(*) FILTER (verdict = 'missing') AS missing,
+    coalesce(string_agg(stat, ',' ORDER BY stat) FILTER (verdict = 'fail'), '') AS outside_names, count(*) FILTER (verdict IN ('fail', 'missing')) = 0 AS holds FROM ({ORACLE_SQL['reference_battery']}) GROUP BY sid"""
+)
+def battery_clauses(spark, d):
+    """Of each priority's battery, what lies outside its bands and what couldn't be told."""
+    return rf.clauses(reference_battery(spark, d), "sid").withColumn("outside_names", F.array_join("outside_names", ","))
+
+
+@query(
+    """WITH q AS (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY m) - 1) // 3 AS q, r FROM ensemble), s AS (SELECT path, q, sum(r) AS s FROM q GROUP BY 1, 2 HAVING count(*) = 3)
+    SELECT path, count(*) AS quarters, round(100 * greatest(0, -min(s)), 6) + 0.0 AS worst, round(abs(100 * greatest(0, -min(s)) - 0.05), 6) AS error FROM s GROUP BY path"""
+)
+def severity_errors(spark, d):
+    return rf.severity_errors(t.ensemble(spark, d), ["path"], "m", "r", 0.05).select("path", "quarters", *r6("worst", "error"))

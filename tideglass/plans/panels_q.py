@@ -348,3 +348,16 @@ def parity_extension(spark, d):
     s, index = _parity(spark, d)
     out = ex.pinned_front(s.where("sid = '1-URGENT' AND year(dt) >= 1998"), index.withColumnRenamed("index", "v"), "parity")
     return out.select("dt", F.round("v", 4).alias("v"), "is_proxy", "rule")
+
+
+@query(
+    f"""WITH {_MARKETS}, pm AS (SELECT sid, dt, v FROM mk WHERE p = '1-URGENT' AND year(dt) >= 1998), f AS (SELECT sid, min(dt) AS f FROM pm GROUP BY sid),
+    ra AS (SELECT a.sid, a.dt, 100 * a.v / b.v AS v FROM mk a JOIN mk b ON a.sid = b.sid AND a.dt = b.dt AND a.p = '2-HIGH' AND b.p = '3-MEDIUM')
+    SELECT sid, dt, round(v, 5) AS v, 'ratio' AS source FROM ra LEFT JOIN f USING (sid) WHERE f IS NULL OR dt < f UNION ALL SELECT sid, dt, round(v, 5), 'primary' FROM pm"""
+)
+def ratio_extension(spark, d):
+    """A series put after the ratio of two others."""
+    orders = t.read(spark, d, "orders")
+    mk = orders.groupBy(F.col("o_orderstatus").alias("sid"), F.col("o_orderpriority").alias("p"), t.month("o_orderdate").alias("dt")).agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("v"))
+    one = lambda p: mk.where(F.col("p") == p).select("sid", "dt", "v")
+    return ex.ratio_front(one("1-URGENT").where("year(dt) >= 1998"), one("2-HIGH"), one("3-MEDIUM")).select("sid", "dt", F.round("v", 5).alias("v"), "source")
