@@ -88,12 +88,12 @@ def _streams(spark, d):
 
 
 @query(
-    f"""SELECT sid, dt, CAST(row_number() OVER (PARTITION BY sid ORDER BY dt NULLS FIRST, cls, size NULLS FIRST, label) AS INTEGER) AS place, cls, round(size, 4) + 0.0 AS size,
+    f"""SELECT sid, dt, CAST(row_number() OVER (PARTITION BY sid ORDER BY dt NULLS FIRST, cls, size NULLS FIRST, label) AS INTEGER) AS place, cls, round(size, 5) + 0.0 AS size,
        1 + CASE WHEN abs(size) >= {CUTS[0]} THEN 1 ELSE 0 END + CASE WHEN abs(size) >= {CUTS[1]} THEN 1 ELSE 0 END AS severity, label, CAST(NULL AS VARCHAR) AS fault FROM ({_DETECTED})"""
 )
 def event_stream(spark, d):
     """Moves, flips, falls and recoveries of each priority as one numbered stream."""
-    return ev.detected(_streams(spark, d), CUTS).withColumn("size", F.round("size", 4) + 0.0)
+    return ev.detected(_streams(spark, d), CUTS).withColumn("size", F.round("size", 5) + 0.0)
 
 
 @query(
