@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of terms by hash, those that are counted term by term at once, and those counted first for each term wanted.
+BUCKETS, TURN, FIRST = 1 << 16, 1 << 12, 4
+
 
 def words(c: str) -> Column:
     """Lower-case runs of ASCII letters."""
@@ -23,13 +26,34 @@ def without_suffixes(c: Column, suffixes: Sequence[str]) -> Column:
 
 
 def top_terms(df: DataFrame, text: str, k: int, n: int = 1) -> DataFrame:
-    """The ``k`` most frequent n-grams of words, ties by term; counts are partial before the shuffle, the end a top-k."""
+    """The ``k`` most frequent n-grams of words, ties by term; exact, and made for a small ``k``, as the driver sees the result and the buckets' counts.
+
+    A bucket of hashes holds as many rows as any term in it, or more. So the fullest buckets are counted term by term, and
+    after them, in turns, all others that reach the last count among the ``k`` found. The texts are read twice, and once more for
+    each turn, of which there are ``BUCKETS / TURN`` at most: that is where terms are all about as frequent.
+    """
     found = df.select(words(text).alias("_w")).where(F.size("_w") >= n)
     parts = [f"_{j}" for j in range(n)]
-    # Words are found once; the parts of a term stay apart until only the top ones are left.
+    # Words are found once a pass; the parts of a term stay apart until only the top ones are left.
     runs = F.arrays_zip(*[F.slice("_w", 1 + j, F.size("_w") - n + 1).alias(p) for j, p in enumerate(parts)])
-    counts = found.select(F.explode(runs).alias("_e")).select("_e.*").groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.concat_ws(" ", *parts).alias("term"), "n").orderBy(F.desc("n"), "term").limit(k)
+    rows = found.select(F.explode(runs).alias("_e")).select("_e.*").withColumn("_h", F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)))
+
+    def top(buckets: Sequence[int]) -> DataFrame:
+        counts = rows.where(f"_h IN ({', '.join(map(str, buckets))})").groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+        return ordered(counts.select(F.concat_ws(" ", *parts).alias("term"), "n"))
+
+    def ordered(terms: DataFrame) -> DataFrame:
+        return terms.orderBy(F.desc("n"), "term").limit(k)
+
+    sizes = dict(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).collect())
+    fullest = sorted(sizes, key=sizes.get, reverse=True)
+    best = top(fullest[: FIRST * k] or [-1]).toArrow()
+    least = best["n"][-1].as_py() if len(best) == k else 0
+    rest = [h for h in fullest[FIRST * k :] if sizes[h] >= least]
+    out = df.sparkSession.createDataFrame(best)
+    for i in range(0, len(rest), TURN):
+        out = out.unionByName(top(rest[i : i + TURN]))
+    return ordered(out)
 
 
 def mutual_information(df: DataFrame, present: Column, label: Column) -> DataFrame:
